@@ -56,5 +56,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op6_token_output, op7_packing)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.pii import pii_report
+
+    return pii_report(documents(spark, sf_dir), key="foliate")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op6_token_output, op7_packing, op9_pii)}
 ORACLE: dict[str, str] = {}
