@@ -62,5 +62,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(documents(spark, sf_dir), key="foliate")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op6_token_output, op7_packing, op9_pii)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, then language, then document."""
+    from pyspark.sql import functions as F
+
+    from foliate.llm.licenses import license_scan
+
+    docs = documents(spark, sf_dir)
+    return license_scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op6_token_output, op7_packing, op9_pii, op10_licenses)}
 ORACLE: dict[str, str] = {}
