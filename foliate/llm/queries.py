@@ -56,6 +56,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.decontaminate import matches
+
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.pii import pii_report
 
@@ -72,5 +78,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op6_token_output, op7_packing, op9_pii, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op6_token_output, op7_packing, op8_decontamination, op9_pii, op10_licenses)}
 ORACLE: dict[str, str] = {}
