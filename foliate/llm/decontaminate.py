@@ -9,13 +9,14 @@ compared by cosine; what comes near is verified.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm.shared import by_bytes
@@ -281,16 +282,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
     for items in slices(benchmark, item_col, item_text_col, slice_bytes):
         index = spark.sparkContext.broadcast(build(texts, items, content_idf))
-
-        @F.pandas_udf("boolean")
-        def held(parts: Iterator[pd.Series], index=index) -> Iterator[pd.Series]:
-            search = Search(index.value, cosine, verbatim, paraphrase)
-            for s in parts:
-                hit = np.zeros(len(s), dtype=bool)
-                for at in range(0, len(s), 256):
-                    for t, *_ in search.match(s.iloc[at : at + 256].tolist()):
-                        hit[at + t] = True
-                yield pd.Series(hit)
-
-        docs = docs.where(~held(F.col(text_col)))
+        docs = docs.where(~holds(index, cosine, verbatim, paraphrase)(F.col(text_col)))
     return docs
+
+
+def holds(index: Broadcast, cosine: float, verbatim: float, paraphrase: float) -> Callable[[Column], Column]:
+    """Whether a text holds an item of ``index``."""
+
+    @F.pandas_udf("boolean")
+    def held(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = Search(index.value, cosine, verbatim, paraphrase)
+        for s in parts:
+            hit = np.zeros(len(s), dtype=bool)
+            for at in range(0, len(s), 256):
+                for t, *_ in search.match(s.iloc[at : at + 256].tolist()):
+                    hit[at + t] = True
+            yield pd.Series(hit)
+
+    return held
