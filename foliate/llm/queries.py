@@ -29,6 +29,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary())
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliate.llm.ppm import score
+
+    return score(documents(spark, sf_dir))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliate.llm.shared import new_path
     from foliate.llm.token_output import token_digests, write_tokens
@@ -78,5 +84,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op6_token_output, op7_packing, op8_decontamination, op9_pii, op10_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op5_lm_scoring, op6_token_output, op7_packing, op8_decontamination, op9_pii, op10_licenses)}
 ORACLE: dict[str, str] = {}
