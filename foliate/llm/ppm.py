@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from foliate.llm.shared import cut
 
 #: Bytes of context. A gram, a context and the byte after it, is one long, the latest byte lowest.
-ORDER = 4
+ORDER = 5
 END = b"\n"
 
 
@@ -67,12 +67,20 @@ def add(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -
     return u, np.bincount(inverse, weights=np.concatenate((counts, n)), minlength=len(u)).astype(np.int64)
 
 
+#: Grams are dealt into buckets by their remainder by a prime.
+PRIME = 1_000_003
 PART = "block int, bucket int, words array<binary>, counts array<long>, grams array<long>, gram_counts array<long>, tokens long, ends long"
+KINDS = {"block": pa.int32(), "bucket": pa.int32(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64()), "grams": pa.list_(pa.int64()), "gram_counts": pa.list_(pa.int64()), "tokens": pa.int64(), "ends": pa.int64(), "lp": pa.list_(pa.float64())}
+
+
+def table(rows: list[dict], columns: str) -> pa.Table:
+    names = [c.split()[0] for c in columns.split(", ")]
+    return pa.table({n: pa.array([r.get(n) for r in rows], KINDS[n]) for n in names})
 
 
 def block_parts(buckets: int, docs: pa.Table) -> pa.Table:
-    """What a block holds: a row for each bucket of its words, and one (bucket -1) of its grams, with training counts."""
-    block, trained = docs["block"][0].as_py(), docs["trained"].to_numpy(zero_copy_only=False) if docs.num_rows else []
+    """What a block holds: for each bucket its words and grams with training counts; in bucket 0 also its training tokens and ends."""
+    block, trained = docs["block"][0].as_py(), docs["trained"].to_numpy(zero_copy_only=False)
     words: Counter = Counter()
     seen: set[bytes] = set()
     keys, counts, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -85,24 +93,41 @@ def block_parts(buckets: int, docs: pa.Table) -> pa.Table:
                 for w in own:
                     words.update(w) if train else seen.update(w)
         at += len(part)
-    out = [{"block": block, "bucket": k, "words": w, "counts": [words.get(x, 0) for x in w]} for k, w in by_bucket(seen | words.keys(), buckets).items()]
-    ends = int(np.sum(trained))
-    out.append({"block": block, "bucket": -1, "grams": keys, "gram_counts": counts, "tokens": sum(words.values()) + ends, "ends": ends})
-    kinds = [("block", pa.int32()), ("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64())), ("gram_counts", pa.list_(pa.int64())), ("tokens", pa.int64()), ("ends", pa.int64())]
-    return pa.table({n: pa.array([r.get(n) for r in out], t) for n, t in kinds})
+    ends, dealt, of = int(np.sum(trained)), keys % PRIME % buckets, by_bucket(seen | words.keys(), buckets)
+    out = []
+    for k in range(buckets):
+        w, mine = of.get(k, []), dealt == k
+        out.append({"block": block, "bucket": k, "words": w, "counts": [words.get(x, 0) for x in w], "grams": keys[mine], "gram_counts": counts[mine]})
+    out[0] |= {"tokens": sum(words.values()) + ends, "ends": ends}
+    return table(out, PART)
+
+
+MERGED = "block int, bucket int, counts array<long>, grams array<long>, gram_counts array<long>, tokens long"
 
 
 def merge_bucket(parts: pa.Table) -> pa.Table:
-    """The corpus' count of each word of each block's part of one bucket, and (block -1) the words seen in training."""
+    """The corpus' count of each word of each block's part of a bucket; in block -1 its grams' counts, and in tokens the words seen in training."""
     total: dict[bytes, int] = {}
-    rows = [(b, w.as_py(), c.as_py()) for b, w, c in zip(parts["block"].to_pylist(), parts["words"], parts["counts"])]
-    for _, w, c in rows:
+    bucket, blocks = parts["bucket"][0].as_py(), parts["block"].to_pylist()
+    rows = [(w.as_py(), c.as_py()) for w, c in zip(parts["words"], parts["counts"])]
+    for w, c in rows:
         for x, n in zip(w, c):
             total[x] = total.get(x, 0) + n
-    counts = [[total[x] for x in w] for _, w, _ in rows]
-    blocks = [b for b, _, _ in rows] + [-1]
-    bucket = parts["bucket"][0].as_py()
-    return pa.table({"block": pa.array(blocks, pa.int32()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "c": pa.array([*counts, [sum(n > 0 for n in total.values())]], pa.list_(pa.int64()))})
+    out = [{"block": b, "bucket": bucket, "counts": [total[x] for x in w]} for b, (w, _) in zip(blocks, rows)]
+    g, c = (np.concatenate([x.values.to_numpy() for x in parts[n]]) for n in ("grams", "gram_counts"))
+    keys, counts = add(g[:0], c[:0], g, c)
+    return table([*out, {"block": -1, "bucket": bucket, "grams": keys, "gram_counts": counts, "tokens": sum(n > 0 for n in total.values())}], MERGED)
+
+
+def deliver(parts: pa.Table, lp: pa.Table) -> pa.Table:
+    """The grams of each block's part of a bucket with their log-probabilities."""
+    if not parts.num_rows:
+        return table([], "block int, grams array<long>, lp array<double>")
+    keys, values = lp["gram"].to_numpy(), lp["lp"].to_numpy()
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    held = [x.values.to_numpy() for x in parts["grams"]]
+    return table([{"block": b, "grams": g, "lp": values[np.searchsorted(keys, g)]} for b, g in zip(parts["block"].to_pylist(), held)], "block int, grams array<long>, lp array<double>")
 
 
 def low(code: str | Column, size: int) -> Column:
@@ -168,19 +193,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), (F.crc32(key.cast("binary")) % 7 != 2).alias("trained"), F.col(text_col).alias("text"))
     parts = cut(rows.groupBy("block").applyInArrow(lambda t: block_parts(buckets, t), PART))
-    words = cut(parts.where("bucket >= 0").groupBy("bucket").applyInArrow(merge_bucket, "block int, bucket int, c array<long>"))
-    sums = parts.where("bucket < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("ends"), F.lit(0)).alias("e")).first()
-    distinct = words.where("block < 0").agg(F.coalesce(F.sum(F.col("c")[0]), F.lit(0))).first()[0] + (sums.e > 0)
-    held = parts.where("bucket < 0").select("block", F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).select("block", F.col("g.grams").alias("gram"), F.col("g.gram_counts").alias("c"))
-    lp = cut(log_probabilities(held.groupBy("gram").agg(F.sum("c").alias("c"))))
-    wanted = held.select("block", "gram").join(lp, "gram").select("block", "gram", "lp", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("array<long>").alias("c"))
-    model = wanted.unionByName(words.where("block >= 0").select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("lp"), "bucket", "c"))
+    merged = cut(parts.groupBy("bucket").applyInArrow(merge_bucket, MERGED))
+    sums = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("ends"), F.lit(0)).alias("e")).first()
     total, ends = sums.n, sums.e
+    distinct = merged.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] + (ends > 0)
+    corpus = merged.where("block < 0").select(F.explode(F.arrays_zip("grams", "gram_counts")).alias("g")).select(F.col("g.grams").alias("gram"), F.col("g.gram_counts").alias("c"))
+    lp = log_probabilities(corpus).withColumn("bucket", (F.col("gram") % PRIME % buckets).cast("int"))
+    dealt = parts.select("block", "bucket", "grams").groupBy("bucket").cogroup(lp.groupBy("bucket")).applyInArrow(deliver, "block int, grams array<long>, lp array<double>")
+    model = dealt.withColumns({"bucket": F.lit(None).cast("int"), "counts": F.lit(None).cast("array<long>")}).unionByName(merged.where("block >= 0").select("block", "bucket", "counts"), allowMissingColumns=True)
 
     def apply(docs: pa.Table, model: pa.Table) -> pa.Table:
-        is_gram = pc.is_valid(model["gram"])
-        g, p = model.filter(is_gram), model.filter(pc.invert(is_gram))
-        codes, values = g["gram"].to_numpy(), g["lp"].to_numpy()
+        held = model.filter(pc.is_valid(model["grams"]))
+        codes, values = (np.concatenate([x.values.to_numpy() for x in held[n]] or [np.zeros(0)]) for n in ("grams", "lp"))
         order = np.argsort(codes)
         codes, values = codes[order], values[order]
         seen: set[bytes] = set()
@@ -188,8 +212,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
             for w in part:
                 seen.update(w)
         own, count = by_bucket(seen, buckets), {}
-        for k, c in zip(p["bucket"].to_pylist(), p["c"]):
-            count.update(zip(own[k], c.as_py()))
+        for k, c in zip(model["bucket"].to_pylist(), model["counts"]):
+            if k is not None:
+                count.update(zip(own.get(k, []), c.as_py()))
         out, floor, known_end = [], np.log10(float(total + distinct + 1)), ends > 0
         for part in in_parts(docs["text"]):
             for w in part:
