@@ -4,11 +4,13 @@ A line is split into threshold-plus-one segments. Two lines within the threshold
 share a segment unchanged, shifted by no more than the threshold allows; so each
 line is indexed by its segments and probes, for each length that a partner may
 have, the substrings that could be that partner's segments (length-aware,
-multi-match-aware selection). Everything is DataFrame functions.
+multi-match-aware selection). What meets is verified by a banded bit-parallel
+edit distance. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,18 +29,28 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select("id", "line_no", F.trim(F.col("raw"), F.lit(" \t\r\v\f")).alias("line"))
 
 
-def substring_keys(line: Column, size: Column, edits: int) -> Column:
-    """Array of (key, indexed): the line's own segments, and the substrings that it probes besides."""
+def substrings(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, segment, shift) of all that a line looks up: its own segments, shift and shorter 0, and its probes."""
     out, parts = [], edits + 1
     for shorter in range(edits + 1):
-        length = size - shorter
-        base, odd = F.floor(length / parts), parts - length % parts
         for i in range(parts):
-            start, width = i * base + F.greatest(F.lit(0), i - odd), base + (i >= odd).cast("int")
-            for s in range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1):
-                piece = F.substring(line, (start + s + 1).cast("int"), width.cast("int"))
-                out.append(F.struct(F.xxhash64(F.lit(i), length, piece).alias("key"), F.lit(shorter == 0 and s == 0).alias("indexed")))
-    return F.array(*out)
+            out += [(shorter, i, s) for s in range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1)]
+    return out
+
+
+def substring_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, line, key, indexed) of (h, line, size): each line's own segments, and the substrings that it probes besides.
+
+    The list of substrings is exploded before it is applied, so that the
+    generated code is one small loop.
+    """
+    parts = edits + 1
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("shorter", "i", "s"), x, strict=True)]) for x in substrings(edits)])
+    x = lines.select("h", "line", "size", F.explode(each).alias("k")).select("h", "line", (F.col("size") - F.col("k.shorter")).alias("length"), "k.*")
+    x = x.withColumn("base", F.expr(f"cast(length div {parts} as int)")).withColumn("odd", F.lit(parts) - F.col("length") % parts)
+    start = F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - F.col("odd")) + F.col("s") + 1
+    piece = F.substring(F.col("line"), start, F.col("base") + (F.col("i") >= F.col("odd")).cast("int"))
+    return x.select("h", "line", F.xxhash64("i", "length", piece).alias("key"), ((F.col("shorter") == 0) & (F.col("s") == 0)).alias("indexed"))
 
 
 def within(x: Column, y: Column, edits: int) -> Column:
@@ -74,24 +86,55 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return F.when(at.between(0, 2 * edits), F.call_function("shiftright", last, at).bitwiseAND(F.lit(1)) == 1).otherwise(F.lit(False))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)``, with ``x`` worked out once however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def common_prefix(x: Column, y: Column, most: Column) -> Column:
+    """Length, up to ``most``, of what two texts begin with alike (at most 2**17 - 1, which is enough to spare work)."""
+    powers = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    longer = lambda p, w: (p + w <= most) & (F.substring(x, p + 1, w) == F.substring(y, p + 1, w))
+    return F.aggregate(powers, F.lit(0), lambda p, w: F.when(longer(p, w), p + w).otherwise(p))
+
+
+def lines_within(x: Column, y: Column, edits: int) -> Column:
+    """Whether two lines, which differ in length by ``edits`` at most, are that many edits apart: what both begin and end with is left out."""
+
+    def middle(p: Column, s: Column) -> Column:
+        mx, my = (F.substring(t, p + 1, F.length(t) - p - s) for t in (x, y))
+        return F.when(F.least(F.length(mx), F.length(my)) <= 0, F.lit(True)).otherwise(within(F.split(mx, ""), F.split(my, ""), edits))
+
+    least = F.least(F.length(x), F.length(y))
+    return let(common_prefix(x, y, least), lambda p: let(common_prefix(F.reverse(x), F.reverse(y), least - p), lambda s: middle(p, s)))
+
+
+def pieces_kept(x: Column, y: Column, edits: int, parts: int = 8) -> Column:
+    """Whether all but ``edits`` of ``parts`` even pieces of ``x`` are somewhere in ``y``, as they are if so many edits lie between."""
+    width = F.expr(f"cast(length(x) div {parts} as int)")
+    return reduce(lambda n, k: n + y.contains(F.substring(x, width * k + 1, width)).cast("int"), range(parts), F.lit(0)) >= parts - edits
+
+
 def letter_counts(line: Column) -> Column:
     return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
 
 
 def line_links(lines: DataFrame, edits: int) -> DataFrame:
     """Links (a, b) of hashes, a < b, of different lines of (h, line, size) within ``edits`` edits."""
-    rows = lines.select("h", "line", F.explode(substring_keys(F.col("line"), F.col("size"), edits)).alias("k")).select("h", "line", "k.*")
+    rows = substring_keys(lines, edits)
     shared = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("indexed").alias("i"))
     keys = cut(shared.where("lo <> hi and i").select("key"))
     few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     met = rows.join(few, "key", "left_semi").groupBy("key", "h").agg(F.max("indexed").alias("indexed"), F.first("line").alias("line"))
     met = cut(met.withColumn("n", letter_counts(F.lower("line"))))
     a = met.where("indexed").select("key", F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx"))
-    b = met.select("key", F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny"))
-    # An edit changes the counts of letters by two at most; this spares most verifications.
+    b = met.select("key", F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny"), "indexed")
+    # An edit changes the counts of letters by two at most, and one piece; this spares most verifications.
     apart = F.aggregate(F.zip_with("nx", "ny", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
-    near = F.when(apart <= 2 * edits, within(F.split("x", ""), F.split("y", ""), edits)).otherwise(F.lit(False))
-    pairs = a.join(b, (a.key == b.key) & (F.col("a") != F.col("b")) & near)
+    alike = F.when(apart <= 2 * edits, pieces_kept(F.col("x"), F.col("y"), edits)).otherwise(F.lit(False))
+    near = F.when(alike, lines_within(F.col("x"), F.col("y"), edits)).otherwise(F.lit(False))
+    once = (F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("indexed"))
+    pairs = a.join(b, (a.key == b.key) & once & near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
