@@ -57,7 +57,7 @@ def articles(df: DataFrame, text: str, heading: str) -> DataFrame:
     """(…, position, number, body) between headings; ``heading`` is a pattern of a line with one group, the number."""
     form = f"(?m)^{heading}$"
     numbers, bodies = F.regexp_extract_all(text, F.lit(form), F.lit(1)), F.slice(F.split(text, form), F.lit(2), F.lit(1 << 30))
-    zipped = F.arrays_zip(numbers.alias("number"), F.transform(bodies, F.trim).alias("body"))
+    zipped = F.arrays_zip(numbers.alias("number"), F.transform(bodies, lambda b: F.regexp_replace(b, "^\\s+|\\s+$", "")).alias("body"))
     return df.select(*[c for c in df.columns if c != text], F.posexplode(zipped).alias("position", "a")).select("*", "a.number", "a.body").drop("a")
 
 
