@@ -147,7 +147,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are equal. Shorter lines have no class.
     """
     lines = lines_of(docs, id_col, text_col).withColumn("size", F.length("line")).where(F.col("size") >= min_chars).withColumn("h", F.xxhash64("line"))
-    occ = cut(lines.select("id", "line_no", "h"))
+    lines = cut(lines)  # split once; it is read three times
+    occ = lines.select("id", "line_no", "h")
     roots = components(line_links(lines.select("h", "line", "size"), edits))
     first = occ.groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("first"))
     rooted = cut(first.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root")))
