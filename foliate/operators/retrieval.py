@@ -25,12 +25,13 @@ def ranked(evidence: DataFrame, question: str, tokens: list[str], top: int = 12)
     question occurs. Items without a match go; of items with the same chunk and
     first 180 characters the best stays; ties go by id.
     """
-    text = question_text(F.col("text"))
+    # The normalised text is worked out once for each item, then met with every token.
+    found = F.transform(F.array(question_text(F.col("text"))), lambda q: F.struct(token_hits(q, tokens).alias("hits"), q.contains(question).alias("whole")))[0]
     bonus = reduce(lambda c, k: c.when(F.col("kind") == k, KIND[k]), KIND, F.when(F.lit(False), 0.0)).otherwise(0.0)
-    x = evidence.withColumn("hits", token_hits(text, tokens)).where("hits > 0")
-    x = x.withColumn("score", F.col("authority") + bonus + 2 * F.col("hits") + F.when(text.contains(question), 5.0).otherwise(0.0))
+    x = evidence.withColumn("__found", found).withColumn("hits", F.col("__found.hits")).where("hits > 0")
+    x = x.withColumn("score", F.col("authority") + bonus + 2 * F.col("hits") + F.when(F.col("__found.whole"), 5.0).otherwise(0.0))
     once = Window.partitionBy("chunk_id", F.left("text", F.lit(180))).orderBy(F.desc("score"), "id")
-    x = x.withColumn("__r", F.row_number().over(once)).where("__r = 1").drop("__r")
+    x = x.withColumn("__r", F.row_number().over(once)).where("__r = 1").drop("__r", "__found")
     return x.orderBy(F.desc("score"), "id").limit(top)  # the top is what is asked for
 
 
