@@ -113,11 +113,11 @@ def register_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH g AS (SELECT p_brand, p_type, round(least(0.99::DOUBLE, 0.62::DOUBLE * max(authority) + 0.23::DOUBLE * max(extraction) + 0.10::DOUBLE * max(classification) + least(0.15::DOUBLE, 0.05::DOUBLE * (count(DISTINCT l_suppkey) - 1))), 3) AS score, count(DISTINCT l_suppkey) AS sources,
- arg_max(p_name, (a, e, -seq)) AS value, min(seq) AS first_seq FROM (SELECT *, l_orderkey * 10 + l_linenumber AS seq FROM ({SCORED})) JOIN part ON p_partkey = l_partkey GROUP BY p_brand, p_type),
+ arg_max(p_name, (a, e, -seq)) AS value, min(seq) AS first_seq FROM (SELECT *, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM ({SCORED})) JOIN part ON p_partkey = l_partkey GROUP BY p_brand, p_type),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, sources DESC, first_seq) AS rank FROM g)
 SELECT p_brand, max(value) FILTER (rank = 1) AS value, max(score) FILTER (rank = 1) AS score, CASE WHEN max(score) FILTER (rank = 1) >= 0.82 THEN 'high' WHEN max(score) FILTER (rank = 1) >= 0.68 THEN 'medium' ELSE 'low' END AS level, max(sources) FILTER (rank = 1) AS sources, string_agg(rank || ':' || value, ',' ORDER BY rank) FILTER (rank > 1) AS alternatives FROM r WHERE rank <= 4 GROUP BY p_brand""")
 def canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = measured(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("seq", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    x = measured(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("seq", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey"))
     out = claims.canonical(claims.fact_groups(x, "p_brand", "p_type", "p_name", "l_suppkey"), "p_brand")
     return out.withColumn("alternatives", F.array_join(F.transform("alternatives", lambda a: F.concat_ws(":", a["rank"].cast("string"), a["value"])), ","))
 
