@@ -19,6 +19,7 @@ from foliate.llm.pii import pii_report, pseudonymise
 from foliate.llm.ppm import ORDER, score
 from foliate.llm.quality import gram_counts, kneser_ney, quality
 from foliate.llm.simhash import simhash_groups
+from foliate.llm.stages import one_of_each_group
 from foliate.llm.token_counts import token_counts
 from foliate.llm.token_output import read_tokens, token_digests, write_tokens
 
@@ -179,6 +180,28 @@ def test_simhash(spark, docs, rows, none):
     assert len(set(want.values())) < len(want) and not simhash_groups(none).count() and simhash_groups(docs).count() == len(rows)
 
 
+def shingles(t, n=5):
+    w = words(t)
+    return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
+
+
+def test_near_copies_of_the_stage(spark, rows, none):
+    r = random.Random(11)
+    texts = []
+    for k in range(25):  # copies with changed words: similarities on either side of 0.8
+        w = prose(r.randint(60, 400), 700 + k).split()
+        texts += [" ".join(w)] + [" ".join("zz" if r.random() < p else x for x in w) for p in (0.005, 0.01, 0.02, 0.03, 0.06)]
+    all_rows = [x[:2] for x in rows if x[0] is not None][:-1] + [(2000 + k, t) for k, t in enumerate(texts)]
+    of = {i: shingles(t) for i, t in all_rows}
+    alike = lambda a, b: a == b or len(a & b) / len(a | b) >= 0.8
+    root = groups(of, alike)
+    df = spark.createDataFrame(all_rows, "doc_id long, text string")
+    assert {x.doc_id for x in one_of_each_group(df).collect()} == {i for i in of if root[i] == i}
+    bits = {i: fingerprint(t, 5) for i, t in all_rows}
+    assert any(alike(of[a], of[b]) and (bits[a] ^ bits[b]).bit_count() > 4 for a in of for b in of)
+    assert not one_of_each_group(none).count()
+
+
 def distance(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
