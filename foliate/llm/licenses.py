@@ -88,7 +88,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
     Every line of the whole text is looked at; the best header counts, of equals
     the first identifier. ``is_file``: the name is that of a licence file, of
-    which every run of one to three lines is compared.
+    which every run of one to three lines is compared too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
             for b in by_bytes(whole, "text"):
                 keep, licence, score = [], [], []
                 for i, (text, is_file) in enumerate(zip(b.column("text").to_pylist(), b.column("is_file").to_pylist(), strict=True)):
-                    found = [matcher.best(h) for h in (windows(text) if is_file else headers(text, trigger))]
+                    found = [matcher.best(h) for h in [*(windows(text) if is_file else []), *headers(text, trigger)]]
                     found = [f for f in found if f[0] >= least]
                     if found:
                         top = min(found, key=lambda f: (-round(f[0], 9), f[1]))

@@ -75,13 +75,25 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source, then language, then document."""
-    from pyspark.sql import functions as F
+    """Documents as files of a tree: source, then language, then document.
 
-    from foliate.llm.licenses import license_scan
+    Of the documents with a header that matches a template, the first (smallest
+    id) of each source is the source's licence file, and of the rest the first
+    of each source and language is that directory's; the others stay files.
+    """
+    from pyspark.sql import functions as F
 
-    docs = documents(spark, sf_dir)
-    return license_scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+    from foliate.llm.licenses import license_scan, scan
+    from foliate.llm.shared import cut
+
+    docs = documents(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit("_")) for c in ("source", "lang")})
+    found = cut(scan(docs.withColumn("path", F.lit(None).cast("string"))).select(F.col("id").alias("doc_id")))
+    found = cut(docs.select("doc_id", "source", "lang").join(found, "doc_id", "left_semi"))
+    top = cut(found.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit("source").alias("of")))
+    low = found.join(top, "doc_id", "left_anti").groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit("lang").alias("of"))
+    name = F.concat(F.when(F.col("of").isNotNull(), "LICENSE.").otherwise(""), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", F.when(F.col("of").eqNullSafe("source"), None).otherwise(F.col("lang")), name)
+    return license_scan(docs.join(cut(top.union(low)), "doc_id", "left").select("doc_id", path.alias("path"), "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op5_lm_scoring, op6_token_output, op7_packing, op8_decontamination, op9_pii, op10_licenses)}

@@ -352,6 +352,16 @@ def test_licenses(spark, none):
     assert not license_scan(none.withColumn("path", F.col("id"))).count()
 
 
+def test_license_query_inherits(spark, tmp_path):
+    from foliate.llm.queries import op10_licenses
+
+    mit, gpl = "Released under the MIT License\nx", "GNU General Public License Version 3"
+    rows = [(1, mit, "en", "s"), (2, gpl, "en", "s"), (3, "plain", "en", "s"), (4, "plain", "de", "s"), (5, mit, "en", "s"), (6, "plain", "en", "t"), (7, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.licence, r.how, r.licence_dir) for r in op10_licenses(spark, str(tmp_path)).collect()}
+    assert got == {1: ("MIT", "file", None), 2: ("GPL-3.0", "file", None), 3: ("GPL-3.0", "inherited", "s/en"), 4: ("MIT", "inherited", "s"), 5: ("MIT", "header", None), 7: ("GPL-3.0", "inherited", "s/en")}
+
+
 def test_pipeline_against_plain_stages(spark):
     import corpus_pipeline
 
