@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import cut
+from foliate.llm.shared import cut, drop
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -28,7 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        drop(e, least)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         down = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(down.union(least).distinct())
+        drop(large, least)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +13,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where ``cut`` wrote each frame that it gave.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint folder exists (tests in
-    local mode) is a new local folder made and set.
+    Where neither the setting nor a checkpoint folder exists, a local master
+    (tests) gets a new local folder; a cluster is refused, as its executors
+    would not see each other's files.
     """
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliate-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -35,7 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here."""
     path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames; only for those that no later plan reads."""
+    for df in cuts:
+        if path := _paths.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column has it (Spark's names are equal whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
