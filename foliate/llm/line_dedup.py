@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm.components import components
-from foliate.llm.shared import cut
+from foliate.llm.shared import cut, drop, fresh
 
 #: Rows of 8 bytes that may be broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 1 << 20
@@ -135,66 +135,93 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     near = F.when(alike, lines_within(F.col("x"), F.col("y"), edits)).otherwise(F.lit(False))
     once = (F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("indexed"))
     pairs = a.join(b, (a.key == b.key) & once & near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    drop(keys, met)
+    return out
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(h, first, lo, hi): the first place of each hash of (id, line_no, h, g), and the least and largest second hash."""
+    return cut(lines.groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("first"), F.min("g").alias("lo"), F.max("g").alias("hi")))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
-    """(id, line_no, class_id, class_line_no) of each line with ``min_chars`` characters or more.
+    """(id, line_no, class_id, class_line_no, links) of each line that is not blank.
 
     A class holds lines that are equal, or linked through lines ``edits`` or fewer
-    edits apart, each over the whole table; it is named by its first line in
-    order of id and line number. Lines are compared by 64-bit hashes where they
-    are equal. Shorter lines have no class.
+    edits apart, over the whole table; it is named by its first line in order of
+    id and line number (nulls first). Only lines of ``min_chars`` characters or
+    more are linked by edits: so few edits make other words of shorter ones.
+    ``links`` counts the different lines that a line is linked to. Lines are equal
+    if two 64-bit hashes of them are. Null and empty texts have no lines here; rows
+    that share an id share their line numbers; an empty table gives no rows.
     """
-    lines = lines_of(docs, id_col, text_col).withColumn("size", F.length("line")).where(F.col("size") >= min_chars).withColumn("h", F.xxhash64("line"))
-    lines = cut(lines)  # split once; it is read three times
-    occ = lines.select("id", "line_no", "h")
-    roots = components(line_links(lines.select("h", "line", "size"), edits))
-    first = occ.groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("first"))
+    lines = lines_of(docs, id_col, text_col).where("line <> ''").withColumn("size", F.length("line"))
+    lines = cut(lines.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit("second"), "line")}))  # split once; it is read three times
+    first = first_lines(lines)
+    if first.where("lo <> hi").head(1):  # different lines with one hash get others
+        clash = first.where("lo <> hi").select("h", F.lit(True).alias("clash"))
+        again = cut(lines.join(clash, "h", "left").withColumn("h", F.when(F.col("clash"), F.xxhash64("h", "g")).otherwise(F.col("h"))).drop("clash"))
+        drop(lines, first)
+        lines, first = again, first_lines(again)
+    links = line_links(lines.where(F.col("size") >= min_chars).select("h", "line", "size"), edits)
+    roots = components(links)
     rooted = cut(first.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root")))
     head = cut(rooted.groupBy("root").agg(F.min("first").alias("head")))
-    named = cut(rooted.join(head, "root").select("h", "head"))
-    return occ.join(named, "h").select("id", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"))
+    degree = cut(links.select(F.col("a").alias("h")).unionAll(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("links")))
+    named = cut(rooted.join(head, "root").select("h", "head").join(degree, "h", "left").select("h", "head", F.coalesce("links", F.lit(0)).alias("links")))
+    drop(first, links, roots, rooted, head, degree)
+    return lines.select("id", "line_no", "h").join(named, "h").select("id", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), "links")
+
+
+def is_repeat(x: Column, doc: Column) -> Column:
+    """Whether a line (line_no, class_id, class_line_no) of ``doc`` is not the first of its class."""
+    return ~(doc.eqNullSafe(x["class_id"]) & (x["line_no"] == x["class_line_no"]))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
-    """A row for each id with lines to remove: id, removed (array of line_no, class_id, class_line_no, by line_no).
+    """A row for each id with lines to remove: id, removed (array of line_no).
 
     All lines of a class but its first are removed. Rows that share an id share
     their lines' numbers: a line that is first in one of them stays in all.
     """
     c = line_classes(docs, id_col, text_col, edits, min_chars)
-    out = c.where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("line_no") == F.col("class_line_no"))))
-    return out.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("line_no", "class_id", "class_line_no"))).alias("removed"))
+    out = c.where(is_repeat(F.struct("line_no", "class_id", "class_line_no"), F.col("id")))
+    return out.groupBy("id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
-    """A row for each row of ``docs``: id, n_lines, n_removed, removed_lines, first_docs.
+    """A row for each row of ``docs``: id, n_lines, n_removed, n_links, removed_lines, first_docs, class_docs.
 
     ``removed_lines`` numbers the lines that repeat an earlier one exactly or
     nearly; ``first_docs`` names, in the same order, the documents with the
-    first line of their classes. A null text has no lines, an empty one has one
-    (never removed, as all lines under ``min_chars``). Other columns are left out.
+    first line of their classes. ``class_docs`` does so for every line that is
+    not blank, and ``n_links`` adds up how many different lines each of these is
+    linked to. A null text has no lines, an empty one has one, which is blank.
+    Rows that share an id share their lines. Other columns are left out.
     """
-    gone = cut(repeated_lines(docs, id_col, text_col, edits, min_chars))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias("n"))
-    rows = rows.withColumn("n", F.greatest("n", F.lit(0)))
-    gone = gone.withColumnRenamed("id", "gone_id")
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left")
-    part = lambda f, kind: F.coalesce(F.transform("removed", lambda x: x[f]), F.array().cast(f"array<{kind}>"))
+    line = F.struct("line_no", "class_id", "class_line_no", "links")
+    own = cut(line_classes(docs, id_col, text_col, edits, min_chars).groupBy(F.col("id").alias("own_id")).agg(F.array_sort(F.collect_set(line)).alias("lines")))
+    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)), F.lit(0)).alias("n"))
     kind = rows.schema["id"].dataType.simpleString()
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), part("line_no", "int").alias("removed_lines"), part("class_id", kind).alias("first_docs"))
+    out = rows.join(own, F.col("id").eqNullSafe(F.col("own_id")), "left")
+    out = out.withColumn("lines", F.coalesce("lines", F.array().cast(f"array<struct<line_no:int,class_id:{kind},class_line_no:int,links:bigint>>")))
+    out = out.withColumn("gone", F.filter("lines", lambda x: is_repeat(x, F.col("id"))))
+    each = lambda c, f: F.transform(c, lambda x: x[f])
+    links = F.aggregate(each("lines", "links"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), links.alias("n_links"), each("gone", "line_no").alias("removed_lines"), each("gone", "class_id").alias("first_docs"), each("lines", "class_id").alias("class_docs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
     """``docs``, all its columns, with the text less its repeated lines; rows whose lines all go are dropped.
 
-    Rows without lines to remove, null texts included, are unchanged.
+    Rows without lines to remove, null and empty texts included, are unchanged;
+    repeated rows and ids as in ``line_classes``; an empty table gives no rows.
     """
-    gone = cut(repeated_lines(docs, id_col, text_col, edits, min_chars).select(F.col("id").alias("__gone_id"), F.transform("removed", lambda x: x["line_no"]).alias("__gone")))
-    x = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")), "left")
-    left = F.filter(F.split(text_col, "\n"), lambda v, i: ~F.array_contains(F.col("__gone"), i))
-    x = x.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    x = x.where("__gone is null or exists(__left, v -> trim(v) <> '')")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
+    gone_id, gone, left = (fresh(docs.columns, n) for n in ("gone_id", "gone", "left_lines"))
+    found = cut(repeated_lines(docs, id_col, text_col, edits, min_chars).toDF(gone_id, gone))
+    x = docs.join(found, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
+    x = x.withColumn(left, F.when(F.col(gone).isNotNull(), F.filter(F.split(text_col, "\n"), lambda v, i: ~F.array_contains(F.col(gone), i))))
+    x = x.where(F.col(gone).isNull() | F.exists(left, lambda v: F.trim(v, F.lit(" \t\r\v\f")) != ""))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return x.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
