@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.components import components
-from foliate.llm.shared import by_bytes, cut
+from foliate.llm.shared import by_bytes, cut, drop
 
 #: Most differing bits of a link. Of two 32-bit halves, one then differs in two bits at most.
 BITS = 4
@@ -160,5 +160,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     lowest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cut(rooted.join(lowest, "root").select("fp", "component_id"))
+    drop(nodes, roots, rooted, lowest)
     out = rows.join(named, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
