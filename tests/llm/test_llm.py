@@ -216,14 +216,13 @@ def brute_classes(rows, edits=2, least=20):
     lines = {}
     for i, t in rows:
         for n, x in enumerate((t or "").split("\n") if t is not None else []):
-            x = x.strip(" \t\r\v\f")
-            if len(x) >= least:
+            if x := x.strip(" \t\r\v\f"):
                 lines[i, n] = x
     at = {}
     for k in sorted(lines):
         at.setdefault(lines[k], k)
     letters = {x: Counter(x) for x in at}
-    near = lambda a, b: abs(len(a) - len(b)) <= edits and sum(((letters[a] - letters[b]) + (letters[b] - letters[a])).values()) <= 2 * edits and distance(a, b) <= edits
+    near = lambda a, b: min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and sum(((letters[a] - letters[b]) + (letters[b] - letters[a])).values()) <= 2 * edits and distance(a, b) <= edits
     root = groups({k: x for x, k in at.items()}, near)
     return {k: root[at[x]] for k, x in lines.items()}
 
@@ -374,7 +373,8 @@ def test_pipeline_against_plain_stages(spark):
         keep = [x for n, x in enumerate(t.split("\n")) if classes.get((i, n), (i, n)) == (i, n)]
         if len(keep) == len(t.split("\n")) or any(x.strip(" ") for x in keep):
             lines.append((i, "\n".join(keep)))
-    root = groups({i: fingerprint(t, 5) for i, t in lines}, lambda a, b: (a ^ b).bit_count() <= 4)
+    of = {i: shingles(t) for i, t in lines}
+    root = groups(of, lambda a, b: a == b or len(a & b) / len(a | b) >= 0.8)
     one = [(i, t) for i, t in lines if root[i] == i]
     leaked = {r.doc_id for r in matches(spark.createDataFrame(one, "doc_id long, text string"), bench).collect()}
     want = {i: len(ids_of(t)) + 1 for i, t in one if i not in leaked}
