@@ -1,19 +1,20 @@
 """Text functions as Column expressions: normalisers, parsers, token tests and value equivalences.
 
-Accents are folded for the letters of Latin-1 and Latin Extended-A that
-decompose; a letter that does not decompose (ß, ø) stays, or goes where a
-normaliser keeps ASCII only.
+Accents are folded for the Latin letters that decompose; a letter that does not
+decompose (ß, ø) stays, or goes where a normaliser keeps ASCII only. A null gives
+null throughout, and an empty text an empty one, unless a function says else.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters from U+00C0 to U+017F whose canonical decomposition begins with an ASCII letter, and that letter.
-FOLDED = {chr(c): d[0] for c in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
+#: Latin letters whose canonical decomposition begins with an ASCII letter, and that letter.
+FOLDED = {chr(c): d[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
 
 
 def fold(x: Column) -> Column:
@@ -85,37 +86,42 @@ def clipped(x: Column, size: int) -> Column:
 
 
 def money(x: Column) -> Column:
-    """An amount in either convention as a double; null without digits.
+    """An amount in either convention as a double; null for what is none.
 
-    With both separators the last one is the decimal mark. With one kind alone
-    it is a thousands mark if it stands more than once or before exactly three
-    last digits, else the decimal mark.
+    With both separators the last one is the decimal mark. Several dots alone, or
+    one kind whose last mark stands before exactly three characters, are thousands
+    marks; else the mark is a decimal one.
     """
     s = F.regexp_replace(x, "[^0-9,.-]", "")
     dots, commas = (F.length(s) - F.length(F.replace(s, F.lit(c), F.lit(""))) for c in ".,")
     no_dots, no_commas = F.replace(s, F.lit("."), F.lit("")), F.replace(s, F.lit(","), F.lit(""))
     last_dot, last_comma = F.length(s) - F.instr(F.reverse(s), "."), F.length(s) - F.instr(F.reverse(s), ",")
-    thousands = lambda n, c: (n > 1) | s.rlike(f"[{c}][0-9]{{3}}$")
-    decimal_comma = F.replace(no_dots, F.lit(","), F.lit("."))
+    points = lambda v: F.replace(v, F.lit(","), F.lit("."))
     plain = (
-        F.when((dots > 0) & (commas > 0), F.when(last_comma > last_dot, decimal_comma).otherwise(no_commas))
-        .when(commas > 0, F.when(thousands(commas, ","), no_commas).otherwise(decimal_comma))
-        .when(dots > 0, F.when(thousands(dots, "."), no_dots).otherwise(s))
+        F.when((dots > 1) & (commas == 0), no_dots)
+        .when((dots > 0) & (commas > 0), F.when(last_comma > last_dot, points(no_dots)).otherwise(no_commas))
+        .when(commas > 0, F.when(s.rlike(",[^,]{3}$"), no_commas).otherwise(points(s)))
+        .when((dots > 0) & s.rlike("[.][^.]{3}$"), no_dots)
         .otherwise(s)
     )
-    return F.when(s.rlike("[0-9]"), plain.try_cast("double"))
+    return plain.try_cast("double")
+
+
+def day_first(x: Column) -> Column:
+    """A text that is day, month and year with one kind of separator, as a date."""
+    return F.when(x.rlike(r"^[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{4}$"), F.try_to_timestamp(F.regexp_replace(x, "[/-]", "."), F.lit("d.M.yyyy")).cast("date"))
 
 
 def day(x: Column) -> Column:
-    """A date in one of four forms, else the first d.m.yyyy inside; null if none is a calendar day."""
-    parsed = [F.try_to_timestamp(F.trim(x), F.lit(f)) for f in ("dd.MM.yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy")]
-    inside = F.try_to_timestamp(F.regexp_extract(x, r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", 0), F.lit("d.M.yyyy"))
-    return F.coalesce(*parsed, inside).cast("date")
+    """Day first with dots, slashes or hyphens, or year-month-day; else the first day, month and year inside; null if that is no calendar day."""
+    s = F.trim(x)
+    iso = F.when(s.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_timestamp(s, F.lit("yyyy-M-d")).cast("date"))
+    return F.coalesce(day_first(s), iso, day_first(F.regexp_extract(x, r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}\b", 0)))
 
 
 def days(x: Column) -> Column:
-    """Every valid d.m.y of the text as dd.mm.yyyy, two-digit years in 20yy."""
-    found = F.regexp_extract_all(x, F.lit(r"[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{4}|[0-9]{2})(?![0-9])"), F.lit(0))
+    """Every valid d.m.y of the text as dd.mm.yyyy; years of 1900 to 2099, those of two digits in 20yy."""
+    found = F.regexp_extract_all(x, F.lit(r"\b[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)?[0-9]{2}\b"), F.lit(0))
     full = F.transform(found, lambda d: F.regexp_replace(F.regexp_replace(d, "[/-]", "."), r"\.([0-9]{2})$", ".20$1"))
     valid = F.filter(F.transform(full, lambda d: F.try_to_timestamp(d, F.lit("d.M.yyyy"))), lambda d: d.isNotNull())
     return F.transform(valid, lambda d: F.date_format(d, "dd.MM.yyyy"))
@@ -137,10 +143,14 @@ def query_tokens(x: Column, stop: list[str], least: int = 3) -> Column:
     return F.filter(F.split(question_text(x), " "), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
-def token_matches(token: Column, text: Column) -> Column:
-    """Inside the text, or either a prefix of the other for words of five letters or more."""
-    near = F.exists(F.split(text, " "), lambda w: (F.length(w) >= 5) & (F.length(token) >= 5) & (w.startswith(token) | token.startswith(w)))
-    return text.contains(token) | near
+def token_matches(token: Column | str, text: Column) -> Column:
+    """Inside the text, or a word of five letters or more of the text begins the token (the other way round is inside)."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    if isinstance(token, str):
+        begins = [padded.contains(f" {token[:n]} ") for n in range(5, len(token))]
+        return reduce(lambda a, b: a | b, begins, text.contains(token))
+    sizes = F.filter(F.sequence(F.lit(5), F.greatest(F.length(token), F.lit(5))), lambda n: n < F.length(token))
+    return text.contains(token) | F.exists(sizes, lambda n: padded.contains(F.concat(F.lit(" "), F.left(token, n), F.lit(" "))))
 
 
 def number_set(x: Column) -> Column:
@@ -152,33 +162,53 @@ def same_or_within(a: Column, b: Column, least: int = 8) -> Column:
     return (a == b) | ((F.least(F.length(a), F.length(b)) >= least) & (a.contains(b) | b.contains(a)))
 
 
+# Words that say little about a value.
+LOW_SIGNAL = ["bashkia", "date", "dat", "fshati", "kol", "leje", "ndertimi", "nr", "prot", "rep", "shpk"]
+
+
+def telling(x: Column) -> Column:
+    """Words of three letters or more of a normalised text that are not of low signal, repeats kept."""
+    return F.filter(F.split(x, " "), lambda w: (F.length(w) >= 3) & ~w.isin(*LOW_SIGNAL))
+
+
+def within(a: Column, b: Column) -> Column:
+    """Whether all of array ``a`` is in ``b``."""
+    return F.size(F.array_except(a, b)) == 0
+
+
 def same_numbers_or_tokens(a: Column, b: Column) -> Column:
-    """Two or more numbers, all equal; else every word of four letters or more of one in the other."""
-    na, nb = number_set(a), number_set(b)
-    words = lambda x: F.filter(F.split(alnum_text(x), " "), lambda w: F.length(w) >= 4)
-    inside = lambda x, y: (F.size(words(x)) > 0) & (F.size(F.array_except(words(x), words(y))) == 0)
-    return F.when((F.size(na) >= 2) & (F.size(nb) >= 2), na == nb).otherwise(inside(a, b) | inside(b, a))
+    """Equal; or two or more numbers, all the same; or all telling words of one in the other. Empty texts equal nothing."""
+    x, y = alnum_text(a), alnum_text(b)
+    nx, ny, wx, wy = number_set(x), number_set(y), telling(x), telling(y)
+    words = (F.size(wx) > 0) & (F.size(wy) > 0) & (within(wx, wy) | within(wy, wx))
+    return (x != "") & (y != "") & ((x == y) | ((F.size(nx) >= 2) & (nx == ny)) | words)
+
+
+def company_words(x: Column) -> Column:
+    """Words of S8, "sh p k" as one and "port" read as "prot"."""
+    s = F.regexp_replace(F.regexp_replace(question_text(x), r"\bsh p k\b", "shpk"), r"\bport\b", "prot")
+    return F.filter(F.split(s, " "), lambda w: w != "")
 
 
 def token_subset(a: Column, b: Column) -> Column:
-    """The words of one are all words of the other."""
-    wa, wb = F.split(alnum_text(a), " "), F.split(alnum_text(b), " ")
-    return (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
+    """The words of one are all words of the other; empty texts equal nothing."""
+    x, y = company_words(a), company_words(b)
+    return (F.size(x) > 0) & (F.size(y) > 0) & (within(x, y) | within(y, x))
 
 
 def inside_or_numbers(a: Column, b: Column) -> Column:
-    """One inside the other, or two numbers or more of one all in the other."""
-    na, nb = number_set(a), number_set(b)
-    part = lambda x, y: (F.size(x) >= 2) & (F.size(F.array_except(x, y)) == 0)
-    return a.contains(b) | b.contains(a) | part(na, nb) | part(nb, na)
+    """One inside the other (S10), or, with two numbers or more in the first, the numbers of one all in the other; empty texts equal nothing."""
+    x, y = compact(a), compact(b)
+    nx, ny = number_set(x), number_set(y)
+    return (x != "") & (y != "") & (x.contains(y) | y.contains(x) | ((F.size(nx) >= 2) & (within(nx, ny) | within(ny, nx))))
 
 
 def value_in_text(value: Column, text: Column, least: int = 3) -> Column:
-    """Inside; or all its numbers are; or ``least`` of its words (all, if it has fewer)."""
-    numbers, words = number_set(value), F.array_distinct(F.filter(F.split(alnum_text(value), " "), lambda w: F.length(w) >= 3))
-    said = F.size(F.filter(words, lambda w: alnum_text(text).contains(w)))
-    all_numbers = (F.size(numbers) > 0) & (F.size(F.array_except(numbers, number_set(text))) == 0)
-    return alnum_text(text).contains(alnum_text(value)) | all_numbers | ((F.size(words) > 0) & (said >= F.least(F.lit(least), F.size(words))))
+    """Inside (S9); or two different numbers or more, all in the text; or ``least`` of its telling words (all, if it has fewer)."""
+    v, t = alnum_text(value), alnum_text(text)
+    numbers, words = number_set(v), telling(v)
+    said = F.size(F.filter(words, lambda w: t.contains(w)))
+    return ((v != "") & t.contains(v)) | ((F.size(numbers) >= 2) & within(numbers, number_set(t))) | ((F.size(words) > 0) & (said >= F.least(F.lit(least), F.size(words))))
 
 
 def or_default(x: Column, default: float) -> Column:
@@ -196,15 +226,14 @@ def estimated_tokens(chars: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(chars / 4))
 
 
-#: P19, kinds of secrets: mail addresses and long hexadecimal strings after a key word.
-SECRETS = {"[email]": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[secret]": r'"[0-9a-fA-F]{32,}"'}
+# P19, what keys and tokens look like.
+SECRETS = [r"\bsk-[A-Za-z0-9_-]{16,}\b", r"\bgsk_[A-Za-z0-9_-]{16,}\b", r"\bAIza[A-Za-z0-9_-]{20,}\b", r"\b[0-9]{8,}:[A-Za-z0-9_-]{24,}\b", r"(?i)\b(?:api[_ -]?key|token|secret|celes|çeles|çelës)\b\s*(?:=|:|eshte|është)?\s*[A-Za-z0-9_.-]{20,}"]
+REDACTED = "[REDACTED_SECRET]"
 
 
 def has_secret(x: Column) -> Column:
-    return x.rlike("|".join(SECRETS.values()))
+    return reduce(lambda a, b: a | b, [x.rlike(p) for p in SECRETS])
 
 
 def redacted(x: Column) -> Column:
-    for mark, pattern in SECRETS.items():
-        x = F.regexp_replace(x, pattern, F.lit(mark))
-    return x
+    return reduce(lambda v, p: F.regexp_replace(v, p, REDACTED), SECRETS, x)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +32,49 @@ def pack(parts: Column, limit: int, sep: str, size=F.length, extra: int = 0, joi
     return F.transform(groups, lambda g: F.array_join(g, sep)) if joined else groups
 
 
+def batches(rows: DataFrame, by: str, order: str, size: str, limit: int) -> DataFrame:
+    """W7 over rows: (by, batch, n, sizes): each group's sizes in ``order``, packed greedily into batches of at most ``limit``.
+
+    A group's rows, keys and sizes only, stream through one task in order, as
+    every batch depends on the one before; nothing is held but the open batch.
+    Nulls in ``order`` come first; a null size counts as 0.
+    """
+    import pyarrow as pa
+
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, held, out, begun = None, 0, [], [], False
+
+        def full() -> None:
+            nonlocal held, n
+            out.append((key, number, len(held), ",".join(map(str, held))))
+            held, n = [], 0
+
+        number = 0
+        for part in parts:
+            for k, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if not begun or k != key:
+                    if held:
+                        full()
+                    key, number, begun = k, 0, True
+                if held and n + v > limit:
+                    full()
+                    number += 1
+                held.append(v)
+                n += v
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (part.schema.field(0).type, pa.int32(), pa.int32(), pa.string()), strict=True)], [by, "batch", "n", "sizes"])
+                out.clear()
+            schema = part.schema
+        if held:
+            full()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (schema.field(0).type, pa.int32(), pa.int32(), pa.string()), strict=True)], [by, "batch", "n", "sizes"])
+
+    sorted_rows = rows.select(by, F.coalesce(size, F.lit(0)).cast("long").alias("size"), order).repartition(by).sortWithinPartitions(by, order, "size").select(by, "size")
+    return sorted_rows.mapInArrow(run, f"{by} {kind}, batch int, n int, sizes string")
+
+
 def split_long(part: Column, limit: int) -> Column:
     """A part over ``limit`` cut, again and again, at the last space within it (at the limit without one)."""
     begin = F.struct(F.array().cast("array<string>").alias("done"), part.alias("rest"))
@@ -61,15 +107,106 @@ def articles(df: DataFrame, text: str, heading: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != text], F.posexplode(zipped).alias("position", "a")).select("*", "a.number", "a.body").drop("a")
 
 
+# Names of an office file's parts, which are no content.
+LOW_VALUE = ["root entry", "compobj", "summaryinformation", "document summaryinformation", "microsoft project", "projectdata"]
+SCHEDULE_DATE = r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}\b"
+
+
+def tidy(x: Column) -> Column:
+    """Control characters and white space as single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[\x00-\x08\x0b-\x1f\x7f]+", " "), r"(?U)\s+", " "))
+
+
 def clean_lines(df: DataFrame, key: str, text: str, shortest: int = 3, longest: int = 500) -> DataFrame:
-    """(key, line_no, line): squeezed lines of useful length and content, each once for a key, case ignored."""
-    x = df.select(key, F.posexplode(F.split(text, "\\R")).alias("line_no", "raw"))
-    x = x.select(key, "line_no", F.trim(F.regexp_replace("raw", "\\s+", " ")).alias("line"))
-    letters, digits = F.length(F.regexp_replace("line", "[^A-Za-z]", "")), F.length(F.regexp_replace("line", "[^0-9]", ""))
-    useful = F.length("line").between(shortest, longest) & ((letters >= 2) | (digits >= 4))
+    """(key, line_no, line): tidy lines of useful length and content, each once for a key, case ignored.
+
+    Useful is a line with two letters of any script or four digits that is not
+    the name of a file's part. Null texts have no lines.
+    """
+    x = df.select(key, F.posexplode(F.split(text, "\\R")).alias("line_no", "raw")).select(key, "line_no", tidy(F.col("raw")).alias("line"))
+    letters, digits = F.length(F.regexp_replace("line", r"\P{L}", "")), F.length(F.regexp_replace("line", r"\P{Nd}", ""))
+    useful = F.length("line").between(shortest, longest) & ((letters >= 2) | (digits >= 4)) & ~F.lower("line").isin(*LOW_VALUE)
     return x.where(useful).groupBy(key, F.lower("line").alias("low")).agg(F.min(F.struct("line_no", "line")).alias("f")).select(key, "f.*")
 
 
+def schedule_lines(lines: DataFrame, key: str, terms: list[str], most: int = 500, fallback: int = 300) -> DataFrame:
+    """Of lines (key, line_no, line) those with a term or a date, the first ``most``; the first ``fallback`` of all where there are none."""
+    low = F.lower("line")
+    hit = reduce(lambda a, b: a | b, [low.contains(w) for w in terms], low.rlike(SCHEDULE_DATE))
+    x = lines.withColumn("_hit", hit)
+    own = Window.partitionBy(key)
+    x = x.withColumns({"_any": F.max("_hit").over(own), "_rank": F.row_number().over(Window.partitionBy(key, "_hit").orderBy("line_no")), "_all": F.row_number().over(own.orderBy("line_no"))})
+    kept = F.when(F.col("_any"), F.col("_hit") & (F.col("_rank") <= most)).otherwise(F.col("_all") <= fallback)
+    return x.where(kept).drop("_hit", "_any", "_rank", "_all")
+
+
+def placed_chunks(blocks: DataFrame, keys: list[str], place: str, text: str, limit: int = 4000, sep: str = "\n\n") -> DataFrame:
+    """(keys, chunk_index, start, end, chunk): blocks (paragraphs, rows, lines) with their places, packed in order of place.
+
+    A block over ``limit`` is cut; each part keeps the block's place. ``start``
+    and ``end`` are the places of a chunk's first and last part. Blank blocks go.
+    """
+    part = F.transform(split_long(F.trim(F.col(text)), limit), lambda p: F.struct(F.col(place).alias("at"), p.alias("part")))
+    rows = blocks.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(*keys, F.posexplode(part).alias("n", "p")).select(*keys, "n", "p.*")
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "n", "part"))).alias("ps"))
+    sizes = F.transform("ps", lambda p: F.length(p["part"]))
+    begin = F.struct(F.lit(0).cast("long").alias("size"), F.lit(-1).alias("chunk"), F.array().cast("array<int>").alias("of"))
+
+    def step(s: Column, n: Column) -> Column:
+        opens = (s["chunk"] < 0) | (s["size"] + len(sep) + n > limit)
+        chunk = F.when(opens, s["chunk"] + 1).otherwise(s["chunk"])
+        return F.struct(F.when(opens, n.cast("long")).otherwise(s["size"] + len(sep) + n).alias("size"), chunk.alias("chunk"), F.concat(s["of"], F.array(chunk)).alias("of"))
+
+    placed = held.select(*keys, F.explode(F.arrays_zip("ps", F.aggregate(sizes, begin, step, lambda s: s["of"]).alias("chunk_index"))).alias("x"))
+    placed = placed.select(*keys, "x.chunk_index", "x.ps.*")
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "part"))), lambda p: p["part"]), sep)
+    return placed.groupBy(*keys, "chunk_index").agg(F.min("at").alias("start"), F.max("at").alias("end"), text_of.alias("chunk"))
+
+
+def page_text(pages: DataFrame, keys: list[str], page: str, text: str, header: str = "--- Faqe {} ---") -> DataFrame:
+    """(keys, text): a document's pages with text in their order, each under its number."""
+    before, after = header.split("{}")
+    row = F.struct(F.col(page).alias("n"), F.concat(F.lit(before), F.col(page).cast("string"), F.lit(after + "\n"), F.col(text)).alias("t"))
+    kept = pages.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+    return kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["t"]), "\n\n").alias("text"))
+
+
+def stored_chunks(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """``stored`` chunks (key, chunk_index, chunk) with those of the documents in ``fresh`` replaced: blank ones left out, numbered from 0."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy("chunk_index", "chunk")) - 1
+    new = fresh.where(F.trim(F.coalesce("chunk", F.lit(""))) != "").select(key, number.alias("chunk_index"), "chunk")
+    return stored.join(fresh.select(key).distinct(), key, "left_anti").select(key, "chunk_index", "chunk").unionByName(new)
+
+
+def parse_status(suffix: Column, texts: Column, methods: Column, pages: Column) -> Column:
+    """Of a document's chunks (arrays of texts and extraction methods): read with recognition, read, to be recognised, or empty."""
+    readable = F.filter(F.arrays_zip(texts.alias("t"), methods.alias("m")), lambda c: F.trim(F.coalesce(c["t"], F.lit(""))) != "")
+    seen = F.exists(readable, lambda c: F.coalesce(c["m"] == "tesseract_tsv", F.lit(False)))
+    image = suffix.isin(".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
+    return F.when(seen, "parsed_with_ocr").when(F.size(readable) > 0, "parsed").when(image & (F.coalesce(pages, F.lit(0)) > 0), "needs_ocr").otherwise("empty")
+
+
+def is_parsed(status: Column) -> Column:
+    """A document that was read; a missing status is none."""
+    return F.coalesce(status.isin("parsed", "parsed_with_ocr"), F.lit(False))
+
+
+def excerpt(text: Column, size: int = 20_000) -> Column:
+    """The lines that are not blank, without white space at their ends, ``size`` characters at most. Null becomes empty."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.trim(x) != "")
+    return F.left(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"), F.lit(size))
+
+
+def relevant_excerpt(text: Column, terms: list[str], size: int, first: int = 8, least: int = 8, alike: int = 140) -> Column:
+    """The ``first`` lines of ``least`` characters or more and those with a term, of ones that begin alike the first; ``size`` characters at most."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: F.length(x) >= least)
+    told = F.filter(lines, lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in terms]))
+    keys = F.transform(told, lambda x: F.left(F.lower(x), F.lit(alike)))
+    once = F.filter(told, lambda x, i: F.array_position(keys, F.left(F.lower(x), F.lit(alike))) == i + 1)
+    begin = F.slice(lines, 1, first)
+    return F.left(F.array_join(F.concat(begin, F.array_except(once, begin)), "\n"), F.lit(size))
+
+
 def ocr_lines(words: DataFrame, keys: list[str], least: float) -> DataFrame:
     """Words (left, top, width, height, conf, text, word_num) into lines: box, length-weighted confidence, text."""
     good = words.where((F.col("conf") >= least) & (F.trim("text") != ""))

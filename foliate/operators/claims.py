@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.functions import fields, text
 from foliate.functions.text import or_default
 
 
@@ -23,7 +24,7 @@ def level(score: Column, high: float, medium: float) -> Column:
 
 def corroboration(authority: Column, extraction: Column, classification: Column, sources: Column) -> Column:
     """The unrounded score of a register entry."""
-    return F.least(F.lit(0.99), 0.57 * authority + 0.25 * extraction + 0.10 * classification + F.least(F.lit(0.15), 0.05 * (sources - 1)))
+    return F.least(F.lit(0.99), 0.57 * authority + 0.25 * extraction + 0.10 * classification + F.least(F.lit(0.15), 0.05 * F.greatest(F.lit(0), sources - 1)))
 
 
 def register_entries(claims: DataFrame, keys: list[str], source: str) -> DataFrame:
@@ -47,14 +48,15 @@ def routed(claims: DataFrame, rules: dict[str, Column], otherwise: str) -> DataF
 
 
 def fact_groups(candidates: DataFrame, field: str, norm: str, value: str, source: str) -> DataFrame:
-    """A group for each field and normalised value: its score, level and best-supported value."""
+    """A group for each field and normalised value: its score, level and best-supported value; well-proven construction permits get a little more."""
     x = candidates.groupBy(field, norm).agg(
         F.max(or_default(F.col("authority"), 0.45)).alias("authority"), F.max(or_default(F.col("extraction"), 0.6)).alias("extraction"),
         F.max(or_default(F.col("classification"), 0.5)).alias("classification"), F.countDistinct(source).alias("sources"),
         F.max_by(F.col(value), F.struct("authority", "extraction", F.negative("seq"))).alias("value"), F.min("seq").alias("first_seq"),
     )
-    more = F.least(F.lit(0.15), 0.05 * (F.col("sources") - 1))
-    score = F.round(F.least(F.lit(0.99), 0.62 * F.col("authority") + 0.23 * F.col("extraction") + 0.10 * F.col("classification") + more), 3)
+    more = F.least(F.lit(0.15), 0.05 * F.greatest(F.lit(0), F.col("sources") - 1))
+    permit = F.when(F.col(field).startswith("construction_permit") & (F.col("authority") >= 0.9), 0.04).otherwise(0.0)
+    score = F.round(F.least(F.lit(0.99), 0.62 * F.col("authority") + 0.23 * F.col("extraction") + 0.10 * F.col("classification") + more + permit), 3)
     return x.withColumn("score", score).withColumn("level", level(F.col("score"), 0.82, 0.68))
 
 
@@ -67,9 +69,41 @@ def canonical(groups: DataFrame, field: str, alternatives: int = 3) -> DataFrame
     return ranked.groupBy(field).agg(pick("value"), pick("score"), pick("level"), pick("sources"), others.alias("alternatives"))
 
 
+def conflicts(facts: DataFrame, field: str, blocking: list[str]) -> DataFrame:
+    """A row for each canonical fact of a ``blocking`` field with alternatives: field, selected value and score, alternatives."""
+    return facts.where((F.size("alternatives") > 0) & F.col(field).isin(*blocking)).select(field, F.col("value").alias("selected_value"), F.col("score").alias("selected_score"), "alternatives")
+
+
+def integrity(facts: DataFrame, eligible: int | Column = 0, analysed: int | Column = 0) -> DataFrame:
+    """Issues (code, severity, detail): a start after the completion among facts (field, value); documents not analysed."""
+    when = lambda f: F.max(F.when(F.col("field") == f, text.day(F.col("value"))))
+    order = facts.agg(when("start_date").alias("a"), when("completion_date").alias("b")).where("a > b")
+    order = order.select(F.lit("DOSSIER-CHRONOLOGY-ORDER").alias("code"), F.lit("major").alias("severity"), F.concat(F.date_format("a", "dd.MM.yyyy"), F.lit(" > "), F.date_format("b", "dd.MM.yyyy")).alias("detail"))
+    lit = lambda n: F.lit(n) if isinstance(n, int) else n
+    gap = facts.sparkSession.range(1).select((lit(eligible) - lit(analysed)).alias("n")).where("n > 0")
+    return order.unionByName(gap.select(F.lit("DOSSIER-ANALYSIS-COVERAGE").alias("code"), F.lit("major").alias("severity"), F.col("n").cast("string").alias("detail")))
+
+
+def backfilled(entries: DataFrame, facts: DataFrame) -> DataFrame:
+    """Register entries (register, field, value, confidence, level) and one for each fact (field, value, confidence, level) whose field no entry has, in the first register that takes it."""
+    own = facts.withColumn("field", fields.canonical_field(F.col("field"))).where("field <> '' and trim(coalesce(value, '')) <> ''")
+    own = own.groupBy("field").agg(F.min(F.struct("value", "confidence", "level")).alias("f")).select("field", "f.*")
+    late = own.join(entries.select("field").distinct(), "field", "left_anti")
+    return entries.unionByName(late.withColumn("register", fields.registers(F.lit("other"), F.col("field"))[0]).select(*entries.columns))
+
+
+def overridden(facts: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Facts (field, value, confidence) with a user's values (field, value): confidence 1, the old value kept as an alternative; new fields are added."""
+    o = overrides.select("field", F.col("value").alias("said"))
+    x = facts.join(o, "field", "full_outer")
+    given = F.col("said").isNotNull()
+    other = given & F.col("value").isNotNull() & (F.col("value") != F.col("said"))
+    return x.select("field", F.coalesce("said", "value").alias("value"), F.when(given, 1.0).otherwise(F.col("confidence")).alias("confidence"), given.alias("user_confirmed"), F.when(other, F.col("value")).alias("alternative"))
+
+
 def relations(claims: DataFrame, anchors: DataFrame, document: str) -> DataFrame:
     """Of each document whether its anchor fields agree with the selected ones (field, selected)."""
-    x = claims.join(F.broadcast(anchors), "field")  # a row for each anchor field
+    x = claims.join(anchors, "field")
     same = F.col("value").eqNullSafe(F.col("selected"))
     n = x.groupBy(document).agg(F.count_if(same).alias("matches"), F.count_if(~same).alias("conflicts"))
     label = F.when((F.col("matches") >= 2) | ((F.col("matches") >= 1) & (F.col("conflicts") == 0)), "target").when(F.col("conflicts") >= 2, "foreign").otherwise("unlinked")

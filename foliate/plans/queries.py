@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import text as t
-from foliate.operators import audit, chunks, claims, classify, retrieval, sync, windows
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its name, with the SQL that gives the same rows."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def joined(x: Column) -> Column:
-    """An array as one text."""
-    return F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
-
+from foliate.operators import audit, chunks, claims, classify, evidence, retrieval, sync, windows
+from foliate.plans.registry import joined, query, table
 
 #: Signatures of the example vocabulary: (type, terms that must all occur, confidence).
 BY_NAME = [("manual", ["src1"], 0.9), ("letter", ["src2"], 0.85)]
@@ -123,9 +97,9 @@ def canonical_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_custkey, matches, conflicts, CASE WHEN matches >= 2 OR (matches >= 1 AND conflicts = 0) THEN 'target' WHEN conflicts >= 2 THEN 'foreign' ELSE 'unlinked' END AS relation FROM (
-SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') + count(*) FILTER (o_orderpriority = '1-URGENT') AS matches, count(*) FILTER (o_orderstatus <> 'O') + count(*) FILTER (o_orderpriority <> '1-URGENT') AS conflicts FROM orders WHERE o_orderkey % 5 = 0 GROUP BY o_custkey)""")
+SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') + count(*) FILTER (o_orderpriority = '1-URGENT') AS matches, count(*) FILTER (o_orderstatus <> 'O') + count(*) FILTER (o_orderpriority <> '1-URGENT') AS conflicts FROM orders GROUP BY o_custkey)""")
 def project_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")  # the orders that state their anchors
+    orders = table(spark, sf_dir, "orders")
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("o_orderstatus", "o_orderpriority")]))
     anchors = spark.createDataFrame([("o_orderstatus", "O"), ("o_orderpriority", "1-URGENT")], "field string, selected string")
     return claims.relations(orders.select("o_custkey", fields.alias("f")).select("o_custkey", "f.*"), anchors, "o_custkey")
@@ -145,19 +119,20 @@ def economic_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("l_suppkey", difference.cast("double").alias("difference"), percent.cast("double").alias("percent"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_orderkey % 11 <> 0 AS supported, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS version FROM orders WHERE o_orderkey % 4 <> 0),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 > 0 THEN CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END END AS version, CASE o_orderkey % 13 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'active' END AS status FROM orders WHERE o_orderkey % 7 <> 0)
-SELECT * FROM (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL OR NOT supported THEN CASE WHEN status = 'active' THEN 'deleted' WHEN a.o_orderkey IS NOT NULL THEN 'skipped' END
- WHEN b.o_orderkey IS NULL OR status = 'failed' THEN 'new' WHEN status <> 'active' OR (a.version IS NOT NULL AND b.version IS NOT NULL AND a.version <> b.version) THEN 'changed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey) WHERE change IS NOT NULL""")
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey % 11 <> 0 AS supported, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS version FROM orders),
+b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 6 > 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'P' ELSE 'O' END END AS version, CASE p_size % 13 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'active' END AS status FROM part)
+SELECT * FROM (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL OR NOT supported THEN CASE WHEN status = 'active' THEN 'deleted' WHEN a.k IS NOT NULL THEN 'skipped' END
+ WHEN b.k IS NULL OR status = 'failed' THEN 'new' WHEN status <> 'active' OR (a.version IS NOT NULL AND b.version IS NOT NULL AND a.version <> b.version) THEN 'changed' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.k = b.k) WHERE change IS NOT NULL""")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    """A scan of all orders against a manifest of all parts, whose keys overlap."""
     none = F.lit(None).cast("string")
     rest = [none.alias("md5"), none.cast("timestamp").alias("modified"), F.lit(1).alias("size")]
-    refs = orders.where(key % 4 != 0).select(key, (key % 11 != 0).alias("supported"), F.when(key % 5 > 0, F.col("o_orderstatus")).alias("version"), *rest)
-    version = F.when(key % 6 > 0, F.when(key % 9 == 0, "X").otherwise(F.col("o_orderstatus")))
-    status = F.when(key % 13 == 0, "failed").when(key % 13 == 1, "pending").otherwise("active")
-    manifest = orders.where(key % 7 != 0).select(key, version.alias("version"), *rest, key.alias("file_version_id"), status.alias("status"))
-    return sync.snapshot_diff(refs, manifest, "o_orderkey")
+    key, part = F.col("o_orderkey"), F.col("p_partkey")
+    refs = table(spark, sf_dir, "orders").select(key.alias("k"), (key % 11 != 0).alias("supported"), F.when(key % 5 > 0, F.col("o_orderstatus")).alias("version"), *rest)
+    version = F.when(part % 6 > 0, F.when(part % 4 == 0, "F").when(part % 4 == 1, "P").otherwise("O"))
+    status = F.when(F.col("p_size") % 13 == 0, "failed").when(F.col("p_size") % 13 == 1, "pending").otherwise("active")
+    manifest = table(spark, sf_dir, "part").select(part.alias("k"), version.alias("version"), *rest, part.alias("file_version_id"), status.alias("status"))
+    return sync.snapshot_diff(refs, manifest, "k")
 
 
 @query()
@@ -167,15 +142,13 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's documents, as sizes in ascending id order, packed into batches of at most 16,000 estimated tokens."""
-    one = F.struct("doc_id", t.estimated_tokens(F.length("text")).cast("string").alias("n"))
-    sizes = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("block")).agg(F.array_sort(F.collect_list(one)).alias("d"))
-    batches = chunks.pack(F.transform("d", lambda x: x["n"]), 16_000, "", size=lambda p: p.cast("long"), joined=False)
-    return sizes.select("source", "block", F.posexplode(batches).alias("batch", "sizes")).select("source", "block", "batch", F.size("sizes").alias("n"), joined(F.col("sizes")).alias("sizes"))
+    """Each source's documents, in ascending id order, packed into batches of at most 16,000 estimated tokens."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", t.estimated_tokens(F.length("text")).alias("size"))
+    return chunks.batches(docs, "source", "doc_id", "size", 16_000)
 
 
 @query("""WITH l AS (SELECT doc_id, i - 1 AS line_no, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
-SELECT doc_id, min(line_no)::INT AS line_no, arg_min(line, line_no) AS line FROM l WHERE length(line) BETWEEN 3 AND 500 AND (length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 2 OR length(regexp_replace(line, '[^0-9]', '', 'g')) >= 4) GROUP BY doc_id, lower(line)""")
+SELECT doc_id, min(line_no)::INT AS line_no, arg_min(line, line_no) AS line FROM l WHERE length(line) BETWEEN 3 AND 500 AND (length(regexp_replace(line, '[^\\pL]', '', 'g')) >= 2 OR length(regexp_replace(line, '[^\\p{Nd}]', '', 'g')) >= 4) AND lower(line) NOT IN ('root entry', 'compobj', 'summaryinformation', 'document summaryinformation', 'microsoft project', 'projectdata') GROUP BY doc_id, lower(line)""")
 def first_seen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.clean_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -186,7 +159,7 @@ QUESTION, TOKENS = "passages with contact data", ["passages", "hein", "tion"]
 @query("""WITH e AS (SELECT 'd' || doc_id AS id, 'chunk' AS kind, text, 0.5 AS authority, doc_id AS chunk_id FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, 'claim', text, 0.4, 1000000 + conv_id * 100 + turn FROM conversations UNION ALL SELECT 'b' || item_id, 'law', text, 0.9, 2000000 + item_id FROM benchmark),
 n AS (SELECT *, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9/]+', ' ', 'g')) AS q FROM e),
 h AS (SELECT *, (contains(q, 'passages') OR len(list_filter(string_split(q, ' '), lambda w: length(w) >= 5 AND (starts_with(w, 'passages') OR starts_with('passages', w)))) > 0)::INT + contains(q, 'hein')::INT + contains(q, 'tion')::INT AS hits FROM n),
-s AS (SELECT *, (authority + CASE kind WHEN 'claim' THEN 4.0 WHEN 'chunk' THEN 2.5 ELSE 0.5 END + 2 * hits + CASE WHEN contains(q, 'passages with contact data') THEN 5.0 ELSE 0.0 END)::DOUBLE AS score FROM h WHERE hits > 0),
+s AS (SELECT *, (authority + CASE kind WHEN 'claim' THEN 4.0 WHEN 'chunk' THEN 0.5 ELSE 2.5 END + 2 * hits + CASE WHEN contains(q, 'passages with contact data') THEN 5.0 ELSE 0.0 END)::DOUBLE AS score FROM h WHERE hits > 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, left(text, 180) ORDER BY score DESC, id) AS r FROM s)
 SELECT id, kind, hits, score FROM o WHERE r = 1 ORDER BY score DESC, id LIMIT 12""")
 def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +209,11 @@ def first_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.representative(table(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"], ["l_suppkey", "l_quantity"])
 
 
-@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '"[0-9a-fA-F]{32,}"', '[secret]', 'g')) AS digest FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}|"[0-9a-fA-F]{32,}"')""")
+P = [r"\bsk-[A-Za-z0-9_-]{16,}\b", r"\bgsk_[A-Za-z0-9_-]{16,}\b", r"\bAIza[A-Za-z0-9_-]{20,}\b", r"\b[0-9]{8,}:[A-Za-z0-9_-]{24,}\b", r"(?i)\b(?:api[_ -]?key|token|secret|celes|çeles|çelës)\b\s*(?:=|:|eshte|është)?\s*[A-Za-z0-9_.-]{20,}"]
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{P[0]}', '[REDACTED_SECRET]', 'g'), '{P[1]}', '[REDACTED_SECRET]', 'g'), '{P[2]}', '[REDACTED_SECRET]', 'g'), '{P[3]}', '[REDACTED_SECRET]', 'g'), '{P[4]}', '[REDACTED_SECRET]', 'g')) AS digest
+FROM documents WHERE regexp_matches(text, '{P[0]}|{P[1]}|{P[2]}|{P[3]}') OR regexp_matches(text, '{P[4]}')""")
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(t.has_secret(F.col("text"))).select("doc_id", F.md5(t.redacted(F.col("text"))).alias("digest"))
 
@@ -249,9 +226,10 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT source, list(DISTINCT doc_id) FILTER (toxic = 1) AS cited, list(DISTINCT doc_id) FILTER (quality = 1) AS current FROM documents JOIN labels USING (doc_id) GROUP BY source)
 SELECT source, coalesce(len(cited), 0) > 0 AND len(list_filter(coalesce(cited, []), lambda x: NOT list_contains(coalesce(current, []), x))) = 0 AS is_current FROM s""")
 def evidence_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    got = x.groupBy("source").agg(F.collect_set(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("cited"), F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("now"))
-    return got.select("source", audit.current_evidence(F.col("cited"), F.col("now")).alias("is_current"))
+    x = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("evidence_id")).join(table(spark, sf_dir, "labels"), "doc_id")
+    cited = x.where("toxic = 1").select("evidence_id", F.col("doc_id").alias("version"))
+    items = x.select("evidence_id", F.lit("register_entry").alias("kind")).distinct()
+    return evidence.current_sources(items, cited, x.where("quality = 1").select(F.col("doc_id").alias("version"))).select(F.col("evidence_id").alias("source"), "is_current")
 
 
 @query("""SELECT (SELECT count(*) FROM labels WHERE toxic = 1) AS high, (SELECT count(*) FROM labels WHERE quality = 0) AS medium, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS low""")
@@ -299,28 +277,28 @@ def value_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", t.same_or_within(a, b).alias("same"), t.token_subset(a, b).alias("subset"), t.value_in_text(F.split(a, " ")[0], b).alias("said"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return sync.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("changed")), ["c_custkey"])
+    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"))
+    return sync.upsert(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), new, ["c_custkey"])
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'changed' END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def insert_missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return sync.insert_missing(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("changed")), ["c_custkey"])
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"))
+    return sync.insert_missing(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), new, ["s_suppkey"])
 
 
-@query("SELECT c_nationkey, c_custkey FROM customer WHERE CASE WHEN c_nationkey % 2 = 0 THEN c_custkey % 10 = 0 ELSE c_custkey % 2 = 0 END OR (c_nationkey % 2 = 0 AND c_custkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM customer d WHERE d.c_nationkey = customer.c_nationkey AND d.c_custkey % 10 = 0))")
+@query("SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT s_nationkey, s_suppkey FROM supplier")
 def replace_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
-    return sync.replace_groups(c.where("c_custkey % 2 = 0"), c.where("c_nationkey % 2 = 0 and c_custkey % 10 = 0"), "c_nationkey")
+    new = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("c_custkey"))
+    return sync.replace_groups(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), new, "c_nationkey")
 
 
-@query("""SELECT c.c_custkey, coalesce(max(version_number), 0)::INT + 1 AS version_number FROM customer c LEFT JOIN (SELECT o_custkey, o_orderkey % 9 AS version_number FROM orders) o ON o_custkey = c_custkey WHERE c_custkey % 2 = 0 GROUP BY c.c_custkey""")
+@query("""SELECT c.c_custkey, coalesce(max(version_number), 0)::INT + 1 AS version_number FROM customer c LEFT JOIN (SELECT o_custkey, o_orderkey % 9 AS version_number FROM orders) o ON o_custkey = c_custkey GROUP BY c.c_custkey""")
 def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 9).cast("int").alias("version_number"))
-    return sync.add_versions(held, table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey"), "c_custkey")
+    return sync.add_versions(held, table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
 @query("""WITH w AS (SELECT doc_id, line_no, i - 1 AS word_num, x AS text FROM (SELECT doc_id, line_no, unnest(string_split(line, ' ')) AS x, generate_subscripts(string_split(line, ' '), 1) AS i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents))),

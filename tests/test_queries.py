@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from foliate.plans.queries import ORACLE, QUERIES
+import foliate.plans.dossier
+import foliate.plans.queries  # noqa: F401  both register
+from foliate.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,14 +70,14 @@ def test_chunks(spark, duck):
 
 
 def test_batch_packing(spark, duck):
-    rows = duck.execute("select source, doc_id // 1000, list(greatest(1, ceil(length(text) / 4))::int order by doc_id) from labels join documents using (doc_id) group by 1, 2").fetchall()
+    rows = duck.execute("select source, list(greatest(1, ceil(length(text) / 4))::int order by doc_id) from documents group by 1").fetchall()
     want = []
-    for source, block, sizes in rows:
+    for source, sizes in rows:
         done, cur = [], []
         for n in sizes:
             if cur and sum(cur) + n > 16_000:
                 done.append(cur)
                 cur = []
             cur.append(n)
-        want += [(source, block, i, len(b), ",".join(map(str, b))) for i, b in enumerate([*done, cur])]
+        want += [(source, i, len(b), ",".join(map(str, b))) for i, b in enumerate([*done, cur])]
     assert sorted(map(tuple, QUERIES["batch_packing"](spark, SF).collect())) == sorted(want)
