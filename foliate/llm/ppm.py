@@ -8,126 +8,150 @@ counts from the whole corpus, and scores its documents with those.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import cut
+from foliate.llm.shared import cut, drop, free
 
 #: Bytes of context. A gram, a context and the byte after it, is one long, the latest byte lowest.
 ORDER = 5
 END = b"\n"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """ASCII-lower-cased words, split on the six ASCII white spaces."""
-    return (text or "").encode().lower().split()
-
-
-def grams(words: list[bytes]) -> np.ndarray:
-    """The gram of each byte of the words, joined by spaces, and of the end."""
-    b = np.frombuffer(END * ORDER + b" ".join(words) + END, dtype=np.uint8).astype(np.int64)
-    n = len(b) - ORDER
-    code = b[:n].copy()
-    for k in range(1, ORDER + 1):
-        code = code << 8 | b[k : k + n]
-    return code
+def split(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.ListArray, pa.DictionaryArray, np.ndarray]:
+    """The words of each text, ASCII-lower-cased and split on the six ASCII white spaces; all words, numbered; and how many each text has."""
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat, at = words.flatten(), words.offsets.to_numpy()
+    real = pc.not_equal(flat, "")
+    upto = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))[at - at[0]]
+    flat = flat.filter(real)
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), flat), flat.dictionary_encode(), np.diff(upto)
+
+
+def grams(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of each text's bytes, words joined by spaces, and of its end, end to end; and where each text begins."""
+    joined = pc.binary_join(words, pa.scalar(" ", pa.large_string()))
+    joined = pa.concat_arrays([joined])
+    at, data = np.frombuffer(joined.buffers()[1], dtype=np.int64)[: len(joined) + 1], joined.buffers()[2]
+    sizes, n = np.diff(at), np.arange(len(joined))
+    # Before each text stand ORDER ends, after it one.
+    b = np.full(int(at[-1]) + len(joined) * (ORDER + 1), ord(END), dtype=np.uint8)
+    if data is not None:
+        b[np.arange(at[-1]) + np.repeat(n * (ORDER + 1) + ORDER, sizes)] = np.frombuffer(data, dtype=np.uint8)[: at[-1]]
+    b = b.astype(np.int64)
+    code = np.zeros(max(len(b) - ORDER, 0), dtype=np.int64)
+    for k in range(ORDER + 1):
+        code = code << 8 | b[k : k + len(code)]
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    return code[np.arange(int((sizes + 1).sum())) + np.repeat(n * ORDER, sizes + 1)], begin
 
 
-def in_parts(texts: pa.ChunkedArray | pa.Array, size: int = 1 << 20) -> Iterator[list[list[bytes]]]:
-    """The tokens of each text, in lists of about ``size`` bytes."""
-    part, n = [], 0
-    for x in texts:
-        w = tokens(x.as_py())
-        part.append(w)
-        n += sum(map(len, w))
-        if n >= size:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def in_parts(counts: np.ndarray, size: int = 1 << 19) -> Iterator[slice]:
+    """Runs of texts of about ``size`` words."""
+    block = np.cumsum(counts + 1) // size
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(counts)]
+    return (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
 
 
-def by_bucket(words: set[bytes], buckets: int) -> dict[int, list[bytes]]:
-    """The words of each bucket, sorted: the same for the same set anywhere."""
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return {k: sorted(v) for k, v in out.items()}
+def by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of different words by bucket, then by their bytes, and where each bucket begins: the same for the same set anywhere."""
+    order = pc.sort_indices(words).to_numpy().astype(np.int64)
+    words = pa.concat_arrays([words])
+    at = np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[: at[-1]].astype(np.int64)
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    sums = np.add.reduceat(data * (place * 2_654_435_761 % 1_000_003 + 1), at[:-1]) if len(words) else np.zeros(0, np.int64)
+    bucket = sums % PRIME % buckets
+    order = order[np.argsort(bucket[order], kind="stable")]
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def add(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(np.concatenate((keys, more)), return_inverse=True)
-    return u, np.bincount(inverse, weights=np.concatenate((counts, n)), minlength=len(u)).astype(np.int64)
+def add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-#: Grams are dealt into buckets by their remainder by a prime.
+#: Grams and words are dealt into buckets by a remainder by a prime.
 PRIME = 1_000_003
 PART = "block int, bucket int, words array<binary>, counts array<long>, grams array<long>, gram_counts array<long>, tokens long, ends long"
-KINDS = {"block": pa.int32(), "bucket": pa.int32(), "words": pa.list_(pa.binary()), "counts": pa.list_(pa.int64()), "grams": pa.list_(pa.int64()), "gram_counts": pa.list_(pa.int64()), "tokens": pa.int64(), "ends": pa.int64(), "lp": pa.list_(pa.float64())}
 
 
-def table(rows: list[dict], columns: str) -> pa.Table:
-    names = [c.split()[0] for c in columns.split(", ")]
-    return pa.table({n: pa.array([r.get(n) for r in rows], KINDS[n]) for n in names})
+def lists(values: np.ndarray | pa.Array, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 def block_parts(buckets: int, docs: pa.Table) -> pa.Table:
     """What a block holds: for each bucket its words and grams with training counts; in bucket 0 also its training tokens and ends."""
-    block, trained = docs["block"][0].as_py(), docs["trained"].to_numpy(zero_copy_only=False)
-    words: Counter = Counter()
-    seen: set[bytes] = set()
-    keys, counts, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    for part in in_parts(docs["text"]):
-        for train in (True, False):
-            own = [w for w, t in zip(part, trained[at : at + len(part)]) if t == train]
-            if own:
-                u, n = np.unique(np.concatenate([grams(w) for w in own]), return_counts=True)
-                keys, counts = add(keys, counts, u, n * train)
-                for w in own:
-                    words.update(w) if train else seen.update(w)
-        at += len(part)
-    ends, dealt, of = int(np.sum(trained)), keys % PRIME % buckets, by_bucket(seen | words.keys(), buckets)
-    out = []
-    for k in range(buckets):
-        w, mine = of.get(k, []), dealt == k
-        out.append({"block": block, "bucket": k, "words": w, "counts": [words.get(x, 0) for x in w], "grams": keys[mine], "gram_counts": counts[mine]})
-    out[0] |= {"tokens": sum(words.values()) + ends, "ends": ends}
-    return table(out, PART)
+    trained = docs["trained"].to_numpy(zero_copy_only=False).astype(bool)
+    words, code, sizes = split(docs["text"])
+    counts = np.bincount(code.indices.to_numpy()[np.repeat(trained, sizes)], minlength=len(code.dictionary))
+    keys, key_counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in in_parts(sizes):
+        codes, begin = grams(words[part])
+        train = np.repeat(trained[part], np.diff(begin, append=len(codes)))
+        for own, t in ((codes[train], 1), (codes[~train], 0)):
+            u, n = np.unique(own, return_counts=True)
+            keys.append(u)
+            key_counts.append(n * t)
+    keys, key_counts = add(np.concatenate(keys), np.concatenate(key_counts))
+    order, at = by_bucket(code.dictionary, buckets)
+    dealt = keys % PRIME % buckets
+    by = np.argsort(dealt, kind="stable")
+    gram_at = np.searchsorted(dealt[by], np.arange(buckets + 1))
+    first = np.arange(buckets) == 0
+    free()
+    out = pa.table({
+        "block": pa.array(np.full(buckets, docs["block"][0].as_py()), pa.int32()), "bucket": pa.array(np.arange(buckets), pa.int32()),
+        "words": lists(code.dictionary.take(pa.array(order)).cast(pa.large_binary()).cast(pa.binary()), at), "counts": lists(counts[order], at),
+        "grams": lists(keys[by], gram_at), "gram_counts": lists(key_counts[by], gram_at),
+        "tokens": pa.array(np.where(first, int(counts.sum() + trained.sum()), None), pa.int64()), "ends": pa.array(np.where(first, int(trained.sum()), None), pa.int64()),
+    })
+    return out.filter(pa.array(first | (np.diff(at) > 0) | (np.diff(gram_at) > 0)))
 
 
 MERGED = "block int, bucket int, counts array<long>, grams array<long>, gram_counts array<long>, tokens long"
 
 
+def joined(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All values of a column of lists, end to end, and where each list begins and the last ends."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    at = whole.offsets.to_numpy()
+    return whole.flatten(), at - at[0]
+
+
 def merge_bucket(parts: pa.Table) -> pa.Table:
     """The corpus' count of each word of each block's part of a bucket; in block -1 its grams' counts, and in tokens the words seen in training."""
-    total: dict[bytes, int] = {}
-    bucket, blocks = parts["bucket"][0].as_py(), parts["block"].to_pylist()
-    rows = [(w.as_py(), c.as_py()) for w, c in zip(parts["words"], parts["counts"])]
-    for w, c in rows:
-        for x, n in zip(w, c):
-            total[x] = total.get(x, 0) + n
-    out = [{"block": b, "bucket": bucket, "counts": [total[x] for x in w]} for b, (w, _) in zip(blocks, rows)]
-    g, c = (np.concatenate([x.values.to_numpy() for x in parts[n]]) for n in ("grams", "gram_counts"))
-    keys, counts = add(g[:0], c[:0], g, c)
-    return table([*out, {"block": -1, "bucket": bucket, "grams": keys, "gram_counts": counts, "tokens": sum(n > 0 for n in total.values())}], MERGED)
+    words, at = joined(parts["words"])
+    code = words.dictionary_encode()
+    index = code.indices.to_numpy()
+    total = np.bincount(index, weights=joined(parts["counts"])[0].to_numpy(), minlength=len(code.dictionary)).astype(np.int64)
+    keys, counts = add(joined(parts["grams"])[0].to_numpy(), joined(parts["gram_counts"])[0].to_numpy())
+    none, n = np.zeros(0, np.int64), len(parts)
+    return pa.table({
+        "block": pa.concat_arrays([*parts["block"].chunks, pa.array([-1], pa.int32())]), "bucket": pa.array(np.full(n + 1, parts["bucket"][0].as_py()), pa.int32()),
+        "counts": lists(np.concatenate((total[index], none)), np.append(at, at[-1])),
+        "grams": lists(keys, np.append(np.zeros(n + 1), len(keys))), "gram_counts": lists(counts, np.append(np.zeros(n + 1), len(keys))),
+        "tokens": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
+    })
 
 
 def deliver(parts: pa.Table, lp: pa.Table) -> pa.Table:
     """The grams of each block's part of a bucket with their log-probabilities."""
-    if not parts.num_rows:
-        return table([], "block int, grams array<long>, lp array<double>")
     keys, values = lp["gram"].to_numpy(), lp["lp"].to_numpy()
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
-    held = [x.values.to_numpy() for x in parts["grams"]]
-    return table([{"block": b, "grams": g, "lp": values[np.searchsorted(keys, g)]} for b, g in zip(parts["block"].to_pylist(), held)], "block int, grams array<long>, lp array<double>")
+    held, at = joined(parts["grams"])
+    return pa.table({"block": parts["block"], "grams": lists(held, at), "lp": lists(values[np.searchsorted(keys, held.to_numpy())], at)})
 
 
 def low(code: str | Column, size: int) -> Column:
@@ -171,10 +195,12 @@ def log_probabilities(corpus: DataFrame) -> DataFrame:
         gain = F.when(hit, F.log10(F.col("c") / (t + d))).when(miss & (d > 0), F.log10(d / (t + d))).otherwise(F.lit(0.0))
         x = x.select("gram", (F.col("lp") + gain).alias("lp"), (F.col("done") | hit).alias("done"), F.when(miss, F.col("xt")).otherwise(F.col("t")).alias("t"), F.when(miss, F.col("xd")).otherwise(F.col("d")).alias("d"))
     rest = F.log10(F.greatest(F.coalesce("d", F.lit(256)), F.lit(1)).cast("double"))
-    return x.select("gram", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - rest).alias("lp"))
+    lp = cut(x.select("gram", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - rest).alias("lp")))
+    drop(corpus, *level.values(), *node.values())
+    return lp
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """A row for each row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32 of the id as text has remainder 2 by 7 are held out, the
@@ -182,16 +208,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     words and an end. ``base_score`` is the add-one unigram's log10 probability of
     those tokens, ``score`` that of the byte model for the words, joined by
     spaces, and the end; its contexts are ``ORDER`` bytes at most and its counts
-    cover every training row. ``blocks`` (as many as shuffle partitions) bounds
-    the memory of a task: a block's texts and what they hold. Rows that share an
+    cover every training row. Rows are dealt by a hash of id and text into blocks
+    of about ``block_bytes`` of text, which bounds the memory of a task (a block's
+    texts and what they hold; a single longer text is a block's whole content),
+    and grams and words into a bucket for every eight blocks. Rows that share an
     id are scored each; a null id counts as empty text for the split. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    blocks = max(-(-size // block_bytes), 1)
     buckets = max(12, blocks // 8)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), (F.crc32(key.cast("binary")) % 7 != 2).alias("trained"), F.col(text_col).alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64(key, F.col(text_col)), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), (F.crc32(key.cast("binary")) % 7 != 2).alias("trained"), F.col(text_col).alias("text"))
     parts = cut(rows.groupBy("block").applyInArrow(lambda t: block_parts(buckets, t), PART))
     merged = cut(parts.groupBy("bucket").applyInArrow(merge_bucket, MERGED))
     sums = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("ends"), F.lit(0)).alias("e")).first()
@@ -203,26 +231,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     model = dealt.withColumns({"bucket": F.lit(None).cast("int"), "counts": F.lit(None).cast("array<long>")}).unionByName(merged.where("block >= 0").select("block", "bucket", "counts"), allowMissingColumns=True)
 
     def apply(docs: pa.Table, model: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.table({n: pa.array([], k) for n, k in (("id", docs["id"].type), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         held = model.filter(pc.is_valid(model["grams"]))
-        codes, values = (np.concatenate([x.values.to_numpy() for x in held[n]] or [np.zeros(0)]) for n in ("grams", "lp"))
-        order = np.argsort(codes)
-        codes, values = codes[order], values[order]
-        seen: set[bytes] = set()
-        for part in in_parts(docs["text"]):
-            for w in part:
-                seen.update(w)
-        own, count = by_bucket(seen, buckets), {}
-        for k, c in zip(model["bucket"].to_pylist(), model["counts"]):
-            if k is not None:
-                count.update(zip(own.get(k, []), c.as_py()))
-        out, floor, known_end = [], np.log10(float(total + distinct + 1)), ends > 0
-        for part in in_parts(docs["text"]):
-            for w in part:
-                c = np.array([count[x] for x in w], dtype=np.float64)
-                base = np.log10(c + 1).sum() + np.log10(ends + 1.0) - (len(w) + 1) * floor
-                out.append((len(w) + 1, int((c > 0).sum()) + known_end, base, values[np.searchsorted(codes, grams(w))].sum()))
-        n, known, base, s = zip(*out) if out else ((), (), (), ())
-        return pa.table({"id": docs["id"], "trained": docs["trained"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(s, pa.float64())})
+        codes, values = (joined(held[n])[0].to_numpy() for n in ("grams", "lp"))
+        found = pd.Index(codes)
+        words, code, sizes = split(docs["text"])
+        order, at = by_bucket(code.dictionary, buckets)
+        count = np.zeros(len(order), dtype=np.float64)
+        own = model.filter(pc.is_valid(model["counts"]))
+        for k, c in zip(own["bucket"].to_pylist(), own["counts"]):
+            count[order[at[k] : at[k + 1]]] = c.values.to_numpy()
+        count = count[code.indices.to_numpy()]
+        floor, begin = np.log10(float(total + distinct + 1)), np.cumsum(sizes) - sizes
+        upto = lambda x: np.concatenate(([0], np.cumsum(x)))
+        each = lambda x: upto(x)[begin + sizes] - upto(x)[begin]
+        base = np.array([np.log10(count[b : b + n] + 1).sum() for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)])
+        base += np.log10(ends + 1.0) - (sizes + 1) * floor
+        score = []
+        for part in in_parts(sizes):
+            g, first = grams(words[part])
+            score.append(np.add.reduceat(values[found.get_indexer(g)], first))
+        del words, code, found
+        free()
+        return pa.table({"id": docs["id"], "trained": docs["trained"], "n_tokens": pa.array(sizes + 1), "n_known": pa.array(each(count > 0).astype(np.int64) + int(ends > 0)), "base_score": pa.array(base), "score": pa.array(np.concatenate(score))})
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(apply, f"id {kind}, trained boolean, n_tokens long, n_known long, base_score double, score double")
