@@ -50,8 +50,8 @@ def with_units(x: Column) -> Column:
     number = r"(\d+(?:[.,]\d+)?)"
     point = lambda v: F.regexp_replace(v, r"(\d),(\d+ m²)", "$1.$2")
     v = F.regexp_replace(t.squeeze(x), rf"(?i)\b{number}\s*\(\s*{number}\s*m\s*(?:2|²)?\s*podrum\s*\)", "$1 m², nga të cilat $2 m² podrum")
-    v = F.regexp_replace(v, rf"(?i)\b{number}\s*m\s*(?:2\b|²(?=\w))", "$1 m²")
-    return F.regexp_replace(point(v), r"(?i)\bkg/cm\s*(?:2\b|²(?=\w))", "kg/cm²")
+    v = F.regexp_replace(v, rf"(?i)\b{number}\s*m\s*(?:2\b|²(?!\w))", "$1 m²")
+    return F.regexp_replace(point(v), r"(?i)\bkg/cm\s*(?:2\b|²(?!\w))", "kg/cm²")
 
 
 def with_places(x: Column) -> Column:

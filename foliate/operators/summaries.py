@@ -146,8 +146,8 @@ def required_details(entries: DataFrame, facts: DataFrame, by: str, each: int =
         known = F.exists(got, lambda g: (g["field"] == d["field"]) & t.inside_or_numbers(d["value"], g["value"]))
         return F.when((F.size(got) < most) & (same_group < each) & ~known, F.concat(got, F.array(d))).otherwise(got)
 
-    out = held.select(by, F.posexplode(F.aggregate("all", F.array().cast(kind), step)).alias("n", "d"))
-    return out.select(by, "n", "d.evidence_id", "d.group", "d.register", F.col("d.field").alias("field_name"), "d.value", "d.priority", (F.col("d.priority") <= 2).alias("must_include"))
+    out = held.select(by, F.posexplode(F.aggregate("all", F.array().cast(kind), step)).alias("n", "_d"))
+    return out.select(by, "n", "_d.evidence_id", "_d.group", "_d.register", F.col("_d.field").alias("field_name"), "_d.value", "_d.priority", (F.col("_d.priority") <= 2).alias("must_include"))
 
 
 def within_budget(items: DataFrame, by: str, size: str, priority: list, budget: int) -> DataFrame:
