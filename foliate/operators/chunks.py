@@ -16,19 +16,21 @@ def pack(parts: Column, limit: int, sep: str, size=F.length, extra: int = 0, joi
     the limit; a part over the limit stands alone. Gives an array of texts
     (``joined``) or of arrays of parts.
     """
-    none = F.array().cast("array<string>")
-    begin = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("cur"), F.lit(0).cast("long").alias("n"))
 
     def step(s: Column, p: Column) -> Column:
         cost = size(p).cast("long") + extra
         gap = F.when(s["n"] > 0, F.lit(len(sep))).otherwise(F.lit(0))
-        full = (F.size(s["cur"]) > 0) & (s["n"] + gap + cost > limit)
-        done = F.when(full, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
-        cur = F.when(full, F.array(p)).otherwise(F.concat(s["cur"], F.array(p)))
-        return F.struct(done.alias("done"), cur.alias("cur"), F.when(full, cost).otherwise(s["n"] + gap + cost).alias("n"))
+        full = (s["i"] > s["open"]) & (s["n"] + gap + cost > limit)
+        # Only where a group ends is kept, so that a step copies nothing.
+        breaks = F.when(full, F.concat(s["breaks"], F.array(s["i"]))).otherwise(s["breaks"])
+        return F.struct(breaks.alias("breaks"), F.when(full, s["i"]).otherwise(s["open"]).alias("open"), (s["i"] + 1).alias("i"), F.when(full, cost).otherwise(s["n"] + gap + cost).alias("n"))
 
-    last = lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])
-    groups = F.aggregate(parts, begin, step, last)
+    def cut(ps: Column) -> Column:
+        begin = F.struct(F.array().cast("array<int>").alias("breaks"), F.lit(0).alias("open"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("n"))
+        spans = lambda br: F.zip_with(F.concat(F.array(F.lit(0)), br), F.concat(br, F.array(F.size(ps))), lambda x, y: F.slice(ps, x + 1, y - x))
+        return F.when(F.size(ps) > 0, F.transform(F.array(F.aggregate(ps, begin, step, lambda s: s["breaks"])), spans)[0]).otherwise(F.array().cast("array<array<string>>"))
+
+    groups = F.transform(F.array(parts), cut)[0]  # the parts are worked out once
     return F.transform(groups, lambda g: F.array_join(g, sep)) if joined else groups
 
 

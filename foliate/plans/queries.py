@@ -19,7 +19,7 @@ KIND_SQL = """CASE WHEN contains(lower(source), 'src1') THEN 'manual' WHEN conta
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = classify.classify(F.lower("source"), F.lower("text"), BY_NAME, BY_TEXT)
+    c = classify.classify(F.lower("source"), F.lower(F.left("text", F.lit(12_000))), BY_NAME, BY_TEXT)
     return table(spark, sf_dir, "documents").select("doc_id", "lang", c.alias("c")).select("doc_id", "lang", F.col("c.type").alias("type"), F.col("c.confidence").alias("confidence"))
 
 
