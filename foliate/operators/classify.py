@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions import text as t
+from foliate.operators import signatures
+
 #: (type, terms that must all occur, confidence)
 Signature = tuple[str, list[str], float]
 
@@ -32,3 +37,29 @@ def classify(name: Column, text: Column, by_name: list[Signature], by_text: list
     """
     none = F.struct(F.lit(0.0).alias("confidence"), F.lit("unknown").alias("type"))
     return F.coalesce(best_signature(name, by_name), best_signature(F.left(text, F.lit(window)), by_text), none)
+
+
+def classify_document(name: Column, text: Column, by_name: list[Signature] | None = None, by_text: list[Signature] | None = None, window: int = 12_000) -> Column:
+    """K1: (confidence, type) over normalised names and texts (S1), in tiers: laws are unknown; the name; a permit's heading in the first 3,000 characters; the text.
+
+    A law has a law's word in its name and one of its phrases in the first 4,000
+    characters. Missing names and texts count as empty.
+    """
+    n = t.class_text(F.coalesce(name, F.lit("")))
+    body = t.class_text(F.coalesce(text, F.lit("")))
+    any_of = lambda x, words: reduce(lambda a, b: a | b, [x.contains(w) for w in words])
+    value = lambda kind, confidence: F.struct(F.lit(confidence).alias("confidence"), F.lit(kind).alias("type"))
+    law = any_of(n, signatures.LAW_NAMES) & any_of(F.left(body, F.lit(4_000)), signatures.LAW_WORDS)
+    head = F.left(body, F.lit(3_000))
+    permit = F.when(head.contains("leje ndertimi") & any_of(head, signatures.CONSTRUCTION_HEADS), value("construction_permit", 0.99)).when(head.contains("leje zhvillimi") & any_of(head, signatures.DEVELOPMENT_HEADS), value("development_permit", 0.99))
+    named = best_signature(n, signatures.listed(signatures.NAME) if by_name is None else by_name)
+    told = best_signature(F.left(body, F.lit(window)), [s for s in signatures.listed(signatures.TEXT) if s[0] not in signatures.NOT_IN_TEXT] if by_text is None else by_text)
+    return F.when(law, value("unknown", 0.0)).otherwise(F.coalesce(named, permit, told, value("unknown", 0.0)))
+
+
+def reclassified(docs: DataFrame, found: Column, kind: str, confidence: str) -> DataFrame:
+    """K2: documents (kind, confidence) with what is ``found`` now where it is surer, and whether the type changed."""
+    x = docs.withColumn("_f", found)
+    surer = F.col("_f.confidence") > F.coalesce(confidence, F.lit(0.0))
+    new = F.when(surer, F.col("_f.type")).otherwise(F.col(kind))
+    return x.withColumns({"changed": ~new.eqNullSafe(F.col(kind)), kind: new, confidence: F.when(surer, F.col("_f.confidence")).otherwise(F.col(confidence))}).drop("_f")

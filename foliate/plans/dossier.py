@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import fields, labels
 from foliate.functions import text as t
-from foliate.operators import access, audit, chunks, claims, evidence, extraction, retrieval, summaries, sync, verification, windows
+from foliate.operators import access, audit, chunks, claims, classify, evidence, extraction, retrieval, summaries, sync, verification, windows
 from foliate.plans.registry import joined, query, table
 
 c = F.col
@@ -540,3 +540,15 @@ def capped_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight different values of each category."""
     x = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("category"), c("l_suppkey").cast("string").alias("value"), "l_suppkey", "l_partkey")
     return extraction.capped_facts(windows.first_of(x, ["category", "value"], ["l_suppkey"]), ["l_suppkey"]).select("l_partkey", "l_suppkey", "rank")
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'vkm' WHEN 1 THEN 'x' WHEN 2 THEN 'project_schedule' WHEN 3 THEN 'x' WHEN 4 THEN 'x' WHEN 5 THEN 'kolaudim_act' WHEN 6 THEN 'x' ELSE 'x' END AS k FROM documents)
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'unknown' WHEN 1 THEN 'construction_permit' WHEN 2 THEN 'project_schedule' WHEN 3 THEN 'level_0_00_control_act' WHEN 4 THEN 'control_act' WHEN 5 THEN 'kolaudim_act' WHEN 6 THEN 'unknown' ELSE 'start_interruption_extension_completion_minutes' END AS type,
+CASE doc_id % 8 WHEN 0 THEN 0::DOUBLE WHEN 1 THEN 0.99 WHEN 2 THEN 0.98 WHEN 3 THEN 0.9 WHEN 4 THEN 0.72 WHEN 5 THEN 0.98 WHEN 6 THEN 0 ELSE 0.87 END AS confidence, doc_id % 8 NOT IN (0, 6) AS changed FROM documents""")
+def dossier_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 and K2 with the full signatures: names and headings of a dossier's documents over each document's own text."""
+    r = c("doc_id") % 8
+    name = F.when(r == 0, "VKM_610.pdf").when(r == 2, "KRONOLOGJI-punime.xls").when(r == 5, "Akt_Kolaudimi.docx").otherwise("scan.pdf")
+    head = F.when(r == 0, "Këshilli i Ministrave ").when(r == 1, "LEJE NDËRTIMI i jepet ").when(r == 3, "Akt-kontrolli kuota 0.00 ").when(r == 4, "akt kontrolli ").when(r == 7, "procesverbal për përfundimin e punimeve ").otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.translate(F.left("text", F.lit(200)), "akpt", "xxxx")).alias("text"), F.lit("unknown").alias("type"), F.lit(0.0).alias("confidence"))
+    return classify.reclassified(docs, classify.classify_document(name, c("text")), "type", "confidence").select("doc_id", "type", "confidence", "changed")
