@@ -209,3 +209,34 @@ def scoped_facts(facts: DataFrame, canonical: list[str], by: list[str], order: l
     rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
     rank = F.row_number().over(Window.partitionBy("scope").orderBy("field", *order))
     return rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("scope") == "supporting_facts", most_supporting).otherwise(most))
+
+
+# Phases of K15 by document type, and words of the lines that date them.
+PHASES = {
+    "site_handover_act": "site_handover", "start_works_notification": "works_start", "start_works_notification_letter": "works_start", "start_works_minutes": "works_start", "site_setup_control_act": "site_setup",
+    "setting_out_act": "setting_out", "structure_setting_out_control_act": "setting_out", "foundation_completion_and_level_0_00_control_act": "foundations", "level_0_00_control_act": "level_0_00",
+    "structural_frame_completion_control_act": "structural_frame", "facade_and_finishing_completion_control_act": "facade_finishes", "external_system_completion_control_act": "external_systems",
+    "completion_minutes": "works_completion", "start_interruption_extension_completion_minutes": "contract_timeline",
+}
+PHASE_WORDS = {"works_start": ["fillim", "fillo", "nis"], "works_completion": ["perfund"], "foundations": ["theme", "0.00"], "structural_frame": ["karabina", "struktur"], "facade_finishes": ["fasad", "rifinitur"], "external_systems": ["sistem", "rrjet", "jasht"], "setting_out": ["piket"], "site_setup": ["kantier"]}
+OBSERVED = ["punime mask", "prova laborator", "marka e betonit", "certifikat", "konform", "kuota 0.00", "themele", "karabina", "fasad", "rifinitur", "rrjet", "matje", "defekt"]
+
+
+def chronology(docs: DataFrame, lines: DataFrame, by: str) -> DataFrame:
+    """Documents (by, kind) of a phase with the phase's day and the line that gives it.
+
+    Of the lines (by, line_no, line) with a day that name no permit, protocol or
+    contract, the first with a word of the phase, else the first; null without any.
+    """
+    said = t.plain_value(F.col("line"))
+    phased = docs.withColumn("phase", fields.lookup(PHASES, F.col("kind"))).where("phase is not null")
+    dated = lines.select(by, "line_no", "line", F.get(t.days(F.col("line")), F.lit(0)).alias("day"), said.alias("_said")).where("day is not null").where(~fields.any_of(F.col("_said"), ["leje", "prot", "kontrate"]))
+    told = reduce(lambda a, kv: a | ((F.col("phase") == kv[0]) & fields.any_of(F.col("_said"), kv[1])), PHASE_WORDS.items(), F.lit(False))
+    best = dated.join(phased.select(by, "phase"), by).groupBy(by).agg(F.min_by(F.struct("day", F.left("line", F.lit(260)).alias("evidence")), F.struct((~told).alias("later"), "line_no")).alias("_b"))
+    return phased.join(best, by, "left").select(by, "kind", "phase", "_b.day", "_b.evidence")
+
+
+def observations(lines: DataFrame, by: str, each: int = 5, size: int = 360) -> DataFrame:
+    """Of each document the first ``each`` lines (by, line_no, line) that speak of works and their quality."""
+    x = lines.where(fields.any_of(t.plain_value(F.col("line")), OBSERVED)).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("line_no")))
+    return x.where(F.col("n") <= each).select(by, "line_no", F.left("line", F.lit(size)).alias("statement"), "n")

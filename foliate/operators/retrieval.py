@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import fields
-from foliate.functions.text import question_text, token_matches
+from foliate.functions.text import question_text, token_matches, token_subset
 
 # What each kind of evidence adds to a score.
 KIND = {"claim": 4.0, "dossier": 3.5, "law": 2.5, "chunk": 0.5}
@@ -157,6 +157,28 @@ def section_boost(evidence: DataFrame, files: DataFrame, gain: float = 5.0) -> D
     return evidence.join(hit, "source_label", "left").withColumn("authority", F.col("authority") + F.coalesce("_hit", F.lit(0.0))).drop("_hit")
 
 
+def dossier_rows(records: DataFrame, conflicts: DataFrame, missing: DataFrame, events: DataFrame) -> DataFrame:
+    """Evidence (id, kind, text, source_label, field_name, value, authority, is_canonical, is_conflicted) of what a dossier holds.
+
+    ``records``: version_id, filename, kind, role, relation (foreign and unusable
+    ones, and those without a version or name, go). ``conflicts``: n, field,
+    selected, alternatives; only those with an alternative that is not the same
+    (S37). ``missing``: field. ``events``: n, field, value, source.
+    """
+    c, lit = F.col, F.lit
+    row = lambda df, i, text, label, field, value, authority, hot=False: df.select(i.alias("id"), lit("dossier").alias("kind"), text.alias("text"), label.alias("source_label"), field.alias("field_name"), value.alias("value"), lit(authority).alias("authority"), lit(hot).alias("is_canonical"), lit(hot).alias("is_conflicted"))
+    r = records.where(fields.usable(c("role")) & ~c("relation").eqNullSafe("foreign_project_reference") & c("version_id").isNotNull() & (F.trim(F.coalesce("filename", lit(""))) != ""))
+    out = row(r, F.concat(lit("dossier:document:"), c("version_id").cast("string")), F.concat(lit("Dokument i indeksuar në dosjen e projektit. Emri: "), "filename", lit(". Lloji i klasifikuar: "), F.coalesce("kind", lit("unknown")), lit(".")), c("filename"), lit("document_record"), c("filename"), 3.0)
+    real = F.filter("alternatives", lambda a: F.trim(a) != "")
+    k = conflicts.withColumn("_a", real).where((F.trim("selected") != "") & F.exists("_a", lambda a: ~token_subset(c("selected"), a)))
+    said = F.array_join(F.array_distinct(F.concat(F.array("selected"), c("_a"))), " | ")
+    out = out.unionByName(row(k, F.concat(lit("dossier:conflict:"), c("n").cast("string"), lit(":"), "field"), F.concat(lit("Konflikt i identifikuar gjatë konsolidimit për fushën "), "field", lit(". Vlerat e gjetura: "), said, lit(".")), F.concat(lit("Konsolidimi i dosjes: konflikt për "), "field"), c("field"), c("selected"), 10.0, True))
+    m = missing.agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("all")).where("all <> ''")  # names of core fields
+    out = out.unionByName(row(m, lit("dossier:missing-core-fields"), F.concat(lit("Fushat bazë që nuk rezultojnë të provuara pas konsolidimit të versioneve aktuale: "), "all", lit(".")), lit("Kontrolli i mbulimit të dosjes teknike"), lit("missing_core_fields"), c("all"), 10.0))
+    e = events.withColumn("_s", F.coalesce("source", lit("Kronologjia e konsoliduar e dosjes")))
+    return out.unionByName(row(e, F.concat(lit("dossier:chronology:"), c("n").cast("string")), F.concat(lit("Ngjarje e kronologjisë së konsoliduar: "), "field", lit(" = "), "value", lit(". Dokumentet: "), F.coalesce("source", lit("")), lit(".")), c("_s"), lit("project_chronology"), c("value"), 9.0))
+
+
 def has_any_token(text: Column, tokens: list[str]) -> Column:
     """One of the tokens is a word of the text."""
     return F.arrays_overlap(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), F.array(*[F.lit(t) for t in tokens]))

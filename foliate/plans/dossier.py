@@ -552,3 +552,32 @@ def dossier_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(r == 0, "Këshilli i Ministrave ").when(r == 1, "LEJE NDËRTIMI i jepet ").when(r == 3, "Akt-kontrolli kuota 0.00 ").when(r == 4, "akt kontrolli ").when(r == 7, "procesverbal për përfundimin e punimeve ").otherwise("")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.translate(F.left("text", F.lit(200)), "akpt", "xxxx")).alias("text"), F.lit("unknown").alias("type"), F.lit(0.0).alias("confidence"))
     return classify.reclassified(docs, classify.classify_document(name, c("text")), "type", "confidence").select("doc_id", "type", "confidence", "changed")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'works_start' WHEN 1 THEN 'level_0_00' ELSE 'foundations' END AS phase, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 1 THEN '01.02.2020' END AS day, CASE WHEN o_orderkey % 3 < 2 THEN 3 - 3 * (o_orderkey % 3) ELSE NULL END AS line FROM orders""")
+def phase_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents of three phases the line that dates them."""
+    key, day = c("o_orderkey"), F.date_format("o_orderdate", "d.M.yyyy")
+    o = table(spark, sf_dir, "orders")
+    docs = o.select(key, F.when(key % 3 == 0, "start_works_minutes").when(key % 3 == 1, "level_0_00_control_act").otherwise("foundation_completion_and_level_0_00_control_act").alias("kind"))
+    said = F.when(key % 3 == 2, F.array(F.concat(F.lit("Leje "), day), F.lit("themele"))).otherwise(F.array(F.lit("dt 1.2.2020 - 0"), F.concat(F.lit("Leje "), day), F.lit("x"), F.concat(F.lit("Fillimi "), day, F.lit(" - 3"))))
+    x = extraction.chronology(docs, o.select(key, F.posexplode(said).alias("line_no", "line")), "o_orderkey")
+    return x.select("o_orderkey", "phase", "day", F.substring(F.regexp_extract("evidence", "[0-9]$", 0), 1, 1).try_cast("int").alias("line"))
+
+
+@query("""SELECT doc_id, line_no, n FROM (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(lower(strip_accents(line)), 'konform') OR contains(lower(strip_accents(line)), 'rrjet') OR contains(lower(strip_accents(line)), 'matje') OR contains(lower(strip_accents(line)), 'defekt') OR contains(lower(strip_accents(line)), 'fasad') OR contains(lower(strip_accents(line)), 'certifikat') OR contains(lower(strip_accents(line)), 'themele') OR contains(lower(strip_accents(line)), 'karabina')) WHERE n <= 5""")
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K15 over all documents' lines."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return extraction.observations(lines, "doc_id").select("doc_id", c("line_no").cast("long").alias("line_no"), "n")
+
+
+@query("""SELECT 'dossier:document:' || c_custkey AS id, c_name AS value, 3.0::DOUBLE AS authority, false AS is_conflicted FROM customer WHERE c_nationkey % 3 <> 0 AND c_nationkey % 5 <> 0 UNION ALL
+SELECT 'dossier:conflict:' || p_partkey || ':owner', p_name, 10.0, true FROM part WHERE p_size % 3 = 2 UNION ALL SELECT 'dossier:missing-core-fields', string_agg(r_name, ', ' ORDER BY r_name), 10.0, false FROM region UNION ALL SELECT 'dossier:chronology:' || n_nationkey, n_name, 9.0, false FROM nation""")
+def dossier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K25."""
+    records = table(spark, sf_dir, "customer").select(c("c_custkey").alias("version_id"), c("c_name").alias("filename"), F.lit("letter").alias("kind"), F.when(c("c_nationkey") % 3 == 0, "unreadable").otherwise("supporting_evidence").alias("role"), F.when(c("c_nationkey") % 5 == 0, "foreign_project_reference").alias("relation"))
+    size = c("p_size") % 3
+    conflicts = table(spark, sf_dir, "part").select(c("p_partkey").alias("n"), F.lit("owner").alias("field"), c("p_name").alias("selected"), F.when(size == 0, F.array(F.lit(" "))).when(size == 1, F.array(F.upper("p_name"))).otherwise(F.array(F.lit("someone else"), F.lit(""))).alias("alternatives"))
+    events = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("n"), F.lit("start_date").alias("field"), c("n_name").alias("value"), F.lit(None).cast("string").alias("source"))
+    return retrieval.dossier_rows(records, conflicts, table(spark, sf_dir, "region").select(c("r_name").alias("field")), events).select("id", "value", "authority", "is_conflicted")
