@@ -220,7 +220,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone_id, gone, left = (fresh(docs.columns, n) for n in ("gone_id", "gone", "left_lines"))
     found = cut(repeated_lines(docs, id_col, text_col, edits, min_chars).toDF(gone_id, gone))
-    x = docs.join(found, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
+    # What is removed grows with the documents, so the join is a shuffle at every size.
+    x = docs.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
     x = x.withColumn(left, F.when(F.col(gone).isNotNull(), F.filter(F.split(text_col, "\n"), lambda v, i: ~F.array_contains(F.col(gone), i))))
     x = x.where(F.col(gone).isNull() | F.exists(left, lambda v: F.trim(v, F.lit(" \t\r\v\f")) != ""))
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
