@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import by_bytes
+from foliate.llm.shared import by_bytes, free, map_arrow
 
 #: ASCII that is neither a letter nor a digit separates words.
 SPLIT = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], dtype=np.uint8)
@@ -109,7 +109,7 @@ def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[np.ndarray,
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
-    got = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = map_arrow(docs, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     known.destroy()
     df = np.zeros(size, dtype=np.int64)
     df[got["term"].to_numpy()] = got["n"].to_numpy()
@@ -164,7 +164,7 @@ def latent_terms(docs: DataFrame, vocab: list[str], idf: np.ndarray, content: np
         vectors = pa.FixedSizeListArray.from_arrays(pa.array(total[at].ravel()), total.shape[1]).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.concat_arrays([vectors, pa.array([[float(n)]], pa.list_(pa.float64()))])], ["term", "v"])
 
-    got = docs.mapInArrow(run, "term long, v array<double>").select("term", F.posexplode("v").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x")).toArrow()
+    got = map_arrow(docs, run, "term long, v array<double>").select("term", F.posexplode("v").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x")).toArrow()
     given.destroy()
     term, k, x = (got[c].to_numpy() for c in ("term", "k", "x"))
     own, n = np.zeros((size, wide)), max(x[term < 0].sum(), 1.0)
@@ -346,7 +346,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         t, o, *rest = zip(*m)
                         yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(t)), pa.array([index.value.items[k] for k in o]), *map(pa.array, rest)], ["id", "item", "share", "passage_share", "cosine", "kind"])
 
-        found = rows.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, share double, passage_share double, cosine double, kind string")
+        found = map_arrow(rows, run, f"id {kinds[0]}, item {kinds[1]}, share double, passage_share double, cosine double, kind string")
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share", "passage_share", "cosine", "kind")
 
@@ -372,5 +372,6 @@ def holds(index: Broadcast, cosine: float, verbatim: float, paraphrase: float) -
                 hit[[at + t for t, *_ in search.match(b.column("text"))]] = True
                 at += b.num_rows
             yield pa.array(hit)
+        free()
 
     return held

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import by_bytes, cut
+from foliate.llm.shared import by_bytes, cut, map_arrow
 
 # Public licence texts and notices, by SPDX identifier.
 WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -156,7 +156,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
     named = F.coalesce(F.col(path_col).rlike(FILE_NAME), F.lit(False))
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), named.alias("is_file")).where(F.col("text").rlike(TRIGGER))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, path string, licence string, score double, is_file boolean")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, path string, licence string, score double, is_file boolean")
 
 
 def directory(path: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.components import components
-from foliate.llm.shared import by_bytes, cut, drop
+from foliate.llm.shared import by_bytes, cut, drop, map_arrow
 
 #: Most differing bits of a link. Of two 32-bit halves, one then differs in two bits at most.
 BITS = 4
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +135,14 @@ def links(distinct: DataFrame, bits: int = BITS, block: int = 4096) -> DataFrame
                 keys, rows = anchors(fp[at : at + (1 << 14)])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at : at + (1 << 14)][rows])], ["anchor", "fp"])
 
-    met = distinct.select("fp").mapInArrow(near, "anchor long, fp long")
+    met = map_arrow(distinct.select("fp"), near, "anchor long, fp long")
     met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1")
     met = met.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     met = met.select("anchor", "fp", "own", others)
     group = F.shiftleft("anchor", 30).bitwiseOR(F.shiftleft(F.least("own", "other"), 15)).bitwiseOR(F.greatest("own", "other"))
     met = met.select(group.alias("grp"), "fp").repartition("grp").sortWithinPartitions("grp")
-    return met.mapInArrow(lambda batches: linked(batches, bits), "a long, b long")
+    return map_arrow(met, lambda batches: linked(batches, bits), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = BITS) -> DataFrame:
