@@ -13,18 +13,17 @@ have no padding and are tried besides.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from foliate.llm.shared import by_bytes
+from foliate.llm.shared import by_bytes, map_arrow
 from foliate.llm.token_output import in_id_order
-from foliate.llm.tokenizer import encoder
-from pyspark.sql import functions as F
+from foliate.llm.tokenizer import encoder, with_end
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,28 +43,33 @@ def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int, sente
 
 def best_cuts(points: np.ndarray, cost: np.ndarray, limit: int, each: float = 1.0) -> list[int]:
     """The positions, last included, at which the sequences of a least-cost packing end."""
-    f, back, where = [0.0], [-1], {0: 0}
-    pos = [0, *points.tolist()]
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    powers = [w for k in range(7, 12) if (w := 1 << k) < limit]
+    at = np.concatenate(([0], points))
+    pos, f, back = at.tolist(), [0.0], [-1]
+    # For each position those that a power of two lies before it.
+    exact: list[list[int]] = [[] for _ in pos]
+    for w in [w for k in range(7, 12) if (w := 1 << k) < limit]:
+        k = np.searchsorted(at, at - w)
+        for j in np.flatnonzero(at[k] == at - w).tolist():
+            exact[j].append(int(k[j]))
+    keys, held, head = [0.0], [0], 0  # the queue: its keys ascend
     for j, penalty in enumerate(cost.tolist(), 1):
         p = pos[j]
-        while pos[queue[0][1]] < p - limit:
-            queue.popleft()
-        least, i = queue[0]
-        least += limit - p
-        for w in powers:
-            k = where.get(p - w)
-            if k is not None and f[k] < least:
+        low = p - limit
+        while pos[held[head]] < low:
+            head += 1
+        least, i = keys[head] + limit - p, held[head]
+        for k in exact[j]:
+            if f[k] < least:
                 least, i = f[k], k
         least += each + penalty
         f.append(least)
         back.append(i)
-        where[p] = j
         key = least + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            held.pop()
+        keys.append(key)
+        held.append(j)
     out, j = [], len(pos) - 1
     while j > 0:
         out.append(pos[j])
@@ -73,7 +77,7 @@ def best_cuts(points: np.ndarray, cost: np.ndarray, limit: int, each: float = 1.
     return out[::-1]
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, end_id: int = 0, block_tokens: int = 1 << 18, grid: int = 32, sentence_cost: float = 0.5, grid_cost: float = 4.0, batch_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, end_id: int = 0, block_tokens: int = 1 << 18, grid: int = 32, sentence_cost: float = 0.5, grid_cost: float = 4.0, batch_bytes: int = 8 << 20) -> DataFrame:
     """A row for each piece of a document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents, each its whole text's ids and ``end_id``, are taken in ascending
@@ -86,18 +90,16 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        lib = encoder(vocabulary)
         sequence = TaskContext.get().partitionId() << 40
         keys: list = []  # of the documents at hand
-        ids: list[bytes] = []
-        done: list[int] = []  # ids of the first document that earlier blocks hold
-        size = 0
+        parts: list[np.ndarray] = []  # their ids, end to end
+        sizes: list[np.ndarray] = []  # how many ids each has here
+        done = 0  # ids of the first document that earlier blocks hold
 
         def block(last: bool) -> pa.RecordBatch:
-            nonlocal sequence, keys, ids, size
-            raw = b"".join(ids)
-            flat = np.frombuffer(raw, dtype="<u4")
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            nonlocal sequence, keys, parts, sizes, done
+            flat, lengths = np.concatenate(parts), np.concatenate(sizes)
             ends = np.cumsum(lengths)
             starts = ends - lengths
             points, cost = cut_points(ends, np.flatnonzero(lib.sentence_end[flat]) + 1, grid, sentence_cost, grid_cost)
@@ -109,38 +111,42 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             a, b = edges[:-1], edges[1:]
             doc = np.searchsorted(starts, a, side="right") - 1
             seq = np.searchsorted(stops, a, side="right")
-            skipped = np.zeros(len(ids), dtype=np.int64)
-            skipped[0] = done[0] if done else 0
+            skipped = np.where(doc == 0, done, 0)
             begin = np.concatenate(([0], stops))[seq]
-            view = memoryview(raw)
+            view = memoryview(flat.view(np.uint8))
             crc = [zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            columns = [a - starts[doc] + skipped[doc], b - a, np.array(crc, dtype=np.int64), lengths[doc] + skipped[doc], sequence + seq.astype(np.int64), a - begin]
+            columns = [a - starts[doc] + skipped, b - a, np.array(crc, dtype=np.int64), lengths[doc] + skipped, sequence + seq.astype(np.int64), a - begin]
             out = pa.RecordBatch.from_arrays([pa.array([keys[i] for i in doc.tolist()], kind), *map(pa.array, columns)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             sequence += len(stops)
             k = int(np.searchsorted(ends, upto, side="right"))  # documents that are wholly packed
-            if k < len(ids):
+            if k < len(keys):
                 cut = upto - int(starts[k])
-                done[:] = [cut + int(skipped[k])]
-                ids = [ids[k][4 * cut :], *ids[k + 1 :]]
+                done = cut + (done if k == 0 else 0)
+                sizes = [np.concatenate(([lengths[k] - cut], lengths[k + 1 :]))]
             else:
-                done.clear()
-                ids = []
-            keys = keys[k:]
-            size = sum(map(len, ids)) // 4
+                done, sizes = 0, []
+            keys, parts = keys[k:], [flat[upto:].copy()]
             return out
 
         for whole in batches:
             kind = whole.column("id").type
             for part in by_bytes(whole, "text", batch_bytes):
-                for key, x in zip(part.column("id").to_pylist(), lib.encode(part.column("text").to_pylist()), strict=True):
-                    keys.append(key)
-                    ids.append(x + end)
-                    size += len(x) // 4 + 1
-                    if size >= block_tokens:
+                ids, n = with_end(*lib.encode(part.column("text")), end_id)
+                names, ends = part.column("id").to_pylist(), np.cumsum(n)
+                at = 0
+                while at < len(n):  # documents up to the block's size, one at least
+                    before = int(ends[at] - n[at])
+                    room = block_tokens - sum(map(len, parts))
+                    to = min(max(int(np.searchsorted(ends, before + room)) + 1, at + 1), len(n))
+                    keys += names[at:to]
+                    parts.append(ids[before : int(ends[to - 1])])
+                    sizes.append(n[at:to])
+                    at = to
+                    if sum(map(len, parts)) >= block_tokens:
                         yield block(last=False)
-        while ids:
+        while keys:
             yield block(last=True)
 
     rows = in_id_order(docs, id_col, text_col)
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {SCHEMA}")
+    out = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, {SCHEMA}")
     return out.select(F.col("id").alias(id_col), *[c.split()[0] for c in SCHEMA.split(", ")])

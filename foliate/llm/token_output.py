@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import by_bytes, cut
-from foliate.llm.tokenizer import encoder
+from foliate.llm.shared import by_bytes, cut, map_arrow
+from foliate.llm.tokenizer import encoder, with_end
 
 
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -21,7 +21,7 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, batch_bytes: int = 4 << 20) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, batch_bytes: int = 8 << 20) -> None:
     """Write a row (part, row, id, n_tokens, ids) for each row of ``docs`` to Parquet files at ``path``.
 
     ``ids`` is the whole text's encoding with ``end_id`` after it (a null text:
@@ -35,27 +35,30 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, row = encoder(vocabulary), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for b in by_bytes(whole, "text", batch_bytes):
-                raw = [x + end for x in lib.encode(b.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(raw))), b.column("id"), pa.array(n), lists], ["row", "id", "n_tokens", "ids"])
-                row += len(raw)
+                flat, n = with_end(*lib.encode(b.column("text")), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat.view("<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), b.column("id"), pa.array(n), lists], ["row", "id", "n_tokens", "ids"])
+                row += len(n)
 
     rows = in_id_order(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(encode, f"row long, id {kind}, n_tokens long, ids array<int>")
+    out = map_arrow(rows, encode, f"row long, id {kind}, n_tokens long, ids array<int>")
     out.select(F.spark_partition_id().alias("part"), "row", "id", "n_tokens", "ids").write.options(
         **{"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes)}
     ).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """The rows written by ``write_tokens``; without ``ids`` the list column is not read."""
+def read_tokens(spark: SparkSession, path: str, ids: bool = True, first=None, last=None) -> DataFrame:
+    """The rows written by ``write_tokens``, those with ids from ``first`` to ``last`` if given.
+
+    Without ``ids`` the list column is not read. As rows stand in order of their
+    ids, a range of them reads the row groups and pages that hold it and no others.
+    """
     df = spark.read.parquet(path)
+    df = df if first is None else df.where(F.col("id") >= first)
+    df = df if last is None else df.where(F.col("id") <= last)
     return df if ids else df.drop("ids")
 
 
@@ -72,7 +75,7 @@ def token_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Dat
 
     rows = read_tokens(spark, path).select("part", "row", "id", "ids")
     kind = rows.schema["id"].dataType.simpleString()
-    small = cut(rows.mapInArrow(digest, f"part int, row long, id {kind}, n_tokens long, ids_crc32 long"))
+    small = cut(map_arrow(rows, digest, f"part int, row long, id {kind}, n_tokens long, ids_crc32 long"))
     # One row for each range of ids: as many as the write had partitions.
     totals = small.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))

@@ -86,6 +86,10 @@ def test_token_output_round_trip(spark, docs, rows, none, tmp_path):
     got = [tuple(r) for r in token_digests(spark, str(tmp_path / "t")).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     assert Counter(got) == Counter(want)
     assert "ids" not in read_tokens(spark, str(tmp_path / "t"), ids=False).columns
+    some = read_tokens(spark, str(tmp_path / "t"), first=3, last=8)
+    assert sorted((r.id, list(r.ids)) for r in some.collect()) == sorted((i, [*ids_of(t), 0]) for i, t, _ in rows if i is not None and 3 <= i <= 8)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,3)" in plan and "LessThanOrEqual(id,8)" in plan
     write_tokens(none, str(tmp_path / "e"), VOCAB)
     assert not token_digests(spark, str(tmp_path / "e")).count()
 
