@@ -96,5 +96,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs.join(cut(top.union(low)), "doc_id", "left").select("doc_id", path.alias("path"), "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op5_lm_scoring, op6_token_output, op7_packing, op8_decontamination, op9_pii, op10_licenses)}
-ORACLE: dict[str, str] = {}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from foliate.llm.substrings import drop_repeats
+
+    return drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 33)) i from t where len(w) >= 35),
+windows as (select doc_id, i, array_to_string(w[i:i + 34], ' ') win from starts),
+twice as (select win from windows group by win having count(*) > 1),
+gone as (select distinct doc_id, i + k j from windows join twice using (win), (select unnest(range(35)) k)),
+words as (select doc_id, unnest(w) word, generate_subscripts(w, 1) j from t),
+kept as (select doc_id, string_agg(word, ' ' order by j) txt, count(*) n from words anti join gone using (doc_id, j) group by doc_id)
+select doc_id, len(w)::bigint n_words, len(w)::bigint - coalesce(n, 0) n_removed, sha256(coalesce(txt, '')) kept_sha256
+from t left join kept using (doc_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_simhash, op5_lm_scoring, op6_token_output, op7_packing, op8_decontamination, op9_pii, op10_licenses, op13_substring_dedup)}
+ORACLE: dict[str, str] = {"op13_substring_dedup": OP13_SQL}
