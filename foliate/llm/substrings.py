@@ -219,6 +219,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     text have one row here; null and empty texts and those shorter than a window repeat nothing; an empty table gives none.
     Spans overlap. Windows are equal if a gram of theirs and the window have equal 64-bit hashes.
     """
+    gram_length(window)  # refuses a window too short
     docs = numbered(docs, id_col, text_col)
     kind = docs.schema["id"].dataType.simpleString()
     found = cut(map_arrow(docs, lambda b: anchor_rows(b, window), f"id {kind}, t bigint, a int, lo int, n int, gram bigint, span bigint"))

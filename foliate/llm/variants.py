@@ -153,7 +153,8 @@ def near(root: Node, word: str) -> list[int]:
     out, node = [], root
     for i in range(len(word) + 1):
         if type(node) is tuple:
-            return [*out, node[1]] if one_edit(node[0], word[i:]) else out
+            # An edit further up in a run of one letter may have led here before.
+            return [*out, node[1]] if node[1] not in out and one_edit(node[0], word[i:]) else out
         c, before = word[i : i + 1], word[i - 1] if i else ""
         # Of equal edits in a run of one letter, the first is taken.
         if c and c != before and (k := ends(node, word, i + 1)) is not None:
