@@ -157,17 +157,25 @@ STOPS = {
 NARRATIVE = ["zerat e punimeve", "punimeve jane", "realizuar sipas", "ndryshimeve te miratuara", "organet perkatese"]
 
 
+NAME_LABEL = r"(?i)^(?:emri|em[eë]rtimi)\s+i\s+objektit\s*:\s*"
+NEVER = r"(?!)"
+
+
 def clean_value(field: Column, value: Column) -> Column:
-    """The value without quotes, labels and what follows it, 220 characters at most; null for placeholders, for nothing and for a designer's narrative."""
+    """The value without quotes, labels and what follows it, 220 characters at most; null for placeholders, for nothing and for a designer's narrative.
+
+    The field's one pattern is looked up, so that the expression names each step once.
+    """
     quotes = '"“”'
-    v = F.trim(F.trim(value), F.lit(quotes))
-    v = F.when(field == "object_name", F.regexp_replace(v, r"(?i)^(?:emri|em[eë]rtimi)\s+i\s+objektit\s*:\s*", "")).otherwise(v)
-    for name, stop in STOPS.items():
-        v = F.when(field == name, F.trim(F.regexp_replace(v, stop, ""))).otherwise(v)
-    v = F.trim(F.substring_index(v, "|", 1))
-    v = F.trim(F.regexp_replace(v, r"(?i),?\s+me\s*$", ""), F.lit(quotes + " ;,."))
-    story = (field == "designer") & ((F.length(v) > 100) | any_of(t.plain_value(v), NARRATIVE))
-    return F.when((v != "") & ~v.rlike(PLACEHOLDER) & ~story, F.left(v, F.lit(220)))
+    v = F.regexp_replace(F.trim(F.trim(value), F.lit(quotes)), F.when(field == "object_name", NAME_LABEL).otherwise(NEVER), F.lit(""))
+    v = F.trim(F.regexp_replace(v, F.coalesce(lookup(STOPS, field), F.lit(NEVER)), F.lit("")))
+    v = F.regexp_replace(F.trim(F.substring_index(v, "|", 1)), r"(?i),?\s+me\s*$", "")
+
+    def kept(v: Column) -> Column:
+        story = F.when(field == "designer", (F.length(v) > 100) | any_of(t.plain_value(v), NARRATIVE)).otherwise(F.lit(False))
+        return F.when((v != "") & ~v.rlike(PLACEHOLDER) & ~story, F.left(v, F.lit(220)))
+
+    return t.let(F.trim(v, F.lit(quotes + " ;,.")), kept)
 
 
 def fact_scope(field: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import fields
 from foliate.functions import text as t
+from foliate.operators.rounds import written
 
 # Kinds of evidence that need no source of the current versions, and those that prove a fact.
 TIMELESS = ["verified_law_reference", "canonical_conflict", "integrity_issue", "user_confirmation"]
@@ -51,15 +52,21 @@ def current_sources(items: DataFrame, sources: DataFrame, versions: DataFrame) -
     return items.join(s, "evidence_id", "left").withColumn("is_current", F.col("kind").isin(*TIMELESS) | F.coalesce("_all", F.lit(False))).drop("_all")
 
 
-def supported_registers(cited: DataFrame, items: DataFrame, support: DataFrame, depth: int = 2) -> DataFrame:
-    """(claim_id, register) of all evidence that claims cite (claim_id, evidence_id) or that supports it (evidence_id, supporting), ``depth`` steps of support."""
-    level, out = cited.select("claim_id", "evidence_id").distinct(), None
-    for step in range(depth + 1):
-        hit = level.join(items.where("register is not null").select("evidence_id", "register"), "evidence_id").select("claim_id", "register")
-        out = hit if out is None else out.unionByName(hit)
-        if step < depth:
-            level = level.join(support, "evidence_id").select("claim_id", F.col("supporting").alias("evidence_id")).distinct()
-    return out.distinct()
+def supported_registers(cited: DataFrame, items: DataFrame, support: DataFrame) -> DataFrame:
+    """(claim_id, register) of all evidence that claims cite (claim_id, evidence_id) or that supports it (evidence_id, supporting), to the end.
+
+    What evidence reaches is worked out once for all claims: each round hands the registers found last to the evidence above them,
+    until none is new, so that cycles end. Items (evidence_id, register) alone count; evidence that is no item leads nowhere.
+    """
+    found = items.where("register is not null").select("evidence_id", "register").distinct()
+    above = support.select("evidence_id", "supporting").join(items.select("evidence_id").distinct(), "evidence_id", "left_semi").distinct()
+    above = above.select(F.col("evidence_id").alias("upper"), F.col("supporting").alias("evidence_id"))
+    found = new = written(found)
+    while new.head(1):
+        reached = new.join(above, "evidence_id").select(F.col("upper").alias("evidence_id"), "register").distinct()
+        new = written(reached.join(found, ["evidence_id", "register"], "left_anti"))
+        found = found.unionByName(new)
+    return cited.select("claim_id", "evidence_id").distinct().join(found, "evidence_id").select("claim_id", "register").distinct()
 
 
 def claim_chunks(sources: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -71,9 +71,13 @@ ROLES = {"contractor": (["zbatues", "sipermarres", "subjekti ndertues"], ["NZ"])
 def fact(field: str | Column, value: Column, evidence: Column, confidence: float, when: Column | None = None) -> Column:
     """A fact, or null where ``when`` is false or there is no value."""
     f = F.lit(field) if isinstance(field, str) else field
-    out = F.struct(f.alias("field"), value.alias("value"), F.left(t.squeeze(evidence), F.lit(300)).alias("evidence"), F.lit(confidence).alias("extraction"))
-    there = value.isNotNull() & (value != "")
-    return F.when(there if when is None else there & F.coalesce(when, F.lit(False)), out)
+
+    def of(v: Column) -> Column:
+        out = F.struct(f.alias("field"), v.alias("value"), F.left(t.squeeze(evidence), F.lit(300)).alias("evidence"), F.lit(confidence).alias("extraction"))
+        there = v.isNotNull() & (v != "")
+        return F.when(there if when is None else there & F.coalesce(when, F.lit(False)), out)
+
+    return t.let(value, of)
 
 
 def group(x: Column, pattern: str, n: int = 1) -> Column:

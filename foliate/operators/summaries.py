@@ -160,5 +160,7 @@ def domain_conflicts(conflicts: DataFrame, registers: DataFrame, domains: DataFr
     """Conflicts (conflict_id, field) for each domain (domain, register) that a register of their field (field, register) belongs to; those of none for all domains."""
     own = conflicts.join(registers, "field").join(domains, "register").select("conflict_id", "field", "domain").distinct()
     rest = conflicts.join(own.select("conflict_id").distinct(), "conflict_id", "left_anti")
-    names = [r.domain for r in domains.select("domain").distinct().orderBy("domain").limit(1000).collect()]  # the review's domains, a handful
-    return own.unionByName(rest.select("conflict_id", "field", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("domain")))
+    # All names of domains as one array, which each conflict of none gets: a review has a handful.
+    names = domains.agg(F.array_sort(F.collect_set("domain")).alias("domain")).withColumn("every", F.lit(True))
+    rest = rest.withColumn("every", F.lit(True)).join(F.broadcast(names), "every").select("conflict_id", "field", F.explode("domain").alias("domain"))
+    return own.unionByName(rest)

@@ -28,9 +28,10 @@ SENSITIVE = {
 }
 
 
-def raised(rows: DataFrame, checks: dict[str, Column], key: str = "claim_id", severity: str = "major") -> DataFrame:
-    """(code, severity, key): an issue for each check that holds for a row."""
-    codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in checks.items()]), lambda x: x.isNotNull())
+def raised(rows: DataFrame, checks: dict[str, Column] | list[tuple[str, Column]], key: str = "claim_id", severity: str = "major") -> DataFrame:
+    """(code, severity, key): an issue for each check that holds for a row, in order; a code may have several checks."""
+    pairs = checks.items() if isinstance(checks, dict) else checks
+    codes = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in pairs]), lambda x: x.isNotNull())
     return rows.select(F.explode(codes).alias("code"), F.lit(severity).alias("severity"), key)
 
 
@@ -65,16 +66,13 @@ def claim_issues(claims: DataFrame, cited: DataFrame, items: DataFrame, register
         "CLAIM-CONCLUSION-LEVEL-LANGUAGE": cites & level.isin("qualified", "not_proven") & ~bounded,
         "CLAIM-UNSIGNED-AUTHORIZATION": cites & c("said").rlike(AUTHORISATION),
     }
-    found = raised(x, checks)
     mismatch = [(kind == "qualification") & (level == "proven"), (level == "not_proven") & (kind != "qualification")]
     for code, (pattern, groups) in SENSITIVE.items():
         hit = cites & c("said").rlike(pattern) & ~bounded
         mismatch.append(hit & (level != "proven"))
         lacks = ~reduce(lambda a, b: a & b, [F.arrays_overlap("registers", F.array(*map(F.lit, g))) for g in groups])
-        found = found.unionByName(raised(x, {code: hit & lacks}))
-    for m in mismatch:
-        found = found.unionByName(raised(x, {"CLAIM-CONCLUSION-LEVEL-MISMATCH": m}))
-    return found
+        checks[code] = hit & lacks
+    return raised(x, [*checks.items(), *[("CLAIM-CONCLUSION-LEVEL-MISMATCH", m) for m in mismatch]])
 
 
 def id_issues(claims: DataFrame, order: list[str]) -> DataFrame:

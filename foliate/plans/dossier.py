@@ -202,14 +202,14 @@ def evidence_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.catalogue(entries, facts, conflicts, issues, laws).withColumn("supporting", joined(c("supporting")))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS claim, l_partkey AS e FROM lineitem), u AS (SELECT p_partkey AS e, p_partkey + 1 AS up FROM part WHERE p_partkey % 3 = 0), r AS (SELECT p_partkey AS e, p_brand AS register FROM part WHERE p_partkey % 2 = 0),
-x AS (SELECT claim, e FROM s UNION SELECT claim, up FROM s JOIN u USING (e) UNION SELECT claim, v.up FROM s JOIN u USING (e) JOIN u v ON v.e = u.up) SELECT DISTINCT claim AS claim_id, register FROM x JOIN r USING (e)""")
+@query("""WITH RECURSIVE u AS (SELECT p_partkey AS e, CASE WHEN p_partkey % 40 = 0 THEN p_partkey - 37 ELSE p_partkey + 1 END AS up FROM part WHERE p_partkey % 4 <> 3), reach AS (SELECT p_partkey AS e, p_brand AS register FROM part WHERE p_partkey % 7 = 0 UNION SELECT u.e, register FROM reach JOIN u ON u.up = reach.e)
+SELECT DISTINCT l_orderkey AS claim_id, register FROM lineitem JOIN reach ON e = l_partkey""")
 def supported_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J17 and U2."""
-    p = table(spark, sf_dir, "part")
+    """J17 and U2, over chains of support, some of which end in a cycle."""
+    p, key = table(spark, sf_dir, "part"), c("p_partkey")
     cited = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("claim_id"), c("l_partkey").alias("evidence_id"))
-    items = p.select(c("p_partkey").alias("evidence_id"), F.when(c("p_partkey") % 2 == 0, c("p_brand")).alias("register"))
-    support = p.where("p_partkey % 3 = 0").select(c("p_partkey").alias("evidence_id"), (c("p_partkey") + 1).alias("supporting"))
+    items = p.select(key.alias("evidence_id"), F.when(key % 7 == 0, c("p_brand")).alias("register"))
+    support = p.where("p_partkey % 4 <> 3").select(key.alias("evidence_id"), F.when(key % 40 == 0, key - 37).otherwise(key + 1).alias("supporting"))
     return evidence.supported_registers(cited, items, support)
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import foliate.plans.dossier
+import foliate.plans.reports
 import foliate.plans.queries  # noqa: F401  both register
 from foliate.plans.registry import ORACLE, QUERIES
 
