@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliate.functions import fields
-from foliate.operators import evidence, packets, tree
+from foliate.functions import text as t
+from foliate.operators import drafts, evidence, packets, tree
 
 ITEM = "id string, parent_id string, name string, is_folder boolean, is_output boolean, size int"
 
@@ -119,3 +120,120 @@ def test_packets_and_statements(spark):
     memo = {r.domain: (r.status, r.evidence_count, r.statements) for r in packets.memoranda(spark.createDataFrame([(1,)], "p int"), may, kept, ["p"]).collect()}
     assert memo["legal_administrative"] == ("reviewed", 26, 1)
     assert memo["materials_quality"][0] == "no_supported_statements"
+
+
+# --- drafts
+
+
+def test_values_present_as_one_by_one(spark):
+    r = random.Random(4)
+    words = ["vila", "Fshati", "nr", "12", "345", "a12", "bashkia", "çati", "mur", "murature", "x", "7", "tulla", "beton"]
+    texts = [(d, " ".join(r.choices(words, k=r.randint(0, 30))) if d else None) for d in range(12)]
+    values = [(d, n, r.choice([None, "", "nr", "12", "345 12", "tull", "mur beton", *[" ".join(r.choices(words, k=r.randint(1, 5))) for _ in range(4)]])) for d in range(13) for n in range(30)]
+    shown, asked = spark.createDataFrame(texts, "draft_id int, text string"), spark.createDataFrame(values, "draft_id int, n int, value string")
+    want = asked.join(shown, "draft_id").where(t.value_in_text(F.col("value"), F.coalesce("text", F.lit("")))).select("draft_id", "n")
+    got = drafts.present(asked, shown, ["n"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+DRAFT = f"draft_id int, title string, summary string, signature string, sections array<{drafts.SECTION}>, ledger array<{drafts.CLAIM}>"
+
+
+def claim(n, said, section="s0", level="proven", kind="documented_fact", ids=("e",)):
+    return (f"c{n}", section, said, kind, level, list(ids), 0.5)
+
+
+def a_draft(d=1, bodies=None, ledger=None, summary="Vila Alfa", signature=None):
+    return (d, "Akt", summary, signature, [(f"s{i}", f"T{i}", b) for i, b in enumerate(bodies or [])], ledger)
+
+
+def settled(df):
+    """The frame's rows without what made them, as between the steps of a review."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def one(df):
+    r = df.collect()[0]
+    return r.summary, [(s.code, s.title, s.body) for s in r.sections], [(c.claim_id, c.section_code, c.statement, c.evidence_ids) for c in r.ledger]
+
+
+FACTS = "draft_id int, field string, value string"
+CONFLICT = "draft_id int, n int, field string, selected string, alternatives array<string>, sources array<string>, other_sources array<string>"
+DETAIL = "draft_id int, n int, field string, register string, value string, evidence_id string, must_include boolean, sources array<string>"
+
+
+def test_draft_issues_and_their_correction(spark):
+    quantity = "Nga 1 2 3 4 5 6"
+    ledger = [claim(0, "Ndertuesi Beta sh.p.k."), claim(1, quantity), claim(2, "Ndërtesa")]
+    d = spark.createDataFrame([a_draft(1, ["Ndertuesi Beta sh.p.k.", f"Ndërtesa\n\n{quantity}\n\nFund"], ledger), a_draft(2, ["x"], [])], DRAFT)
+    facts = spark.createDataFrame([(1, "investor", "Gama Ndertim"), (1, "object_name", "Vila Alfa"), (1, "contractor", "Delta Invest"), (1, "other", "zz"), (2, "location", " "), (3, "owner", "none")], FACTS)
+    conflicts = spark.createDataFrame([(1, 0, "contractor", "Delta Invest", ["Delta Invest sh", "Beta", "Vila"], ["a.pdf"], ["b.pdf"]), (1, 1, "roof", "Tjegull", ["Vila Alfa"], None, None), (1, 2, "owner", "Vila", ["Beta"], None, None)], CONFLICT)
+    details = spark.createDataFrame([(1, 0, "construction_permit_number", "permits_property_licenses", "Nr. 77/9", "e:1", True, ["p.pdf"]), (1, 1, "steel_grade", "materials_and_tests", "B500C", "e:2", True, None), (1, 2, "x", "y", "Vila", "e:3", True, None), (1, 30, "x", "y", "late", "e:4", True, None), (1, 3, "x", "y", "may", "e:5", False, None)], DETAIL)
+    material = spark.createDataFrame([(1, ["512 kg", " "], "Sasia e hekurit eshte 512 kg.", ["m:0"])], "draft_id int, quantities array<string>, statement string, evidence_ids array<string>")
+
+    def issues(df):
+        parts = [drafts.fact_issues(df, facts), drafts.conflict_issues(df, conflicts, facts), drafts.detail_issues(df, details), drafts.material_issues(df, material), drafts.ledger_missing(df), drafts.language_issues(df)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    found = settled(issues(d))
+    by_code = Counter((r.draft_id, r.code, r.severity) for r in found.collect())
+    assert by_code == Counter({(1, "PUBLIC-CANONICAL-FACT-OMITTED", "minor"): 2, (1, "PUBLIC-CONFLICT-ALTERNATIVE-USED", "major"): 1, (1, "PUBLIC-CONFLICT-ALTERNATIVE-USED", "minor"): 1, (1, "PUBLIC-DETAIL-MISSING", "major"): 2, (1, "PUBLIC-SECTION-EVIDENCE-MISSING", "major"): 1, (1, "PUBLIC-CONTEXTLESS-NUMERIC-LIST", "major"): 1, (2, "PUBLIC-CLAIM-LEDGER-MISSING", "major"): 1})
+
+    after = settled(drafts.corrected(d, found))
+    assert one(after.where("draft_id = 1")) == (
+        "Vila Alfa",
+        [("s0", "T0", "Ndertuesi Delta Invest sh.p.k."), ("s1", "T1", "Ndërtesa\n\nFund"), ("legal_and_administrative", "Baza ligjore dhe administrative", "Leja e ndërtimit: Nr. 77/9."), ("quality_and_hidden_works", "Materialet, provat dhe cilësia", "Steel grade: B500C.\n\nSasia e hekurit eshte 512 kg.")],
+        [("c0", "s0", "Ndertuesi Delta Invest sh.p.k.", ["e", "canonical:contractor"]), ("c2", "s0", "Ndërtesa", ["e"]), ("deterministic_detail:construction_permit_number:3", "legal_and_administrative", "Leja e ndërtimit: Nr. 77/9.", ["e:1"]), ("deterministic_detail:steel_grade:4", "quality_and_hidden_works", "Steel grade: B500C.", ["e:2"]), ("deterministic_section_evidence:4", "quality_and_hidden_works", "Sasia e hekurit eshte 512 kg.", ["m:0"])],
+    )
+    assert one(after.where("draft_id = 2"))[1:] == ([("s0", "T0", "x")], [])
+    again = settled(issues(after))
+    assert again.where("draft_id = 1 and severity = 'major'").count() == 0
+    twice = drafts.corrected(after, again)
+    assert [tuple(r) for r in twice.orderBy("draft_id").collect()] == [tuple(r) for r in after.orderBy("draft_id").collect()]
+    gate = {r.draft_id: (r.publishable, r.detail) for r in drafts.gate(d, found).collect()}
+    assert gate[2] == (False, "PUBLIC-CLAIM-LEDGER-MISSING")
+    assert gate[1][1].split(" | ")[0] == "PUBLIC-CONFLICT-ALTERNATIVE-USED[field=contractor, canonical=Delta Invest, used=Beta, canonical_sources=a.pdf, used_sources=b.pdf]"
+    assert drafts.gate(after, again).where("draft_id = 1").collect()[0].publishable
+
+
+def test_canonical_values_are_enforced(spark):
+    d = spark.createDataFrame([a_draft(1, ["Me Leje ndërtimit nr. 12, protokoll nr. 5/a, datë 01.02.2020 dhe nr 12", None], [claim(0, "Pronari Beta")], "Pronari Beta", "Beta")], DRAFT)
+    conflicts = spark.createDataFrame([(1, 0, "construction_permit_number", "99$", ["12"], None, None), (1, 1, "owner", "Alfa", ["Alfa", "Beta"], None, None), (1, 2, "roof", "Tulla", ["Pronari"], None, None)], CONFLICT)
+    summary, sections, ledger = one(drafts.enforced(d, conflicts))
+    assert summary == "Pronari Alfa"
+    assert sections[0][2] == "Me Leje ndërtimit 99$ dhe nr 12"
+    assert ledger == [("c0", "s0", "Pronari Alfa", ["e", "canonical:owner"])]
+
+
+def test_table_facts_must_be_current(spark):
+    d = spark.createDataFrame([a_draft(1, ["x"], []), a_draft(2, ["x"], [])], DRAFT)
+    facts = spark.createDataFrame([(1, "owner", "A"), (1, "investor", "B"), (1, "roof", "C"), (2, "owner", "D")], FACTS)
+    current = spark.createDataFrame([(1, "canonical:owner", True), (1, "canonical:investor", False)], "draft_id int, evidence_id string, is_current boolean")
+    got = drafts.table_issues(d, facts, current, spark.createDataFrame([(1,)], "draft_id int"))
+    assert [(r.draft_id, r.field, r.evidence_ids) for r in got.collect()] == [(1, "investor", ["canonical:investor"])]
+
+
+def test_sections_are_restored(spark):
+    old = spark.createDataFrame([a_draft(1, [f"p{i}" for i in range(10)], [claim(i, f"p{i}", f"s{i}") for i in (0, 3, 3)], ""), a_draft(2, ["a"], [])], DRAFT)
+    new = spark.createDataFrame([(1, "Akt", "", None, [("s1", "T", "new\n\nq"), ("s1", "T", "last"), ("zz", "Z", "gone"), *[(f"s{i}", "T", f"k{i}") for i in (0, 2, 4, 5, 6, 7, 8, 9)]], [claim(0, "k0"), claim(1, "gone"), claim(2, "last", "s1"), claim(3, "k2", "s3")]), a_draft(2, ["b", "c"], None)], DRAFT)
+    got = drafts.restored(new, old).orderBy("draft_id").collect()
+    assert [s.body for s in got[0].sections] == ["k0", "last", "k2", "p3", *[f"k{i}" for i in range(4, 10)]]
+    assert [c.statement for c in got[0].ledger] == ["k0", "last", "p3"]
+    assert [s.body for s in got[1].sections] == ["b", "c"]
+
+
+def test_language_is_repaired(spark):
+    said = ["Punimet jane mbaruar", "Sipas dokumentacionit po", "Ura qëndron", "E sigurt"]
+    ledger = [claim(0, said[0], level="not_proven"), claim(1, said[1], level="qualified"), claim(2, said[2], level="qualified"), claim(3, said[3])]
+    d = spark.createDataFrame([a_draft(1, [f"{said[0]}\n\n{said[2]}", said[3]], ledger, said[2]), a_draft(2, ["x"], [])], DRAFT)
+    issues = settled(drafts.language_issues(d))
+    assert sorted(r.claim_id for r in issues.collect()) == ["c0", "c2"]
+    summary, sections, claims = one(drafts.repaired(d, issues))
+    want = ["Nga dokumentacioni i administruar nuk provohet plotësisht se punimet jane mbaruar", "Me rezervë dhe sipas dokumentacionit të administruar, Ura qëndron"]
+    assert (summary, sections[0][2], [c[2] for c in claims]) == (want[1], "\n\n".join(want), [want[0], said[1], want[1], said[3]])
+    assert drafts.language_issues(settled(drafts.repaired(d, issues))).count() == 0
+    other = issues.unionByName(drafts.ledger_missing(d.withColumn("draft_id", F.lit(1)).withColumn("ledger", F.lit(None).cast(f"array<{drafts.CLAIM}>")).limit(1)))
+    assert one(drafts.repaired(d, other))[0] == said[2]  # not language alone
