@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.operators import packets, tree
+from foliate.operators import drafts, packets, tree
 from foliate.plans.registry import query, table
 
 c = F.col
@@ -81,3 +81,47 @@ def specialist_memoranda(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kept = packets.allowed_statements(said, may, ["packet"])
     return packets.memoranda(part.select(c("p_size").alias("packet")).distinct(), may, kept, ["packet"])
+
+
+# Drafts of the next queries: each document is a section and a claim, and its first words are values that its draft holds.
+SAID = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
+DRAFT_SQL = f"""d AS (SELECT doc_id AS draft_id, coalesce(text, '') AS body, coalesce(source, '') AS source, 'Akt ' || coalesce(lang, '') AS title FROM documents),
+shown AS (SELECT draft_id, {SAID.format("concat_ws(chr(10), title, '', '', 'T', body)")} AS said FROM d),
+asks AS (SELECT draft_id, k, value, {SAID.format("value")} AS v FROM (SELECT draft_id, unnest(['fact', 'selected', 'other', 'detail']) AS k, unnest([left(body, 40), source || ' zona ' || draft_id, left(body, 12), 'detaj ' || source || ' ' || draft_id]) AS value FROM d)),
+tokens AS (SELECT *, list_filter(string_split(v, ' '), lambda w: length(w) >= 3 AND w NOT IN ('bashkia', 'date', 'dat', 'fshati', 'kol', 'leje', 'ndertimi', 'nr', 'prot', 'rep', 'shpk')) AS words, list_distinct(regexp_extract_all(v, '[0-9]+')) AS numbers FROM asks),
+present AS (SELECT draft_id, k, value, v <> '' AND (contains(said, v) OR (len(numbers) >= 2 AND len(list_filter(numbers, lambda n: NOT list_contains(regexp_extract_all(said, '[0-9]+'), n))) = 0) OR (len(words) > 0 AND len(list_filter(words, lambda w: contains(said, w))) >= least(3, len(words)))) AS there FROM tokens JOIN shown USING (draft_id)),
+has AS (SELECT draft_id, bool_or(there) FILTER (k = 'fact') AS fact, bool_or(there) FILTER (k = 'selected') AS chosen, bool_or(there) FILTER (k = 'other') AS other, bool_or(there) FILTER (k = 'detail') AS detail, max(value) FILTER (k = 'fact') AS fact_value, max(value) FILTER (k = 'selected') AS selected, max(value) FILTER (k = 'other') AS alternative, max(value) FILTER (k = 'detail') AS detail_value FROM present GROUP BY draft_id)"""
+
+
+def document_drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents as drafts of one section and one claim, with facts, conflicts and details about them."""
+    docs = table(spark, sf_dir, "documents")
+    key, body, source = c("doc_id").alias("draft_id"), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
+    none = F.lit(None).cast("string")
+    claim = F.struct(F.lit("c0"), F.lit("s"), body, F.lit("documented_fact"), F.lit("proven"), F.array(F.lit("e")), F.lit(0.5)).cast(drafts.CLAIM)
+    d = docs.select(key, F.concat(F.lit("Akt "), F.coalesce("lang", F.lit(""))).alias("title"), F.lit("").alias("summary"), none.alias("signature"), F.array(F.struct(F.lit("s"), F.lit("T"), body).cast(drafts.SECTION)).alias("sections"), F.array(claim).alias("ledger"))
+    facts = docs.select(key, F.lit("object_name").alias("field"), F.left(body, F.lit(40)).alias("value"))
+    number = c("doc_id").cast("string")
+    conflicts = docs.select(key, F.lit(0).alias("n"), F.when(c("doc_id") % 2 == 0, "location").otherwise("roof").alias("field"), F.concat(source, F.lit(" zona "), number).alias("selected"), F.array(F.left(body, F.lit(12))).alias("alternatives"), *[F.lit(None).cast("array<string>").alias(x) for x in ("sources", "other_sources")])
+    details = docs.select(key, F.lit(0).alias("n"), F.lit("steel_grade").alias("field"), F.lit("project_parameters").alias("register"), F.concat(F.lit("detaj "), source, F.lit(" "), number).alias("value"), F.lit("e:1").alias("evidence_id"), F.lit(True).alias("must_include"), F.lit(None).cast("array<string>").alias("sources"))
+    return d, facts, conflicts, details
+
+
+@query(f"""WITH {DRAFT_SQL} SELECT draft_id, 'PUBLIC-CANONICAL-FACT-OMITTED' AS code, 'minor' AS severity FROM has WHERE NOT fact AND trim(fact_value) <> ''
+UNION ALL SELECT draft_id, 'PUBLIC-CONFLICT-ALTERNATIVE-USED', CASE WHEN draft_id % 2 = 0 THEN 'major' ELSE 'minor' END FROM has WHERE other AND NOT chosen
+UNION ALL SELECT draft_id, 'PUBLIC-DETAIL-MISSING', 'major' FROM has WHERE NOT detail""")
+def draft_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts, conflicts and details of drafts against their texts."""
+    d, facts, conflicts, details = document_drafts(spark, sf_dir)
+    found = drafts.fact_issues(d, facts).unionByName(drafts.conflict_issues(d, conflicts, facts)).unionByName(drafts.detail_issues(d, details))
+    return found.select("draft_id", "code", "severity")
+
+
+@query(f"""WITH {DRAFT_SQL}, e AS (SELECT d.draft_id, body, detail, CASE WHEN other AND NOT chosen AND d.draft_id % 2 = 0 AND trim(alternative, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN replace(body, trim(alternative, ' ' || chr(9) || chr(10) || chr(13)), selected) ELSE body END AS after FROM d JOIN has USING (draft_id))
+SELECT draft_id, md5(after) AS body, CASE WHEN detail THEN 1 ELSE 2 END AS n_sections, CASE WHEN detail THEN 1 ELSE 2 END AS n_claims FROM e""")
+def corrected_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts in which other values are replaced by the selected ones and missing details are added, as their issues ask."""
+    d, facts, conflicts, details = document_drafts(spark, sf_dir)
+    issues = drafts.conflict_issues(d, conflicts, facts).unionByName(drafts.detail_issues(d, details))
+    after = drafts.corrected(d, issues)
+    return after.select("draft_id", F.md5(F.get("sections", F.lit(0))["body"]).alias("body"), F.size("sections").alias("n_sections"), F.size("ledger").alias("n_claims"))
