@@ -139,11 +139,9 @@ def limit_of(provider: Column, model: Column, exact: dict[tuple[str, str], int],
     return F.coalesce(table({f"{a}\x00{b}": n for (a, b), n in exact.items()}, key), table(by_provider, p), F.lit(default))
 
 
-def json_object(x: Column) -> Column:
-    """The JSON object that a text is, holds in a fence, or holds somewhere: its first balanced braces, strings left alone; null if none closes."""
-    s = F.trim(x)
-    bare = F.when(s.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))).otherwise(s)
-    held = F.substring(bare, F.instr(bare, "{"), F.length(bare))
+def braces(x: Column) -> Column:
+    """The first balanced braces of a text, strings left alone; null if none closes."""
+    held = F.substring(x, F.instr(x, "{"), F.length(x))
     begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
 
     def step(a: Column, c: Column) -> Column:
@@ -154,7 +152,24 @@ def json_object(x: Column) -> Column:
         return F.struct(depth.alias("depth"), quoted.alias("quoted"), (plain & a["quoted"] & (c == "\\")).alias("escaped"), (a["n"] + 1).alias("n"), F.when(ends, a["n"] + 1).otherwise(a["end"]).alias("end"))
 
     end = F.aggregate(F.split(held, ""), begin, step, lambda a: a["end"])
-    return F.when((F.instr(bare, "{") > 0) & (end > 0), F.substring(held, F.lit(1), end))
+    return F.when((F.instr(x, "{") > 0) & (end > 0), F.substring(held, F.lit(1), end))
+
+
+def json_object(x: Column) -> Column:
+    """The text of the JSON object that a reply is, holds in a fence, or holds somewhere; null if that is no object.
+
+    The whole reply is parsed first, its fence taken off; only where that is no JSON are its first balanced braces looked for.
+    """
+    s = F.trim(x)
+    bare = F.when(s.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))).otherwise(s)
+    is_object = lambda v: F.schema_of_variant(F.try_parse_json(v)).startswith("OBJECT")
+    part = F.when(F.try_parse_json(bare).isNull(), braces(bare)).otherwise(bare)
+    return t.let(part, lambda p: F.when(is_object(p), p))
+
+
+def json_value(x: Column) -> Column:
+    """The reply's JSON object as a VARIANT, which ``variant_get`` reads by path."""
+    return F.try_parse_json(json_object(x))
 
 
 def merged(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.functions import text as t
+
 
 def pack(parts: Column, limit: int, sep: str, size=F.length, extra: int = 0, joined: bool = True) -> Column:
     """Parts packed greedily, in order, into groups of at most ``limit``.
@@ -28,7 +30,7 @@ def pack(parts: Column, limit: int, sep: str, size=F.length, extra: int = 0, joi
     def cut(ps: Column) -> Column:
         begin = F.struct(F.array().cast("array<int>").alias("breaks"), F.lit(0).alias("open"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("n"))
         spans = lambda br: F.zip_with(F.concat(F.array(F.lit(0)), br), F.concat(br, F.array(F.size(ps))), lambda x, y: F.slice(ps, x + 1, y - x))
-        return F.when(F.size(ps) > 0, F.transform(F.array(F.aggregate(ps, begin, step, lambda s: s["breaks"])), spans)[0]).otherwise(F.array().cast("array<array<string>>"))
+        return F.when(F.size(ps) > 0, F.transform(F.array(F.aggregate(ps, begin, step, lambda s: s["breaks"])), spans)[0]).otherwise(F.slice(F.array(ps), 1, 0))
 
     groups = F.transform(F.array(parts), cut)[0]  # the parts are worked out once
     return F.transform(groups, lambda g: F.array_join(g, sep)) if joined else groups
@@ -210,11 +212,58 @@ def relevant_excerpt(text: Column, terms: list[str], size: int, first: int = 8,
 
 
 def ocr_lines(words: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """Words (left, top, width, height, conf, text, word_num) into lines: box, length-weighted confidence, text."""
+    """Words (left, top, width, height, conf, text, word_num) into lines: box, length-weighted confidence, text.
+
+    Words of a line stand from left to right, then from the top. Blank words and those without a confidence of ``least`` are left out.
+    """
     good = words.where((F.col("conf") >= least) & (F.trim("text") != ""))
     weight = F.greatest(F.lit(1), F.length("text"))
     return good.groupBy(*keys).agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max(F.col("left") + F.col("width")).alias("right"), F.max(F.col("top") + F.col("height")).alias("bottom"),
         F.round(F.sum(F.col("conf") * weight) / F.sum(weight), 2).alias("confidence"), F.count(F.lit(1)).alias("n_words"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_num", "text"))), lambda w: w["text"]), " ").alias("line"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "top", "word_num", "text"))), lambda w: w["text"]), " ").alias("line"),
     )
+
+
+def recognised_words(rows: DataFrame) -> DataFrame:
+    """The words (level 5) of a recognition's rows, with white space squeezed and missing places and sizes as 0."""
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("left", "top", "width", "height", "block_num", "par_num", "line_num", "word_num")}
+    return rows.where("level = 5").withColumns(zero).withColumn("text", t.squeeze(F.coalesce("text", F.lit(""))))
+
+
+def recognised_pages(rows: DataFrame, page: list[str], least: float) -> DataFrame:
+    """(page, accepted, rejected, confidence, width, height) of recognised pages.
+
+    ``rows``: page, level, block_num, par_num, line_num, word_num, left, top, width, height, conf, text. Level 1 tells the page's
+    size. Words with text count as accepted, or as rejected without a confidence of ``least``.
+    """
+    w = recognised_words(rows)
+    text, good = F.col("text") != "", F.coalesce(F.col("conf") >= least, F.lit(False))
+    weight = F.when(text & good, F.greatest(F.lit(1), F.length("text")))
+    counts = w.groupBy(*page).agg(F.count_if(text & good).alias("accepted"), F.count_if(text & ~good).alias("rejected"), F.round(F.sum(F.when(text & good, F.col("conf")) * weight) / F.sum(weight), 2).alias("confidence"))
+    sizes = rows.where("level = 1").groupBy(*page).agg(F.max(F.nullif("width", F.lit(0))).alias("width"), F.max(F.nullif("height", F.lit(0))).alias("height"))
+    pages = rows.select(*page).distinct()
+    return pages.join(counts, page, "left").join(sizes, page, "left").fillna(0, ["accepted", "rejected"])
+
+
+def recognised_chunks(rows: DataFrame, page: list[str], least: float, limit: int = 4000) -> DataFrame:
+    """(page, chunk_index, chunk, left, top, right, bottom, confidence, regions) of recognised pages.
+
+    Lines (block, paragraph, line) stand from the top, then from the left, and are packed in that order, long ones cut at spaces; a
+    part keeps its line's box and confidence. A chunk has the box around its parts and their confidence, weighted by length;
+    ``regions`` are its parts' boxes, confidences and numbers of words. A page's lines are folded together, as each chunk begins
+    where the one before ends.
+    """
+    own = [*page, "block_num", "par_num", "line_num"]
+    lines = ocr_lines(recognised_words(rows), own, least)
+    part = F.struct("top", "left", "block_num", "par_num", "line_num", "right", "bottom", "confidence", "n_words", "line")
+    held = lines.groupBy(*page).agg(F.array_sort(F.collect_list(part)).alias("lines"))
+    cut = lambda x: F.transform(split_long(x["line"], limit), lambda s: F.struct(s.alias("text"), *[x[c].alias(c) for c in ("left", "top", "right", "bottom", "confidence", "n_words")]))
+    groups = pack(F.flatten(F.transform("lines", cut)), limit, "\n", size=lambda p: F.length(p["text"]), joined=False)
+    x = held.select(*page, F.posexplode(groups).alias("chunk_index", "g"))
+    of = lambda c: F.transform("g", lambda p: p[c])
+    weight = F.transform("g", lambda p: F.greatest(F.lit(1), F.length(p["text"])))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    confidence = F.round(total(F.zip_with(of("confidence"), weight, lambda c, w: c * w)) / total(weight), 2)
+    regions = F.transform("g", lambda p: F.struct(*[p[c].alias(c) for c in ("left", "top", "right", "bottom", "confidence", "n_words")]))
+    return x.select(*page, "chunk_index", F.array_join(of("text"), "\n").alias("chunk"), F.array_min(of("left")).alias("left"), F.array_min(of("top")).alias("top"), F.array_max(of("right")).alias("right"), F.array_max(of("bottom")).alias("bottom"), confidence.alias("confidence"), regions.alias("regions"))

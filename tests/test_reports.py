@@ -6,9 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from foliate.functions import fields
+from foliate.functions import fields, labels
 from foliate.functions import text as t
-from foliate.operators import drafts, evidence, packets, tree
+from foliate.operators import chunks, drafts, evidence, packets, tree
 
 ITEM = "id string, parent_id string, name string, is_folder boolean, is_output boolean, size int"
 
@@ -237,3 +237,67 @@ def test_language_is_repaired(spark):
     assert drafts.language_issues(settled(drafts.repaired(d, issues))).count() == 0
     other = issues.unionByName(drafts.ledger_missing(d.withColumn("draft_id", F.lit(1)).withColumn("ledger", F.lit(None).cast(f"array<{drafts.CLAIM}>")).limit(1)))
     assert one(drafts.repaired(d, other))[0] == said[2]  # not language alone
+
+
+# --- recognition
+
+
+WORD = "page int, level int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
+
+
+def test_recognition_of_two_lines(spark):
+    rows = [(1, 1, 0, 0, 0, 0, 0, 0, 1000, 1400, -1.0, None), (1, 5, 1, 1, 1, 2, 190, 200, 140, 30, 90.0, "Projekti"), (1, 5, 1, 1, 1, 1, 100, 200, 80, 30, 80.0, "Akt"), (1, 5, 1, 1, 2, 1, 100, 240, 120, 40, 92.0, " Vila "), (1, 5, 1, 1, 2, 2, 230, 240, 50, 40, 12.0, "zz"), (1, 5, 1, 1, 2, 3, 0, 0, 1, 1, 99.0, " "), (2, 4, 0, 0, 0, 0, 0, 0, 5, 5, -1.0, "x")]
+    df = spark.createDataFrame(rows, WORD)
+    pages = {r.page: (r.accepted, r.rejected, r.confidence, r.width, r.height) for r in chunks.recognised_pages(df, ["page"], 30).collect()}
+    assert pages == {1: (3, 1, 88.53, 1000, 1400), 2: (0, 0, None, None, None)}
+    (c,) = chunks.recognised_chunks(df, ["page"], 30).collect()
+    assert (c.chunk, c.left, c.top, c.right, c.bottom, [r.confidence for r in c.regions]) == ("Akt Projekti\nVila", 100, 200, 330, 280, [87.27, 92.0])
+    assert chunks.recognised_chunks(df.limit(0), ["page"], 30).count() == 0
+
+
+def plain_recognition(rows, least, limit):
+    pages, out = {}, []
+    for r in rows:
+        if r[1] == 5 and r[11] and r[10] is not None and r[10] >= least:
+            pages.setdefault(r[0], {}).setdefault(r[2:5], []).append(r)
+    for page, lines in pages.items():
+        made = []
+        for key, ws in lines.items():
+            ws.sort(key=lambda w: (w[6], w[7], w[5]))
+            n = [len(w[11]) for w in ws]
+            made.append((min(w[7] for w in ws), min(w[6] for w in ws), key, max(w[6] + w[8] for w in ws), max(w[7] + w[9] for w in ws), sum(w[10] * k for w, k in zip(ws, n, strict=True)) / sum(n), " ".join(w[11] for w in ws)))
+        now, size, groups = [], 0, []
+        for line in sorted(made):
+            rest, parts = line[6], []
+            while len(rest) > limit:
+                at = rest.rfind(" ", 0, limit + 1)
+                at = at if at > 0 else limit
+                parts.append(rest[:at].strip())
+                rest = rest[at:].strip()
+            for p in [*parts, *([rest] if rest else [])]:
+                if now and size + 1 + len(p) > limit:
+                    groups.append(now)
+                    now, size = [], 0
+                size += len(p) + (1 if now else 0)
+                now.append((line, p))
+        for i, g in enumerate([*groups, now] if now else groups):
+            weight = sum(len(p) for _, p in g)
+            out.append((page, i, "\n".join(p for _, p in g), min(x[1] for x, _ in g), min(x[0] for x, _ in g), max(x[3] for x, _ in g), max(x[4] for x, _ in g), sum(round(x[5], 2) * len(p) for x, p in g) / weight))
+    return sorted(out)
+
+
+def test_recognised_chunks_against_the_plain_loop(spark):
+    r = random.Random(9)
+    rows = [(p, 5, r.randint(0, 1), 0, r.randint(0, 6), i, r.randint(0, 9) * 10, r.randint(0, 9) * 10, r.randint(1, 50), r.randint(1, 9), r.choice([None, 10.0, 55.5, 90.25]), r.choice(["a", "bb", "cccccc", "d" * 13])) for p in range(6) for i in range(40)]
+    want = plain_recognition(rows, 30, 40)
+    got = sorted((c.page, c.chunk_index, c.chunk, c.left, c.top, c.right, c.bottom, c.confidence) for c in chunks.recognised_chunks(spark.createDataFrame(rows, WORD), ["page"], 30, 40).collect())
+    assert [x[:7] for x in got] == [x[:7] for x in want]
+    assert all(abs(a[7] - b[7]) < 0.02 for a, b in zip(got, want, strict=True))
+
+
+def test_json_of_replies(spark):
+    cases = {'{"b": 1, "a": {"c": [2]}}': '{"b": 1, "a": {"c": [2]}}', '```json\n{"a":1}\n```': '{"a":1}', 'It is {"a":"}"} and {no}': '{"a":"}"}', '[{"a":1}]': None, 'x {no} y {"a":1}': None, "12": None, "": None, "{": None, None: None, '"{}"': None}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string")
+    got = df.select("i", labels.json_object(F.col("x")).alias("o"), F.variant_get(labels.json_value(F.col("x")), "$.a.c[0]", "int").alias("c")).orderBy("i").collect()
+    assert [r.o for r in got] == list(cases.values())
+    assert [r.c for r in got][:2] == [2, None]
