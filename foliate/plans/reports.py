@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.operators import drafts, packets, tree
+from foliate.functions import labels
+from foliate.operators import chunks, drafts, packets, sections, tree
 from foliate.plans.registry import query, table
 
 c = F.col
@@ -125,3 +126,54 @@ def corrected_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = drafts.conflict_issues(d, conflicts, facts).unionByName(drafts.detail_issues(d, details))
     after = drafts.corrected(d, issues)
     return after.select("draft_id", F.md5(F.get("sections", F.lit(0))["body"]).alias("body"), F.size("sections").alias("n_sections"), F.size("ledger").alias("n_claims"))
+
+
+FACT_NAMES = sorted({f for _, facts, *_ in sections.SECTIONS.values() for f in facts})
+FILE_SECTIONS = sorted({e for _, _, es, *_ in sections.SECTIONS.values() for e in es})
+PLAN_SQL = ", ".join(f"({n}, '{code}', '{kind}', {i}, '{name}')" for n, (code, (_, *lists)) in enumerate(sections.SECTIONS.items()) for kind, names in zip(("fact", "evidence", "register", "domain"), lists, strict=True) for i, name in enumerate(names))
+CODE_SQL = ", ".join(f"({n}, '{code}')" for n, code in enumerate(sections.SECTIONS))
+
+
+@query(f"""WITH plan(n, code, kind, place, name) AS (VALUES {PLAN_SQL}), codes(n, code) AS (VALUES {CODE_SQL}), p AS (SELECT c_custkey AS project, c_nationkey FROM customer),
+f AS (SELECT DISTINCT o_custkey AS project, {FACT_NAMES}[o_orderkey % {len(FACT_NAMES)} + 1] AS name FROM orders WHERE o_orderstatus <> 'P'), files AS (SELECT DISTINCT o_custkey AS project, {FILE_SECTIONS}[o_orderkey % {len(FILE_SECTIONS)} + 1] AS name, o_orderpriority AS file FROM orders),
+r AS (SELECT o_custkey AS project, {REGISTERS}[o_orderkey % 9 + 1] AS name, count(*) AS k FROM orders GROUP BY ALL), m AS (SELECT project, {list(packets.DOMAINS)}[project % 6 + 1] AS name, 'reviewed:' || c_nationkey AS told FROM p)
+SELECT project, codes.n, codes.code,
+coalesce((SELECT string_agg(x.name, ',' ORDER BY place) FROM plan x WHERE x.n = codes.n AND kind = 'fact' AND EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND f.name = x.name)), '') AS available,
+coalesce((SELECT string_agg(x.name, ',' ORDER BY place) FROM plan x WHERE x.n = codes.n AND kind = 'fact' AND NOT EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND f.name = x.name)), '') AS missing,
+coalesce((SELECT string_agg(file, ',' ORDER BY file) FROM (SELECT DISTINCT file FROM plan x JOIN files USING (name) WHERE x.n = codes.n AND kind = 'evidence' AND files.project = p.project)), '') AS files,
+(SELECT string_agg(x.name || ':' || coalesce(k, 0), ',' ORDER BY place) FROM plan x LEFT JOIN r ON r.project = p.project AND r.name = x.name WHERE x.n = codes.n AND kind = 'register') AS entries,
+coalesce((SELECT string_agg(x.name || ':' || told, ',' ORDER BY place) FROM plan x JOIN m ON m.name = x.name WHERE x.n = codes.n AND kind = 'domain' AND m.project = p.project), '') AS reviews FROM p, codes""")
+def section_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as projects, whose orders are facts, files and entries."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key, project = c("o_orderkey"), c("o_custkey").alias("project")
+    one_of = lambda names: F.get(F.array(*map(F.lit, names)), (key % len(names)).cast("int"))
+    facts = orders.select(project, one_of(FACT_NAMES).alias("field"), F.when(c("o_orderstatus") != "P", "x").alias("value"))
+    files = orders.select(project, one_of(FILE_SECTIONS).alias("section"), c("o_orderpriority").alias("filename"))
+    entries = orders.select(project, one_of(REGISTERS).alias("register"))
+    memo = customer.select(c("c_custkey").alias("project"), F.get(F.array(*map(F.lit, packets.DOMAINS)), (c("c_custkey") % 6).cast("int")).alias("domain"), F.lit("reviewed").alias("status"), c("c_nationkey").alias("statements"))
+    x = sections.section_plan(customer.select(c("c_custkey").alias("project")), facts, files, entries, memo, ["project"])
+    listed = lambda name, f: F.array_join(F.transform(name, f), ",").alias(name)
+    return x.select("project", "n", "code", *[F.array_join(v, ",").alias(v) for v in ("available", "missing", "files")], listed("entries", lambda e: F.concat_ws(":", e["register"], e["n"])), listed("reviews", lambda r: F.concat_ws(":", r["domain"], r["status"], r["statements"])))
+
+
+@query("""WITH w AS (SELECT doc_id, (doc_id * 7 + n * 13) % 101 AS conf, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS n FROM documents WHERE text IS NOT NULL)),
+x AS (SELECT doc_id, conf, trim(regexp_replace(w, '\\s+', ' ', 'g')) AS w FROM w), pages AS (SELECT DISTINCT doc_id FROM x)
+SELECT doc_id, count(*) FILTER (w <> '' AND conf >= 30) AS accepted, count(*) FILTER (w <> '' AND conf < 30) AS rejected, (doc_id % 3 + 1)::INT AS width FROM x GROUP BY doc_id""")
+def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as recognised pages, words below a confidence rejected."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text")).withColumn("word_num", c("i") + 1)
+    places = [F.lit(5).alias("level"), *[zero.alias(x) for x in ("block_num", "par_num", "line_num")], "word_num", (c("word_num") * 10).alias("left"), zero.alias("top"), zero.alias("width"), zero.alias("height")]
+    rows = words.select("doc_id", *places, ((c("doc_id") * 7 + c("word_num") * 13) % 101).cast("double").alias("conf"), "text")
+    heads = docs.select("doc_id", F.lit(1).alias("level"), *[zero.alias(x) for x in ("block_num", "par_num", "line_num", "word_num", "left", "top")], (c("doc_id") % 3 + 1).cast("int").alias("width"), zero.alias("height"), F.lit(-1.0).alias("conf"), none.alias("text"))
+    return chunks.recognised_pages(rows.unionByName(heads), ["doc_id"], 30).select("doc_id", "accepted", "rejected", "width")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN json_extract_string(props, '$.k') END AS k FROM events""")
+def reply_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S51 and S52 on VARIANT: replies that are an object, hold one in a fence, are a list of one, or hold braces that are none before it."""
+    key = c("event_id") % 4
+    said = F.when(key == 0, c("props")).when(key == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(key == 2, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.concat(F.lit("x {no} y "), "props"))
+    return table(spark, sf_dir, "events").select("event_id", F.variant_get(labels.json_value(said), "$.k", "string").alias("k"))
