@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,17 +141,41 @@ def required_details(entries: DataFrame, facts: DataFrame, by: str, each: int =
     permit = F.col("field").isin(*fields.PERMIT_FIELDS)
     x = x.where(~permit | (F.coalesce("_fact", F.lit("")) == "") | t.inside_or_numbers(F.col("value"), F.col("_fact"))).where(~permit | ~fields.bare_reference(F.col("value")) | trusted)
     x = x.withColumn("_g", detail_group(F.col("register"), F.col("field"))).where("_g is not null").select("*", "_g.group", "_g.priority")
-    place = F.struct("priority", F.coalesce(fields.lookup(REGISTER_PLACE, F.col("register")), F.lit(99)).alias("r"), "field", F.negative(F.length("value")).alias("size"), "value", "evidence_id", "register", "group")
-    held = x.groupBy(by).agg(F.array_sort(F.collect_set(place)).alias("all"))  # a report's entries
-    kind = held.schema["all"].dataType.simpleString()
-
-    def step(got: Column, d: Column) -> Column:
-        same_group = F.size(F.filter(got, lambda g: g["group"] == d["group"]))
-        known = F.exists(got, lambda g: (g["field"] == d["field"]) & t.inside_or_numbers(d["value"], g["value"]))
-        return F.when((F.size(got) < most) & (same_group < each) & ~known, F.concat(got, F.array(d))).otherwise(got)
-
-    out = held.select(by, F.posexplode(F.aggregate("all", F.array().cast(kind), step)).alias("n", "_d"))
-    return out.select(by, "n", "_d.evidence_id", "_d.group", "_d.register", F.col("_d.field").alias("field_name"), "_d.value", "_d.priority", (F.col("_d.priority") <= 2).alias("must_include"))
+    place = {"place": F.coalesce(fields.lookup(REGISTER_PLACE, F.col("register")), F.lit(99)), "size": F.negative(F.length("value"))}
+    order = ["priority", "place", "field", "size", "value", "evidence_id", "register", "group"]
+    rows = x.withColumns(place).select(by, *order).distinct()  # before the shuffle, as far as a task sees repeats
+    kind = rows.schema[by].dataType.simpleString()
+    out = rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(lambda b: first_details(b, by, each, most), f"{by} {kind}, n int, evidence_id {rows.schema['evidence_id'].dataType.simpleString()}, group string, register string, field_name string, value string, priority int")
+    return out.withColumn("must_include", F.col("priority") <= 2)
+
+
+def first_details(batches: Iterator[pa.RecordBatch], by: str, each: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows the details that stay: a report's rows stream by, and no more than ``most`` of them are held."""
+    report, begun = None, False
+    held: list[tuple[str, str, str, set[str]]] = []
+    for batch in batches:
+        kept, numbers = [], []
+        names = ("evidence_id", "group", "register", "field", "value", "priority")
+        for i, (key, group, field, value) in enumerate(zip(*(batch.column(c).to_pylist() for c in (by, "group", "field", "value")), strict=True)):
+            if not begun or key != report:
+                report, begun, held = key, True, []
+            if len(held) >= most or sum(g == group for g, *_ in held) >= each:
+                continue
+            short = re.sub(r"\s+", "", value.lower())
+            said = set(re.findall("[0-9]+", short))
+            if any(f == field and same_detail(short, said, other, theirs) for _, f, other, theirs in held):
+                continue
+            kept.append(i)
+            numbers.append(len(held))
+            held.append((group, field, short, said))
+        rows = batch.take(pa.array(kept, pa.int64()))
+        cols = [rows.column(by), pa.array(numbers, pa.int32()), *[rows.column(c) for c in names]]
+        yield pa.RecordBatch.from_arrays(cols, names=[by, "n", "evidence_id", "group", "register", "field_name", "value", "priority"])
+
+
+def same_detail(a: str, own: set[str], b: str, theirs: set[str]) -> bool:
+    """S38 for two values without white space, in lower case, and their numbers."""
+    return bool(a and b) and (a in b or b in a or (len(own) >= 2 and (own <= theirs or theirs <= own)))
 
 
 def within_budget(items: DataFrame, by: str, size: str, priority: list, budget: int) -> DataFrame:

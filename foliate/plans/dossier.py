@@ -508,9 +508,13 @@ def placed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def required_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details of each part's brand, in their order, without repeats."""
     p = table(spark, sf_dir, "part")
-    name = F.when(c("p_size") % 4 == 0, "total area").when(c("p_size") % 4 == 1, "contract value").when(c("p_size") % 4 == 2, "start date").otherwise("steel test result")
-    entries = p.select("p_brand", c("p_partkey").cast("string").alias("evidence_id"), F.lit("materials_and_tests").alias("register"), name.alias("field_name"), F.concat_ws(" ", "p_type", c("p_size").cast("string")).alias("value"), F.lit("high").alias("confidence_level"), F.array(F.lit("leje.pdf")).alias("sources"))
-    return summaries.required_details(entries, spark.createDataFrame([], "p_brand string, field string, value string"), "p_brand")
+    key, size = c("p_partkey").cast("string"), c("p_size").cast("string")
+    name = F.when(c("p_size") % 5 == 0, "total area").when(c("p_size") % 5 == 1, "contract value").when(c("p_size") % 5 == 2, "start date").when(c("p_size") % 5 == 3, "construction permit number").otherwise("steel test result")
+    value = F.when(c("p_size") % 5 == 3, F.concat(F.lit("Leja nr. "), size, F.lit("/"), (c("p_partkey") % 3).cast("string"))).otherwise(F.concat_ws(" ", "p_type", size))
+    entries = p.select("p_brand", key.alias("evidence_id"), F.lit("materials_and_tests").alias("register"), name.alias("field_name"), value.alias("value"), F.lit("high").alias("confidence_level"), F.array(F.lit("leje.pdf")).alias("sources"))
+    # The canonical permit of a brand is that of its first part of the kind.
+    facts = entries.where("field_name = 'construction permit number'").groupBy("p_brand").agg(F.min_by("value", F.col("evidence_id").cast("int")).alias("value")).select("p_brand", F.lit("construction_permit_number").alias("field"), "value")
+    return summaries.required_details(entries, facts, "p_brand")
 
 
 @query("""SELECT doc_id, min(line_no)::INT AS first_line, count(*) AS n FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) GROUP BY doc_id""")

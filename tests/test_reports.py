@@ -1,6 +1,7 @@
 """Trees, closures, packets, drafts and sections against plain versions and literal cases."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import fields, labels
 from foliate.functions import text as t
-from foliate.operators import chunks, drafts, evidence, packets, tree
+from foliate.operators import chunks, drafts, evidence, packets, summaries, tree
 
 ITEM = "id string, parent_id string, name string, is_folder boolean, is_output boolean, size int"
 
@@ -301,3 +302,32 @@ def test_json_of_replies(spark):
     got = df.select("i", labels.json_object(F.col("x")).alias("o"), F.variant_get(labels.json_value(F.col("x")), "$.a.c[0]", "int").alias("c")).orderBy("i").collect()
     assert [r.o for r in got] == list(cases.values())
     assert [r.c for r in got][:2] == [2, None]
+
+
+# --- details
+
+
+def same(a, b):
+    a, b = (re.sub(r"\s+", "", x.lower()) for x in (a, b))
+    x, y = set(re.findall("[0-9]+", a)), set(re.findall("[0-9]+", b))
+    return bool(a and b) and (a in b or b in a or (len(x) >= 2 and (x <= y or y <= x)))
+
+
+def test_details_against_the_plain_loop(spark):
+    r = random.Random(6)
+    named = {"construction permit number": ("permit_property", 1, "construction_permit_number"), "start date": ("chronology", 1, "start_date"), "concrete class": ("materials_tests", 1, "concrete_class"), "zz": ("permit_property", 4, "zz")}
+    rows = [(d, f"e{i}", "permits_property_licenses", r.choice(list(named)), f"{r.choice(['Leja nr.', 'B', 'Data'])} {r.randint(1, 12)}/{r.randint(1, 3)}", "high", ["leje.pdf"]) for d in range(4) for i in range(60)]
+    rows += rows[:9]
+    fact = {d: f"Leja nr. {d + 2}/1" for d in range(3)}
+    want = []
+    for d in range(4):
+        own = {(named[f][1], 1, named[f][2], -len(v), v, e, named[f][0]) for k, e, _, f, v, *_ in rows if k == d and (f != "construction permit number" or d not in fact or same(v, fact[d]))}
+        got = []
+        for x in sorted(own):
+            if len(got) < 9 and sum(g[6] == x[6] for g in got) < 3 and not any(g[2] == x[2] and same(x[4], g[4]) for g in got):
+                got.append(x)
+        want += [(d, n, x[5], x[2], x[4], x[0] <= 2) for n, x in enumerate(got)]
+    entries = spark.createDataFrame(rows, "d int, evidence_id string, register string, field_name string, value string, confidence_level string, sources array<string>")
+    facts = spark.createDataFrame([(d, "construction_permit_number", v) for d, v in fact.items()], "d int, field string, value string")
+    got = summaries.required_details(entries, facts, "d", each=3, most=9)
+    assert sorted((x.d, x.n, x.evidence_id, x.field_name, x.value, x.must_include) for x in got.collect()) == sorted(want)
