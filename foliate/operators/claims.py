@@ -47,6 +47,13 @@ def routed(claims: DataFrame, rules: dict[str, Column], otherwise: str) -> DataF
     return claims.withColumn("register", F.explode(F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(F.lit(otherwise)))))
 
 
+def fact_score(field: Column, authority: Column, extraction: Column, classification: Column, sources: Column) -> Column:
+    """The score of a value; well-proven construction permits get a little more."""
+    more = F.least(F.lit(0.15), 0.05 * F.greatest(F.lit(0), sources - 1))
+    permit = F.when(field.startswith("construction_permit") & (authority >= 0.9), 0.04).otherwise(0.0)
+    return F.round(F.least(F.lit(0.99), 0.62 * authority + 0.23 * extraction + 0.10 * classification + more + permit), 3)
+
+
 def fact_groups(candidates: DataFrame, field: str, norm: str, value: str, source: str) -> DataFrame:
     """A group for each field and normalised value: its score, level and best-supported value; well-proven construction permits get a little more."""
     x = candidates.groupBy(field, norm).agg(
@@ -54,9 +61,7 @@ def fact_groups(candidates: DataFrame, field: str, norm: str, value: str, source
         F.max(or_default(F.col("classification"), 0.5)).alias("classification"), F.countDistinct(source).alias("sources"),
         F.max_by(F.col(value), F.struct("authority", "extraction", F.negative("seq"))).alias("value"), F.min("seq").alias("first_seq"),
     )
-    more = F.least(F.lit(0.15), 0.05 * F.greatest(F.lit(0), F.col("sources") - 1))
-    permit = F.when(F.col(field).startswith("construction_permit") & (F.col("authority") >= 0.9), 0.04).otherwise(0.0)
-    score = F.round(F.least(F.lit(0.99), 0.62 * F.col("authority") + 0.23 * F.col("extraction") + 0.10 * F.col("classification") + more + permit), 3)
+    score = fact_score(F.col(field), F.col("authority"), F.col("extraction"), F.col("classification"), F.col("sources"))
     return x.withColumn("score", score).withColumn("level", level(F.col("score"), 0.82, 0.68))
 
 

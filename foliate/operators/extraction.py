@@ -129,11 +129,13 @@ def capped_facts(facts: DataFrame, order: list[str], most: int = 8) -> DataFrame
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(*by))).where(F.col("rank") <= most)
 
 
+def labelled_array(line: Column) -> Column:
+    return F.array(*[fact(f, fields.clean_value(F.lit(f), group(line, p)), line, conf) for f, (p, conf) in LABELS.items()])
+
+
 def labelled_facts(lines: DataFrame) -> DataFrame:
     """K4: a fact for each label in a line (line), its value cleaned."""
-    line = F.col("line")
-    each = [fact(f, fields.clean_value(F.lit(f), group(line, p)), line, conf) for f, (p, conf) in LABELS.items()]
-    return found(lines, F.array(*each))
+    return found(lines, labelled_array(F.col("line")))
 
 
 def places(docs: DataFrame, text_col: str) -> DataFrame:
@@ -155,26 +157,49 @@ def role_facts(lines: DataFrame, by: list[str]) -> DataFrame:
     return found(rows.where("role is not null"), F.array(licence, nipt)).drop("near", "role")
 
 
-def permit_facts(lines: DataFrame) -> DataFrame:
-    """K6: number, protocol and last date of a permit that a line (line) names."""
-    line, said = F.col("line"), t.plain_value(F.col("line"))
+def permit_array(line: Column, said: Column) -> Column:
     named = fields.any_of(said, ["leje ndertimi", "leja e ndertimit", "leje zhvill", "leja e zhvill"])
     of = F.when(said.contains("zhvill"), "development_permit_").otherwise("construction_permit_")
     number, protocol = F.coalesce(group(line, DECISION), group(line, PERMIT)), group(line, PROTOCOL)
     name = lambda part: F.concat(of, F.lit(part))
-    return found(lines, F.array(
+    return F.array(
         fact(name("number"), F.concat(F.lit("Nr. "), number), line, 0.97, named),
         fact(name("protocol"), F.concat(F.lit("Nr. Prot. "), protocol), line, 0.97, named),
         fact(name("date"), F.try_element_at(t.days(line), F.lit(-1)), line, 0.95, named),
-    ))
+    )
 
 
-def amount_facts(lines: DataFrame) -> DataFrame:
-    """K6: planned and final values in a line (line) with an amount of money."""
-    line, said = F.col("line"), t.plain_value(F.col("line"))
+def permit_facts(lines: DataFrame) -> DataFrame:
+    """K6: number, protocol and last date of a permit that a line (line) names."""
+    return found(lines, permit_array(F.col("line"), t.plain_value(F.col("line"))))
+
+
+def amount_array(line: Column, said: Column) -> Column:
     field = F.when(fields.any_of(said, ["preventiv", "kontrakt"]), "planned_value").when(fields.any_of(said, ["situacion", "perfundimtar"]), "final_value").when(said.contains("vlera e objektit"), "planned_value")
     value = F.concat(labels.money_text(group(line, MONEY)), F.lit(" lekë"))
-    return found(lines, F.array(fact(field, value, line, 0.9, said.contains("vler") & field.isNotNull())))
+    return F.array(fact(field, value, line, 0.9, said.contains("vler") & field.isNotNull()))
+
+
+def amount_facts(lines: DataFrame) -> DataFrame:
+    """K6: planned and final values in a line (line) with an amount of money."""
+    return found(lines, amount_array(F.col("line"), t.plain_value(F.col("line"))))
+
+
+# Words of table lines that give an area, the first that a line holds counts.
+TABLE_AREAS = [("site_area", ["siperfaqja e tokes qe zhvillohet"]), ("footprint_area", ["siperfaqja e objektit te ri", "zene nga struktura"]), ("total_construction_area", ["siperfaqja e pergjithshme e ndertimit"])]
+BASEMENT = r"(?i)(\d+(?:[.,]\d+)?)\s*m(?:2|²)?\s*podrum"
+
+
+def table_array(line: Column, said: Column) -> Column:
+    field = reduce(lambda c, x: c.when(fields.any_of(said, x[1]), F.lit(x[0])), TABLE_AREAS, F.when(F.lit(False), F.lit("")))
+    metres = lambda n: F.concat(F.replace(n, F.lit(","), F.lit(".")), F.lit(" m²"))
+    area = fact(field, metres(group(line, r"\b(\d+(?:[.,]\d+)?)\b")), line, 0.93, field.isNotNull())
+    return F.array(area, fact("basement_area", metres(group(line, BASEMENT)), line, 0.92, field == "total_construction_area"))
+
+
+def table_facts(lines: DataFrame) -> DataFrame:
+    """K6: areas in lines (line) of tables, the line's first number, and the basement's beside the total."""
+    return found(lines, table_array(F.col("line"), t.plain_value(F.col("line"))))
 
 
 def metric_facts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -187,11 +212,66 @@ def metric_facts(docs: DataFrame, text_col: str) -> DataFrame:
     return found(docs, F.concat(*metrics, *numbers))
 
 
+def timeline_array(line: Column, said: Column) -> Column:
+    field = F.when(fields.any_of(said, ["fillim", "fillu"]) & said.contains("punim"), "start_date").when(said.contains("perfund") & said.contains("punim"), "completion_date")
+    return F.array(fact(field, F.get(t.days(line), F.lit(0)), line, 0.92, field.isNotNull()))
+
+
 def timeline_facts(lines: DataFrame) -> DataFrame:
     """K6: start and completion of works in a line (line) with a date."""
-    line, said = F.col("line"), t.plain_value(F.col("line"))
-    field = F.when(fields.any_of(said, ["fillim", "fillu"]) & said.contains("punim"), "start_date").when(said.contains("perfund") & said.contains("punim"), "completion_date")
-    return found(lines, F.array(fact(field, F.get(t.days(line), F.lit(0)), line, 0.92, field.isNotNull())))
+    return found(lines, timeline_array(F.col("line"), t.plain_value(F.col("line"))))
+
+
+def line_facts(lines: DataFrame) -> DataFrame:
+    """K4 and K6: all facts that a line (line) states by itself, in one pass: each line is normalised once, and its facts exploded once."""
+    said, line = t.plain_value(F.col("line")), F.col("line")
+    each = lambda s: F.concat(labelled_array(line), permit_array(line, s), amount_array(line, s), table_array(line, s), timeline_array(line, s))
+    return found(lines, t.let(said, each))
+
+
+# Roles of parties to a contract by words of its name or first page, and how lines name the party.
+CONTRACT_ROLES = [("kolaudator", ["kolaudator"]), ("supervisor", ["mbikeqyres", "mbikqyres", "supervizor"]), ("contractor", ["sipermarres", "sipemarr", "zbatues"])]
+CONTRACT_KINDS = ["contract_and_related_acts", "supervisor_contract", "unknown"]
+PARTY_OF = {"contractor": "(?:sip[eë]rmarr[eë]s(?:i|in)?|zbatues(?:i|in)?)", "supervisor": "(?:mbik[eë]qyr[eë]s(?:i|in)?|supervizor(?:i|in)?)", "kolaudator": "(?:kolaudator(?:i|in)?)"}
+PARTY = r"(?:\s+i\s+punimeve)?\s*(?:[:\-]|me\s+)?\s*((?:z\.?|znj\.?|ing\.?|ark\.?)?\s*[A-ZÇË][^,;\n]{2,90}(?:sh\.?\s*p\.?\s*k\.?)?)"
+NAMED_PARTY = r"(?iu)\bme\s+((?:z\.?|znj\.?)?\s*[A-ZÇË][A-Za-zÇËËçë.'\s-]{2,80})"
+DEED, DAY = r".{0,80}?(?:dat[eë]|date)\s*[:.]?\s*", r"([0-3]?\d[./-][01]?\d[./-](?:19|20)?\d{2})"
+REPERTORY_FIRST = r"(?i)(?:nr\.?\s*)?(?:rep\.?|repertori)\s*[:.]?\s*(\d{1,8}).{0,80}?(?:nr\.?\s*)?(?:kol\.?|koleksioni)\s*[:.]?\s*(\d{1,8})"
+NUMBER_FIRST = r"(?i)(?:nr\.?\s*)?(\d{1,8})\s*(?:rep\.?|repertori).{0,80}?(?:nr\.?\s*)?(\d{1,8})\s*(?:kol\.?|koleksioni)"
+
+
+def contract_role(filename: Column, kind: Column, text: Column) -> Column:
+    """K5: whose contract a document is, by its name, its type, or the first page of one that speaks of a contract; else null."""
+    by_words = lambda said: reduce(lambda c, x: c.when(fields.any_of(said, x[1]), F.lit(x[0])), CONTRACT_ROLES, F.when(F.lit(False), F.lit("")))
+    blank, kind = F.lit(""), F.coalesce(kind, F.lit(""))
+    page = t.plain_value(F.left(F.coalesce(text, blank), F.lit(2500)))
+    paged = t.let(page, lambda p: F.when(p.contains("kontrat"), by_words(p)))
+    return F.coalesce(t.let(t.plain_value(F.coalesce(filename, blank)), by_words), F.when(kind == "supervisor_contract", "supervisor").when(kind.isin(*CONTRACT_KINDS), paged))
+
+
+def contract_reference(text: Column) -> Column:
+    """K5: a deed's numbers of repertory and collection, and its day where one follows, in the first 5,000 characters."""
+    short = F.left(t.squeeze(F.coalesce(text, F.lit(""))), F.lit(5000))
+
+    def of(s: Column) -> Column:
+        dated = lambda p: F.when(s.rlike(p + DEED + DAY), t.let(F.regexp_extract(s, p + DEED + DAY, 3), lambda d: F.concat(numbers(p + DEED + DAY), F.lit(", datë "), F.coalesce(F.get(t.days(d), F.lit(0)), d))))
+        numbers = lambda p: F.concat(F.lit("Nr. Rep. "), F.regexp_extract(s, p, 1), F.lit(", Nr. Kol. "), F.regexp_extract(s, p, 2))
+        return F.coalesce(dated(REPERTORY_FIRST), dated(NUMBER_FIRST), F.when(s.rlike(NUMBER_FIRST), numbers(NUMBER_FIRST)))
+
+    return t.let(short, of)
+
+
+def contract_facts(docs: DataFrame, by: list[str], filename: str, kind: str, text: str, first: int = 80) -> DataFrame:
+    """K5: the party of a contract, from its file name or else from its ``first`` lines, and its reference: by, n, field, value, evidence, extraction."""
+    x = docs.withColumn("role", contract_role(F.col(filename), F.col(kind), F.col(text))).where("role is not null")
+    stem = F.regexp_replace(F.trim(F.regexp_replace(F.replace(F.coalesce(filename, F.lit("")), F.lit("_"), F.lit(" ")), r"\.[A-Za-z0-9]{2,5}$", "")), r"^\s*\d+(?:\.\d+)*\s*", "")
+    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), t.squeeze), lambda v: F.length(v) >= 3), 1, first)
+    in_line = lambda p: F.get(F.filter(F.transform(F.filter(lines, lambda v: v.rlike(p)), lambda v: labels.party_name(F.regexp_extract(v, p, 1))), lambda v: v.isNotNull()), F.lit(0))
+    lined = reduce(lambda c, r: c.when(F.col("role") == r, in_line(f"(?i){PARTY_OF[r]}{PARTY}")), PARTY_OF, F.when(F.lit(False), F.lit("")))
+    party = F.coalesce(labels.party_name(group(stem, NAMED_PARTY)), lined)
+    reference = contract_reference(F.col(text))
+    facts = F.array(fact(F.col("role"), party, F.coalesce(filename, F.lit("")), 0.91), t.let(reference, lambda r: fact(F.concat("role", F.lit("_contract_reference")), r, r, 0.92)))
+    return found(x.select(*by, "role", filename, text), facts).select(*by, "n", "field", "value", "evidence", "extraction")
 
 
 def admitted(facts: DataFrame, by: list[str], order: list[str], kind: Column | None = None) -> DataFrame:

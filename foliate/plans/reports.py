@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import labels
-from foliate.operators import chunks, drafts, packets, sections, tree
+from foliate.operators import chunks, dossier, drafts, packets, sections, tree
 from foliate.plans.registry import query, table
 
 c = F.col
@@ -177,3 +177,37 @@ def reply_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = c("event_id") % 4
     said = F.when(key == 0, c("props")).when(key == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(key == 2, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.concat(F.lit("x {no} y "), "props"))
     return table(spark, sf_dir, "events").select("event_id", F.variant_get(labels.json_value(said), "$.k", "string").alias("k"))
+
+
+@query("""WITH d AS (SELECT doc_id, source, lang, doc_id % 3 AS k, lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '.05.2020' AS day, lpad(doc_id::VARCHAR, 9, '0') AS file FROM documents WHERE text IS NOT NULL),
+c(field, value, e, step, line_no, n, file, k) AS (
+SELECT 'investor', 'Firma ' || coalesce(source, 'x'), 0.93, 0, 0, 2, file, k FROM d
+UNION ALL SELECT 'construction_permit_number', 'Nr. ' || (doc_id % 50) || '/A', 0.97, 0, 1, 0, file, k FROM d WHERE k <> 2
+UNION ALL SELECT 'construction_permit_date', day, 0.95, 0, 1, 1, file, k FROM d WHERE k <> 2
+UNION ALL SELECT 'total_construction_area', (100 + doc_id % 7) || '.5 m²', 0.93, 0, 2, 0, file, k FROM d
+UNION ALL SELECT 'basement_area', '40 m²', 0.92, 0, 2, 1, file, k FROM d
+UNION ALL SELECT 'contractor', 'Beta ' || coalesce(lang, 'x'), 0.91, 1, 0, 0, file, k FROM d WHERE k = 2
+UNION ALL SELECT 'contractor_contract_reference', 'Nr. Rep. ' || (doc_id % 20) || ', Nr. Kol. 7, datë 01.02.2021', 0.92, 1, 0, 1, file, k FROM d WHERE k = 2
+UNION ALL SELECT 'designer', 'Studio ' || (doc_id % 4), 0.8, 5, 0, 0, file, k FROM d WHERE doc_id % 5 = 0),
+a AS (SELECT *, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.62 ELSE 0.92 END AS authority FROM c),
+g AS (SELECT field, value, max(authority) AS authority, max(e) AS e, count(DISTINCT file) AS sources, min(file || '-' || step || '-' || line_no || '-' || n) AS first_seq FROM a GROUP BY field, value),
+s AS (SELECT *, round(least(0.99, 0.62 * authority + 0.23 * e + 0.10 * 0.55 + least(0.15, 0.05 * (sources - 1)) + CASE WHEN field LIKE 'construction_permit%' AND authority >= 0.9 THEN 0.04 ELSE 0 END), 3) AS score FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, sources DESC, first_seq) AS rank FROM s)
+SELECT field, max(value) FILTER (rank = 1) AS value, max(score) FILTER (rank = 1)::DOUBLE AS score, max(sources) FILTER (rank = 1) AS sources, coalesce(string_agg(value, '|' ORDER BY rank) FILTER (rank BETWEEN 2 AND 4), '') AS alternatives FROM r GROUP BY field""")
+def dossier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 to K9, A7 and A8 from texts to canonical facts: documents with lines of a permit, a table and a contract before their texts, and claims about some."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    key, num = c("doc_id"), lambda x: x.cast("string")
+    file = F.lpad(num(key), 9, "0")
+    contract = key % 3 == 2
+    head = F.concat_ws(
+        "\n", F.concat(F.lit("Investitori: Firma "), F.coalesce("source", F.lit("x"))), F.concat(F.lit("Leje ndërtimi nr. "), num(key % 50), F.lit("/A, datë "), F.lpad(num(key % 28 + 1), 2, "0"), F.lit(".05.2020")),
+        F.concat(F.lit("Siperfaqja e pergjithshme e ndertimit "), num(100 + key % 7), F.lit(",5 m2 dhe 40 m2 podrum")), F.when(contract, F.concat(F.lit("Nr. Rep. "), num(key % 20), F.lit(", Nr. Kol. 7, datë 01.02.2021"))), "text",
+    )
+    name = F.when(contract, F.concat(file, F.lit(" Kontrate sipermarresi me Beta "), F.coalesce("lang", F.lit("x")), F.lit(".pdf"))).otherwise(F.concat(file, F.lit(".pdf")))
+    kind = F.when(contract, "contract_and_related_acts").when(key % 3 == 0, "construction_permit").otherwise("letter")
+    d = docs.select(key.alias("version_id"), name.alias("filename"), kind.alias("kind"), F.lit(None).cast("double").alias("classification"), F.lit(True).alias("parsed"), F.lit("s").alias("sha256"), head.alias("text"))
+    proof = F.array(F.struct(F.lit("no").alias("excerpt"), F.lit(False).alias("verified")), F.struct(F.lit("Projektuesi").alias("excerpt"), (key % 10 == 0).alias("verified")), F.struct(F.lit("more").alias("excerpt"), F.lit(True).alias("verified")))
+    analysed = docs.where("doc_id % 5 = 0").select(key.alias("version_id"), F.lit("s").alias("sha"), F.lit(0).alias("claim_no"), F.lit("Designer Name").alias("field_name"), F.concat(F.lit(" Studio  "), num(key % 4), F.lit(";")).alias("original_value"), F.lit(0.8).alias("confidence"), proof.alias("evidence"))
+    x = dossier.dossier_facts(d, analysed)
+    return x.select("field", "value", "score", "sources", F.array_join(F.transform("alternatives", lambda a: a["value"]), "|").alias("alternatives"))

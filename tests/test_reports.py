@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import fields, labels
 from foliate.functions import text as t
-from foliate.operators import chunks, drafts, evidence, packets, summaries, tree
+from foliate.operators import chunks, dossier, drafts, evidence, extraction, packets, summaries, tree
 
 ITEM = "id string, parent_id string, name string, is_folder boolean, is_output boolean, size int"
 
@@ -331,3 +331,38 @@ def test_details_against_the_plain_loop(spark):
     facts = spark.createDataFrame([(d, "construction_permit_number", v) for d, v in fact.items()], "d int, field string, value string")
     got = summaries.required_details(entries, facts, "d", each=3, most=9)
     assert sorted((x.d, x.n, x.evidence_id, x.field_name, x.value, x.must_include) for x in got.collect()) == sorted(want)
+
+
+# --- from texts to facts
+
+
+def test_contracts(spark):
+    rows = [
+        (1, "12.3 Kontrate_me Sh.p.k. Alfa.pdf", "unknown", "x"), (2, "Kontrate mbikeqyresi me znj. Ana Beta.docx", "letter", "Nr. Rep. 12, nr. kol. 34 dhe date 1.2.21"), (3, "a.pdf", "unknown", "KONTRATË\nSipërmarrësi: Gama shpk, Tirane\n10 rep. 11 kol."),
+        (4, "a.pdf", "letter", "Kontrate\nSipermarresi: Gama"), (5, "kolaudator.pdf", None, "Kolaudatori: A ???\nKolaudatori i punimeve: ing. Delta"), (6, None, "supervisor_contract", None), (7, "b.pdf", "unknown", "Sipermarresi: pa"),
+    ]
+    got = extraction.contract_facts(spark.createDataFrame(rows, "id int, name string, kind string, text string"), ["id"], "name", "kind", "text")
+    assert sorted((r.id, r.field, r.value) for r in got.collect()) == [(2, "supervisor", "znj. Ana Beta"), (2, "supervisor_contract_reference", "Nr. Rep. 12, Nr. Kol. 34, datë 01.02.2021"), (3, "contractor", "Gama shpk"), (3, "contractor_contract_reference", "Nr. Rep. 10, Nr. Kol. 11"), (5, "kolaudator", "ing. Delta")]
+
+
+def test_table_lines(spark):
+    lines = ["Sipërfaqja e tokës që zhvillohet 512,5 m2", "Siperfaqja e objektit te ri", "Siperfaqja e pergjithshme e ndertimit 900 m2 + 45.5 m² podrum", "zene nga struktura 7"]
+    got = extraction.table_facts(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string"))
+    assert sorted((r.i, r.field, r.value, r.extraction) for r in got.collect()) == [(0, "site_area", "512.5 m²", 0.93), (2, "basement_area", "45.5 m²", 0.92), (2, "total_construction_area", "900 m²", 0.93), (3, "footprint_area", "7 m²", 0.93)]
+
+
+def test_claims_as_candidates(spark):
+    docs = [(1, "a.pdf", "construction_permit", 0.0, True, "h", "Investitori: Alfa"), (2, "b.pdf", "contract_and_related_acts", 0.9, True, "h", None), (3, "c.pdf", "kolaudim_act", 0.9, True, "h", "Investitori: Model"), (4, "d.pdf", "letter", 0.9, False, "h", "Investitori: Unread")]
+    d = spark.createDataFrame(docs, "version_id int, filename string, kind string, classification double, parsed boolean, sha256 string, text string")
+    good, bad = [("leje ndertimi nr 7 date 01.02.2020", True)], [("x", False), (None, None)]
+    said = [
+        (1, "h", 0, "Porositesi", " ALFA ;", 0.7, good), (1, "h", 1, "permit number", "Nr. 7", 0.0, good), (1, "h", 2, "object name", "Vila", 0.7, bad), (1, "h", 3, "object name", "____", 0.7, good), (1, "old", 4, "object name", "Vila", 0.7, good),
+        (2, "h", 0, "permit number", "Nr. 9", 0.9, good), (2, None, 1, "final value", "12 lekë", None, good), (3, "h", 0, "owner", "Model", 0.9, good), (9, "h", 0, "owner", "Nobody", 0.9, good), (2, "h", 2, None, "q q", 0.9, good), (2, "h", 3, "object name", "x", 0.9, good),
+    ]
+    a = spark.createDataFrame(said, "version_id int, sha string, claim_no int, field_name string, original_value string, confidence double, evidence array<struct<excerpt:string,verified:boolean>>")
+    own = dossier.records(d)
+    got = dossier.claim_candidates(a, own)
+    assert sorted((r.filename, r.field, r.value, r.extraction, r.classification) for r in got.collect()) == [("a.pdf", "construction_permit_number", "Nr. 7", 0.5, 0.55), ("a.pdf", "investor", "ALFA", 0.7, 0.55), ("b.pdf", "final_value", "12 lekë", 0.5, 0.9)]
+    facts = {r.field: (r.value, r.sources) for r in dossier.dossier_facts(d, a).collect()}
+    assert facts == {"investor": ("Alfa", 1), "construction_permit_number": ("Nr. 7", 1), "final_value": ("12 lekë", 1)}
+    assert dossier.dossier_facts(d.limit(0)).count() == 0
