@@ -45,16 +45,21 @@ def classify_document(name: Column, text: Column, by_name: list[Signature] | Non
     A law has a law's word in its name and one of its phrases in the first 4,000
     characters. Missing names and texts count as empty.
     """
-    n = t.class_text(F.coalesce(name, F.lit("")))
-    body = t.class_text(F.coalesce(text, F.lit("")))
     any_of = lambda x, words: reduce(lambda a, b: a | b, [x.contains(w) for w in words])
     value = lambda kind, confidence: F.struct(F.lit(confidence).alias("confidence"), F.lit(kind).alias("type"))
-    law = any_of(n, signatures.LAW_NAMES) & any_of(F.left(body, F.lit(4_000)), signatures.LAW_WORDS)
-    head = F.left(body, F.lit(3_000))
-    permit = F.when(head.contains("leje ndertimi") & any_of(head, signatures.CONSTRUCTION_HEADS), value("construction_permit", 0.99)).when(head.contains("leje zhvillimi") & any_of(head, signatures.DEVELOPMENT_HEADS), value("development_permit", 0.99))
-    named = best_signature(n, signatures.listed(signatures.NAME) if by_name is None else by_name)
-    told = best_signature(F.left(body, F.lit(window)), [s for s in signatures.listed(signatures.TEXT) if s[0] not in signatures.NOT_IN_TEXT] if by_text is None else by_text)
-    return F.when(law, value("unknown", 0.0)).otherwise(F.coalesce(named, permit, told, value("unknown", 0.0)))
+
+    def of(n: Column, body: Column) -> Column:
+        law = any_of(n, signatures.LAW_NAMES) & any_of(F.left(body, F.lit(4_000)), signatures.LAW_WORDS)
+        heading = lambda head: F.when(head.contains("leje ndertimi") & any_of(head, signatures.CONSTRUCTION_HEADS), value("construction_permit", 0.99)).when(head.contains("leje zhvillimi") & any_of(head, signatures.DEVELOPMENT_HEADS), value("development_permit", 0.99))
+        permit = t.let(F.left(body, F.lit(3_000)), heading)
+        named = best_signature(n, signatures.listed(signatures.NAME) if by_name is None else by_name)
+        of_text = [s for s in signatures.listed(signatures.TEXT) if s[0] not in signatures.NOT_IN_TEXT] if by_text is None else by_text
+        told = t.let(F.left(body, F.lit(window)), lambda x: best_signature(x, of_text))
+        return F.when(law, value("unknown", 0.0)).otherwise(F.coalesce(named, permit, told, value("unknown", 0.0)))
+
+    # Each text is normalised once, however many signatures look into it.
+    normal = lambda x: t.class_text(F.coalesce(x, F.lit("")))
+    return t.let(normal(name), lambda n: t.let(normal(text), lambda body: of(n, body)))
 
 
 def reclassified(docs: DataFrame, found: Column, kind: str, confidence: str) -> DataFrame:

@@ -320,7 +320,8 @@ def chronology(docs: DataFrame, lines: DataFrame, by: str) -> DataFrame:
     return phased.join(best, by, "left").select(by, "kind", "phase", "_b.day", "_b.evidence")
 
 
-def observations(lines: DataFrame, by: str, each: int = 5, size: int = 360) -> DataFrame:
-    """Of each document the first ``each`` lines (by, line_no, line) that speak of works and their quality."""
-    x = lines.where(fields.any_of(t.plain_value(F.col("line")), OBSERVED)).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("line_no")))
-    return x.where(F.col("n") <= each).select(by, "line_no", F.left("line", F.lit(size)).alias("statement"), "n")
+def observations(lines: DataFrame, by: str, each: int = 5, size: int = 360, words: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Of each document the first ``each`` lines (by, line_no, line) that speak of works and their quality; ``most`` in all, by document and line."""
+    x = lines.where(fields.any_of(t.plain_value(F.col("line")), words or OBSERVED)).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("line_no")))
+    x = x.where(F.col("n") <= each).select(by, "line_no", F.left("line", F.lit(size)).alias("statement"), "n")
+    return x if most is None else x.orderBy(by, "line_no").limit(most)

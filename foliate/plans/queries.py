@@ -212,10 +212,18 @@ def first_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 P = [r"\bsk-[A-Za-z0-9_-]{16,}\b", r"\bgsk_[A-Za-z0-9_-]{16,}\b", r"\bAIza[A-Za-z0-9_-]{20,}\b", r"\b[0-9]{8,}:[A-Za-z0-9_-]{24,}\b", r"(?i)\b(?:api[_ -]?key|token|secret|celes|çeles|çelës)\b\s*(?:=|:|eshte|është)?\s*[A-Za-z0-9_.-]{20,}"]
 
 
+# A made-up key of each form, and none, behind the texts of documents in turn.
+KEYS = ["sk-" + "a1" * 10, "gsk_" + "b2" * 10, "AIza" + "c3" * 12, "12345678:" + "d4" * 14, "api key = " + "e5" * 12, "nothing"]
+KEYED_SQL = f"(SELECT doc_id, coalesce(text, '') || chr(10) || {KEYS}[doc_id % {len(KEYS)} + 1] AS text FROM documents)"
+
+
 @query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{P[0]}', '[REDACTED_SECRET]', 'g'), '{P[1]}', '[REDACTED_SECRET]', 'g'), '{P[2]}', '[REDACTED_SECRET]', 'g'), '{P[3]}', '[REDACTED_SECRET]', 'g'), '{P[4]}', '[REDACTED_SECRET]', 'g')) AS digest
-FROM documents WHERE regexp_matches(text, '{P[0]}|{P[1]}|{P[2]}|{P[3]}') OR regexp_matches(text, '{P[4]}')""")
+FROM {KEYED_SQL} WHERE regexp_matches(text, '{P[0]}|{P[1]}|{P[2]}|{P[3]}') OR regexp_matches(text, '{P[4]}')""")
 def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(t.has_secret(F.col("text"))).select("doc_id", F.md5(t.redacted(F.col("text"))).alias("digest"))
+    """Texts that carry a key, without it."""
+    key = F.get(F.array(*map(F.lit, KEYS)), (F.col("doc_id") % len(KEYS)).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), key).alias("text"))
+    return docs.where(t.has_secret(F.col("text"))).select("doc_id", F.md5(t.redacted(F.col("text"))).alias("digest"))
 
 
 @query("SELECT lang, count(*) AS n, sum(greatest(1, ceil(length(text) / 4)))::BIGINT AS tokens FROM documents GROUP BY lang")
