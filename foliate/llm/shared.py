@@ -49,12 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table by its path, wherever Spark reads it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(*cuts: DataFrame) -> None:
     """Delete what ``cut`` wrote for these frames; only for those that no later plan reads."""
     for df in cuts:
         if path := _paths.pop(df, None):
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
 
 
 def free() -> None:

@@ -194,3 +194,21 @@ def test_trie_of_nothing(spark):
     assert conversation_trie(df).count() == 0
     only = spark.createDataFrame([(3, 0, 0, 0, 0), (4, 0, 0, 0, 0)], "conv_id long, depth long, x long, y long, size long")
     assert [tuple(x) for x in trie_nodes(only).select(NODE).collect()] == [(3, 0, None, 2, 0, 1, 0, hashlib.sha256(b"3,4").hexdigest())]
+
+
+# --- the pipeline's stages
+
+
+def test_stages_take_columns_of_any_name_nulls_and_nothing(spark):
+    from foliate.llm.stages import first_lines, good_documents, one_of_each_group
+
+    text = " ".join(f"wort{i} haus{i % 7}" for i in range(60))
+    near = text.replace("wort30", "other")
+    rows = [(1, text, "de", 9, "f"), (2, near, "de", 8, None), (3, text, "de", 7, "g"), (None, "kurz", None, 6, "h"), (4, None, "de", 5, "i"), (5, "", "de", 4, "j"), (5, "", "de", 4, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __first int, first_id string")
+    got = one_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 4]  # texts without words are copies of each other
+    for stage in (good_documents, first_lines, one_of_each_group):
+        assert stage(df).columns == df.columns
+        assert stage(df.limit(0)).count() == 0

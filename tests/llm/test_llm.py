@@ -17,7 +17,7 @@ from foliate.llm.line_dedup import dedup_lines, line_classes, line_report
 from foliate.llm.packing import pack
 from foliate.llm.pii import pii_report, pseudonymise
 from foliate.llm.ppm import ORDER, score
-from foliate.llm.quality import gram_counts, kneser_ney, quality
+from foliate.llm.quality import WIDTH, gram_counts, kneser_ney, quality
 from foliate.llm.simhash import simhash_groups
 from foliate.llm.stages import one_of_each_group
 from foliate.llm.token_counts import token_counts
@@ -137,7 +137,7 @@ def test_quality_counts(docs, rows, none):
 
 def test_kneser_ney_sums_to_at_most_one(docs):
     model = kneser_ney(gram_counts(docs.select(F.lit("en").alias("lang"), "text")))
-    top = model.withColumn("ctx", F.shiftright("gram", 5)).groupBy("ctx").agg(F.sum(F.pow(F.lit(10.0), "logp")).alias("p"), F.min("logp").alias("least")).agg(F.max("p"), F.min("p")).first()
+    top = model.withColumn("ctx", F.shiftright("gram", WIDTH)).groupBy("ctx").agg(F.sum(F.pow(F.lit(10.0), "logp")).alias("p"), F.min("logp").alias("least")).agg(F.max("p"), F.min("p")).first()
     assert 0 < top[1] <= top[0] <= 1 + 1e-9
 
 

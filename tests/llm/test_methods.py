@@ -123,7 +123,15 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_decontamination_recall_against_exact_search(spark):
+def exact_share(item, window, content):
+    """The share of an item's words found in a window: of its content words or of all, whichever is less."""
+    own = [x for x in item if x in content] or item
+    inner = lcs(own, [x for x in window if x in own]) / len(own)
+    return min(inner, lcs(item, window) / len(item)) if inner >= 0.5 else 0
+
+
+@pytest.mark.parametrize("given", [{}, {"content_idf": 0.0}], ids=["defaults", "all words count"])
+def test_decontamination_recall_against_exact_search(spark, given):
     r = random.Random(1)
     common = prose(400, 77).split()
     text = lambda n, k: " ".join(r.choice(common) if r.random() < 0.5 else prose(1, r.randrange(10**9)) for _ in range(n))
@@ -132,16 +140,30 @@ def test_decontamination_recall_against_exact_search(spark):
     for k, (_, t) in enumerate(items[:60]):  # each item with a share of its words changed
         w = [x if r.random() > r.choice([0, 0.1, 0.2, 0.4]) else prose(1, r.randrange(10**9)) for x in t.split()]
         docs.append((1000 + k, f"{text(r.randint(0, 120), 1)} {' '.join(w)} {text(80, 2)}"))
+    for k, (_, t) in enumerate(items[:60]):  # and with two words of five changed
+        w = [prose(1, r.randrange(10**9)) if i % 5 in (1, 3) else x for i, x in enumerate(t.split())]
+        docs.append((3000 + k, f"{text(40, 5)} {' '.join(w)}"))
     long_item = items[60][1].split()
     docs += [(2000, text(50, 3) + " " + " ".join(long_item[:30]) + " " + text(50, 4)), (2001, None), (2002, ""), (1000, docs[150][1])]
+    least = given.get("content_idf", 3.0)
+    df = Counter(x for _, d in docs for x in set((d or "").split()))
+    idf = {x: math.log((len(docs) + 1) / (df[x] + 1)) + 0.1 for _, t in items for x in t.split()}
+    content, place = {x for x, v in idf.items() if v >= least}, {x: k for k, x in enumerate(idf)}
+    kinds = Counter()
     for i, d in docs:
         for item, t in items[:60]:
-            w = (d or "").split()
-            if max((lcs(t.split(), w[a : a + 60]) for a in range(0, max(len(w) - 30, 1), 30)), default=0) >= 0.75 * len(t.split()):
+            w, own = (d or "").split(), t.split()
+            windows = [w[a : a + 60] for a in range(0, max(len(w) - 30, 1), 30)]
+            shares = [exact_share(own, x, content) if len(set(own) & set(x)) > 7 else 0 for x in windows]
+            answer = set(sorted(set(own), key=lambda x: (-idf[x], place[x]))[:3])
+            told = any(s >= 0.5 and answer <= set(x) for s, x in zip(shares, windows, strict=True))
+            kind = "verbatim" if max(shares) >= 0.75 else "paraphrase" if max(shares) >= 0.5 and told else None
+            if kind:
                 want.add((i, item))
-    got = matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), content_idf=0.0).collect()
+                kinds[kind] += 1
+    got = matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), **given).collect()
     found = {(x.doc_id, x.item_id) for x in got}
-    assert len(want) > 30 and len(want & found) >= 0.9 * len(want)
+    assert kinds["verbatim"] > 30 and kinds["paraphrase"] > 5 and len(want & found) >= 0.9 * len(want)
     assert {(x.kind, x.passage_share) for x in got if x.doc_id == 2000} == {("passage", 1.0)}
     assert all(x.doc_id >= 1000 for x in got) and sum(x.doc_id == 1000 for x in got) in (0, 2)
 
