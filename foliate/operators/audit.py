@@ -11,6 +11,14 @@ def applies(rule: Column, value: Column) -> Column:
     return rule.isNull() | F.array_contains(rule, value)
 
 
+def applies_to(rule: Column, key: str, value: Column) -> Column:
+    """P10 on JSON: whether a rule's ``key`` takes a value: a text must equal it, a list hold it; anything else, or nothing, takes all."""
+    v = F.try_variant_get(F.try_parse_json(rule), f"$.{key}", "variant")
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    listed = F.array_contains(F.try_variant_get(v, "$", "array<string>"), value)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string") == value).when(kind.startswith("ARRAY"), F.coalesce(listed, F.lit(False))).otherwise(F.lit(True))
+
+
 def with_aliases(types: DataFrame, aliases: DataFrame) -> DataFrame:
     """The distinct ``type``s and, for those in ``aliases`` (type, alias), their aliases."""
     return types.select("type").distinct().union(types.join(aliases, "type").select(F.col("alias").alias("type"))).distinct()
@@ -57,3 +65,11 @@ def coverage(items: DataFrame, by: str, done: str) -> DataFrame:
     """Of each group its items, those that are done, and the ratio."""
     n = items.groupBy(by).agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col(done)).alias("done"))
     return n.withColumn("ratio", F.round(F.col("done") / F.col("entries"), 3))
+
+
+def register_coverage(entries: DataFrame, registers: list[str]) -> DataFrame:
+    """(register, entries, documents, chunks, fields) of each of ``registers``: its entries (register, field, document, chunk) and the distinct documents, chunks and fields they have, zero for none."""
+    n = entries.groupBy("register").agg(F.count(F.lit(1)).alias("entries"), *[F.count_distinct(x).alias(f"{x}s") for x in ("document", "chunk", "field")])
+    every = entries.sparkSession.createDataFrame([(r,) for r in registers], "register string")
+    x = every.join(n, "register", "left")
+    return x.select("register", *[F.coalesce(v, F.lit(0)).alias(v) for v in ("entries", "documents", "chunks", "fields")])

@@ -106,6 +106,12 @@ def overridden(facts: DataFrame, overrides: DataFrame) -> DataFrame:
     return x.select("field", F.coalesce("said", "value").alias("value"), F.when(given, 1.0).otherwise(F.col("confidence")).alias("confidence"), given.alias("user_confirmed"), F.when(other, F.col("value")).alias("alternative"))
 
 
+def override_conflicts(facts: DataFrame) -> DataFrame:
+    """The conflict that each of a user's values (as ``overridden`` gives them) marks: its field, the value said, and the old one as alternative."""
+    x = facts.where(F.col("user_confirmed") & F.col("alternative").isNotNull())
+    return x.select("field", F.col("value").alias("selected_value"), F.lit(1.0).alias("selected_score"), F.array(F.struct(F.col("alternative").alias("value"))).alias("alternatives"))
+
+
 def relations(claims: DataFrame, anchors: DataFrame, document: str) -> DataFrame:
     """Of each document whether its anchor fields agree with the selected ones (field, selected)."""
     x = claims.join(anchors, "field")

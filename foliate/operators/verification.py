@@ -137,3 +137,14 @@ def several_values(facts: DataFrame, labels: list[str] | None = None) -> DataFra
     """Categories of facts (category, value) with more than one normalised value (S11), and how many."""
     x = facts.withColumn("_v", t.without_labels(F.col("value"), labels or [])).where("_v <> ''")
     return x.groupBy("category").agg(F.countDistinct("_v").alias("n_values")).where("n_values > 1")
+
+
+def document_issues(docs: DataFrame, most: int = 20) -> DataFrame:
+    """(code, n, names) for documents (name, kind, status) of an unknown kind and for those whose text could not be read; the first ``most`` names by order. No row for none."""
+    unknown = F.coalesce("kind", F.lit("unknown")) == "unknown"
+    unread = ~F.coalesce(F.col("status").isin("parsed", "parsed_with_ocr"), F.lit(False))
+    codes = F.filter(F.array(F.when(unknown, F.lit("DOCUMENTS-UNKNOWN")), F.when(unread, F.lit("DOCUMENTS-UNREADABLE"))), lambda x: x.isNotNull())
+    x = docs.select("name", F.explode(codes).alias("code"))
+    first = x.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("name"))).where(F.col("rank") <= most)
+    names = first.groupBy("code").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return x.groupBy("code").agg(F.count(F.lit(1)).alias("n")).join(names, "code").select("code", "n", "names")

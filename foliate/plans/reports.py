@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import labels
-from foliate.operators import chunks, dossier, drafts, packets, sections, tree
+from foliate.operators import audit, chunks, dossier, drafts, packets, reports, sections, tree
 from foliate.plans.registry import query, table
 
 c = F.col
@@ -211,3 +211,45 @@ def dossier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     analysed = docs.where("doc_id % 5 = 0").select(key.alias("version_id"), F.lit("s").alias("sha"), F.lit(0).alias("claim_no"), F.lit("Designer Name").alias("field_name"), F.concat(F.lit(" Studio  "), num(key % 4), F.lit(";")).alias("original_value"), F.lit(0.8).alias("confidence"), proof.alias("evidence"))
     x = dossier.dossier_facts(d, analysed)
     return x.select("field", "value", "score", "sources", F.array_join(F.transform("alternatives", lambda a: a["value"]), "|").alias("alternatives"))
+
+
+# Prompts of K35: texts of conversations behind phrases, and the actions that each asks for.
+PHRASES = ["Shfaq projektet e mia. ", "Krijo një projekt. ", "Ku ka arritur? ", "Gjenero aktin e kolaudimit: ", "Importo: ", "https://drive.google.com/x Importo, pastaj ruaje aty. ", "Kush është sipërmarrësi? "]
+ASKED = ["list_projects", "create_project", "get_status", "estimate_kolaudim,generate_kolaudim", "import_attachment", "import_drive_folder,upload_report_to_drive", "answer_project_question"]
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN conv_id % 7 = 4 AND turn % 2 = 0 THEN '' ELSE {ASKED}[conv_id % 7 + 1] END AS actions FROM conversations WHERE conv_id % 7 <> 5 OR turn % 2 = 0""")
+def prompt_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as prompts; every second one has an attachment (without one, an import of it is not asked for)."""
+    conv = table(spark, sf_dir, "conversations").where("conv_id % 7 <> 5 or turn % 2 = 0")
+    prompt = F.concat(F.get(F.array(*map(F.lit, PHRASES)), (c("conv_id") % 7).cast("int")), F.coalesce("text", F.lit("")))
+    return conv.select("conv_id", "turn", F.array_join(reports.intent_hints(prompt, c("turn") % 2 == 1), ",").alias("actions"))
+
+
+@query("""WITH f AS (SELECT o_custkey % 100 AS r, CASE WHEN o_orderpriority = '1-URGENT' AND o_custkey % 3 = 0 THEN 'critical' WHEN o_orderstatus = 'F' THEN 'major' ELSE 'minor' END AS severity, o_orderpriority AS rule, o_orderkey AS created_at, CASE WHEN o_orderstatus <> 'P' THEN 'do ' || o_orderpriority END AS act FROM orders),
+p AS (SELECT r, created_at, row_number() OVER (PARTITION BY r ORDER BY severity, rule, created_at) AS place FROM f)
+SELECT r, count(*) AS n, CASE WHEN bool_or(severity = 'critical') THEN 'Kërkohet shqyrtim njerëzor' ELSE 'Kërkohet plotësim dokumentacioni' END AS recommendation, coalesce(string_agg(DISTINCT act, ',' ORDER BY act), '') AS actions, (SELECT sum(place * (created_at % 1000)) FROM p WHERE p.r = f.r)::BIGINT AS places FROM f GROUP BY r""")
+def report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as findings of a hundred reports, their order, recommendation and required actions."""
+    priority = c("o_orderpriority")
+    severity = F.when((priority == "1-URGENT") & (c("o_custkey") % 3 == 0), "critical").when(c("o_orderstatus") == "F", "major").otherwise("minor")
+    found = table(spark, sf_dir, "orders").select((c("o_custkey") % 100).alias("r"), severity.alias("severity"), priority.alias("rule"), c("o_orderkey").alias("created_at"), F.when(c("o_orderstatus") != "P", F.concat(F.lit("do "), priority)).alias("required_action"))
+    places = reports.ordered_findings(found, ["r"]).groupBy("r").agg(F.sum(c("place") * (c("created_at") % 1000)).alias("places"))
+    return reports.report_parts(found, ["r"]).join(places, "r").select("r", "n", "recommendation", F.array_join("required_actions", ",").alias("actions"), "places")
+
+
+@query("""WITH r AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '{"stage": "' || p_type || '"}' WHEN 2 THEN '{"stage": ["x", "' || p_brand || '"]}' WHEN 3 THEN '{"stage": ["x"]}' ELSE '{"other": 1}' END AS j, p_type, p_brand FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN true WHEN 3 THEN false WHEN 1 THEN p_type = p_brand ELSE true END AS applies FROM r""")
+def rules_that_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: rules of parts as JSON: none, a word, lists, another key."""
+    word = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    kind = c("p_partkey") % 5
+    rule = F.when(kind == 1, F.concat(F.lit('{"stage": '), word(c("p_type")), F.lit("}"))).when(kind == 2, F.concat(F.lit('{"stage": ["x", '), word(c("p_brand")), F.lit("]}"))).when(kind == 3, F.lit('{"stage": ["x"]}')).when(kind == 4, F.lit('{"other": 1}'))
+    return table(spark, sf_dir, "part").select("p_partkey", audit.applies_to(rule, "stage", c("p_brand")).alias("applies"))
+
+
+@query("""SELECT o_orderpriority AS register, count(*) AS entries, count(DISTINCT o_custkey) AS documents, count(DISTINCT o_clerk) AS chunks, count(DISTINCT o_orderstatus) AS fields FROM (SELECT *, o_custkey % 50 AS o_clerk FROM orders) GROUP BY 1 UNION ALL SELECT 'none', 0, 0, 0, 0""")
+def register_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries of registers, one of which has none."""
+    e = table(spark, sf_dir, "orders").select(c("o_orderpriority").alias("register"), c("o_orderstatus").alias("field"), c("o_custkey").alias("document"), (c("o_custkey") % 50).alias("chunk"))
+    return audit.register_coverage(e, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "none"])

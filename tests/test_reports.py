@@ -1,5 +1,7 @@
 """Trees, closures, packets, drafts and sections against plain versions and literal cases."""
 
+import datetime
+import json
 import random
 import re
 from collections import Counter
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import fields, labels
 from foliate.functions import text as t
-from foliate.operators import chunks, dossier, drafts, evidence, extraction, packets, summaries, tree
+from foliate.operators import audit, chunks, claims, dossier, drafts, evidence, extraction, packets, reports, summaries, tree, verification
 
 ITEM = "id string, parent_id string, name string, is_folder boolean, is_output boolean, size int"
 
@@ -366,3 +368,69 @@ def test_claims_as_candidates(spark):
     facts = {r.field: (r.value, r.sources) for r in dossier.dossier_facts(d, a).collect()}
     assert facts == {"investor": ("Alfa", 1), "construction_permit_number": ("Nr. 7", 1), "final_value": ("12 lekë", 1)}
     assert dossier.dossier_facts(d.limit(0)).count() == 0
+
+
+# --- prompts, findings, payloads
+
+
+def test_intents_of_prompts(spark):
+    cases = {
+        "Shfaq projektet e mia": ["list_projects"], "Krijo një projekt të ri": ["create_project"], "Përdor projektin Alfa dhe ndrysho modelin": ["select_project", "select_ai_model"], "Cili projekt është aktiv?": ["show_active_project"],
+        "Ku ka arritur progresi?": ["get_status"], "Importo dosjen": [], "Gjenero aktin e kolaudimit": ["estimate_kolaudim", "generate_kolaudim"], "Kush është sipërmarrësi?": ["answer_project_question"], "Sa është vlera e kontratës": ["answer_project_question"],
+        "Importo https://drive.google.com/x dhe ruaje aty": ["import_drive_folder", "upload_report_to_drive"], "Lidh folder": [], "Lidh folder https://Drive.Google.com/x në Google Drive": ["bind_drive_folder", "upload_report_to_drive"], "Kur fillon?": [], "Ma dergo PDF, cila dosje": ["deliver_latest_report"], "": [], None: [],
+    }
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(cases)], "i int, p string")
+    got = df.select("i", reports.intent_hints(F.col("p"), F.lit(None).cast("boolean")).alias("h")).orderBy("i").collect()
+    assert [r.h for r in got] == list(cases.values())
+    (one_,) = df.where("i = 5").select(reports.intent_hints(F.col("p"), F.lit(True)).alias("h")).collect()
+    assert one_.h == ["import_attachment"]
+
+
+def test_report_payload(spark):
+    head = "r int, title string, generated_at timestamp, total int, classified int, status string, reason string, summary string, signature string, sections array<struct<code:string,title:string,body:string>>"
+    at = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    rows = [(1, "A", at, 7, 5, "drafted", "x", " S ", None, [("c", "t", "b")]), (2, "B", at, 3, 2, None, "no key", None, None, None), (3, "C", at, 4, 4, "failed", None, "", "sig", [])]
+    findings = spark.createDataFrame([(1, "critical", "z"), (1, "minor", "a"), (1, "minor", "a"), (3, "major", None)], "r int, severity string, required_action string")
+    facts = spark.createDataFrame([(1, "owner", "O"), (1, "location", "L"), (1, "x", "")], "r int, field string, value string")
+    got = {x.r: (x.recommendation, x.required_actions, json.loads(x.payload)) for x in reports.report_payload(spark.createDataFrame(rows, head), findings, facts, ["r"]).collect()}
+    assert got[1] == ("Kërkohet shqyrtim njerëzor", ["a", "z"], {"title": "A", "generated_at": "2024-05-06T07:08:09", "project": {"location": "L", "owner": "O"}, "status": "drafted", "executive_summary": "S", "sections": [{"code": "c", "title": "t", "body": "b"}], "signature_note": "", "notice": reports.NOTICE})
+    assert got[2][0] == "Pa gjetje të rëndësishme" and got[2][2]["status"] == "not_generated" and got[2][2]["reason"] == "no key" and got[2][2]["executive_summary"].startswith("U kontrolluan 3 dokumente. Nuk")
+    assert got[3][:2] == ("Kërkohet plotësim dokumentacioni", []) and "prej të cilave 4 u klasifikuan. Sistemi identifikoi 1 gjetje" in got[3][2]["executive_summary"] and "reason" not in got[3][2]
+
+
+def test_compact_facts_and_findings(spark):
+    facts = [("owner", "O", "high", ["a", " ", "b", *map(str, range(9))], None, [("s", "x" * 300), ("s", None), ("s", "y")], [("v", [" p ", "q", "r", "t"])] * 3), ("x", None, None, None, ["e"], None, None)]
+    df = spark.createDataFrame(facts, "field string, value string, level string, sources array<string>, supporting array<string>, evidence array<struct<source:string,snippet:string>>, alternatives array<struct<value:string,sources:array<string>>>")
+    a, b = reports.compact_facts(df).collect()
+    assert (a.evidence_id, a.sources, a.supporting, [len(e.snippet) for e in a.evidence], a.evidence[0].snippet[-1], [x.sources for x in a.alternatives]) == ("canonical:owner", ["a", "b", "0", "1", "2", "3"], [], [220, 0], "…", [["p", "q", "r"]] * 2)
+    assert (b.supporting, b.sources, b.evidence, b.alternatives) == (["e"], [], [], [])
+    found = spark.createDataFrame([(1, "minor", "r1", 1), (1, "critical", "r2", 1), (1, "major", "r0", 1), (1, None, "r", 1), (1, "critical", "r1", 2), (1, "critical", "r1", 1)], "j int, severity string, rule string, created_at int")
+    assert [tuple(r)[1:4] for r in reports.ordered_findings(found, ["j"]).orderBy("place").collect()] == [("critical", "r1", 1), ("critical", "r1", 2), ("critical", "r2", 1), ("major", "r0", 1), ("minor", "r1", 1), (None, "r", 1)]
+
+
+# --- rules, coverage, consistency, a user's values
+
+
+def test_rules_that_apply(spark):
+    rows = [(None, True), ("{}", True), ('{"k": null}', True), ('{"k": "a"}', True), ('{"k": "b"}', False), ('{"k": ["b", "a"]}', True), ('{"k": ["b"]}', False), ('{"k": []}', False), ('{"k": 7}', True), ('{"k": {"a": 1}}', True), ("no json", True), ('["a"]', True)]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, x string")
+    assert [r.a for r in df.select("i", audit.applies_to(F.col("x"), "k", F.lit("a")).alias("a")).orderBy("i").collect()] == [w for _, w in rows]
+
+
+def test_register_coverage(spark):
+    rows = [("a", "f1", "d1", "c1"), ("a", "f1", "d1", "c2"), ("a", "f2", "d2", None), ("a", None, None, None), ("b", "f", "d", "c")]
+    got = audit.register_coverage(spark.createDataFrame(rows, "register string, field string, document string, chunk string"), ["a", "b", "none"])
+    assert sorted(map(tuple, got.collect())) == [("a", 4, 2, 2, 2), ("b", 1, 1, 1, 1), ("none", 0, 0, 0, 0)]
+
+
+def test_consistency_of_documents(spark):
+    rows = [("a.pdf", "unknown", "parsed"), ("b.pdf", "unknown", "failed"), ("c.pdf", "letter", "needs_ocr"), ("d.pdf", "letter", "parsed_with_ocr"), ("e.pdf", None, None)]
+    got = verification.document_issues(spark.createDataFrame(rows, "name string, kind string, status string"))
+    assert sorted(map(tuple, got.collect())) == [("DOCUMENTS-UNKNOWN", 3, ["a.pdf", "b.pdf", "e.pdf"]), ("DOCUMENTS-UNREADABLE", 3, ["b.pdf", "c.pdf", "e.pdf"])]
+
+
+def test_user_values_mark_conflicts(spark):
+    facts = spark.createDataFrame([("a", "x", 0.5), ("b", "y", 0.5), ("c", "z", 0.5)], "field string, value string, confidence double")
+    got = claims.overridden(facts, spark.createDataFrame([("a", "new"), ("b", "y"), ("d", "added")], "field string, value string"))
+    marked = claims.override_conflicts(got)
+    assert [(r.field, r.selected_value, r.alternatives[0].value) for r in marked.collect()] == [("a", "new", "x")]
