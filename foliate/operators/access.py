@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.operators.windows import first_of, top_of
+
 
 def not_deleted(rows: DataFrame, at: str = "deleted_at") -> DataFrame:
     """Rows that are not marked as deleted."""
@@ -72,13 +74,13 @@ def law_articles(laws: DataFrame, articles: DataFrame) -> DataFrame:
 def latest_step(runs: DataFrame, steps: DataFrame, by: str, key: str, order: list) -> DataFrame:
     """Of each ``by`` the latest step of its runs (key)."""
     x = runs.join(steps, key)
-    return x.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
+    return first_of(x, [by], order)
 
 
 def latest_completed(runs: DataFrame, by: str, completed: str, updated: str, tie: str) -> DataFrame:
     """Of each ``by`` the run completed last; those not completed come after all others, then the last updated."""
     order = [F.desc_nulls_last(completed), F.desc_nulls_last(updated), F.desc(tie)]
-    return runs.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
+    return first_of(runs, [by], order)
 
 
 def project_of(versions: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
@@ -126,6 +128,5 @@ def document_places(docs: DataFrame, by: list[str], priorities: DataFrame, other
 
 def last_turns(turns: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """The last ``n`` of each group with their place, the oldest of them first."""
-    w = Window.partitionBy(by).orderBy(F.desc(order))
-    x = turns.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return x.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).drop("_r")
+    x = top_of(turns, [by], [F.desc(order)], n)
+    return x.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import text as t
+from foliate.operators.windows import fresh
 
 
 def pack(parts: Column, limit: int, sep: str, size=F.length, extra: int = 0, joined: bool = True) -> Column:
@@ -137,11 +138,12 @@ def schedule_lines(lines: DataFrame, key: str, terms: list[str], most: int = 500
     """Of lines (key, line_no, line) those with a term or a date, the first ``most``; the first ``fallback`` of all where there are none."""
     low = F.lower("line")
     hit = reduce(lambda a, b: a | b, [low.contains(w) for w in terms], low.rlike(SCHEDULE_DATE))
-    x = lines.withColumn("_hit", hit)
     own = Window.partitionBy(key)
-    x = x.withColumns({"_any": F.max("_hit").over(own), "_rank": F.row_number().over(Window.partitionBy(key, "_hit").orderBy("line_no")), "_all": F.row_number().over(own.orderBy("line_no"))})
-    kept = F.when(F.col("_any"), F.col("_hit") & (F.col("_rank") <= most)).otherwise(F.col("_all") <= fallback)
-    return x.where(kept).drop("_hit", "_any", "_rank", "_all")
+    h, any_, rank, every = (fresh(lines.columns, n) for n in ("hit", "any_hit", "hit_rank", "line_rank"))
+    x = lines.withColumn(h, hit).withColumns({any_: F.max(hit).over(own), every: F.row_number().over(own.orderBy("line_no"))})
+    x = x.withColumn(rank, F.row_number().over(Window.partitionBy(key, h).orderBy("line_no")))
+    kept = F.when(F.col(any_), F.col(h) & (F.col(rank) <= most)).otherwise(F.col(every) <= fallback)
+    return x.where(kept).drop(h, any_, rank, every)
 
 
 def placed_chunks(blocks: DataFrame, keys: list[str], place: str, text: str, limit: int = 4000, sep: str = "\n\n") -> DataFrame:

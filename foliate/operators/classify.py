@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import text as t
 from foliate.operators import signatures
+from foliate.operators.windows import fresh
 
 #: (type, terms that must all occur, confidence)
 Signature = tuple[str, list[str], float]
@@ -64,7 +65,8 @@ def classify_document(name: Column, text: Column, by_name: list[Signature] | Non
 
 def reclassified(docs: DataFrame, found: Column, kind: str, confidence: str) -> DataFrame:
     """K2: documents (kind, confidence) with what is ``found`` now where it is surer, and whether the type changed."""
-    x = docs.withColumn("_f", found)
-    surer = F.col("_f.confidence") > F.coalesce(confidence, F.lit(0.0))
-    new = F.when(surer, F.col("_f.type")).otherwise(F.col(kind))
-    return x.withColumns({"changed": ~new.eqNullSafe(F.col(kind)), kind: new, confidence: F.when(surer, F.col("_f.confidence")).otherwise(F.col(confidence))}).drop("_f")
+    own = fresh(docs.columns, "found")
+    x = docs.withColumn(own, found)
+    surer = F.col(f"{own}.confidence") > F.coalesce(confidence, F.lit(0.0))
+    new = F.when(surer, F.col(f"{own}.type")).otherwise(F.col(kind))
+    return x.withColumns({"changed": ~new.eqNullSafe(F.col(kind)), kind: new, confidence: F.when(surer, F.col(f"{own}.confidence")).otherwise(F.col(confidence))}).drop(own)

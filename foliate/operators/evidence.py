@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliate.functions import fields
 from foliate.functions import text as t
 from foliate.operators.rounds import written
+from foliate.operators.windows import first_of, top_of
 
 # Kinds of evidence that need no source of the current versions, and those that prove a fact.
 TIMELESS = ["verified_law_reference", "canonical_conflict", "integrity_issue", "user_confirmation"]
@@ -40,9 +41,8 @@ def catalogue(entries: DataFrame, facts: DataFrame, conflicts: DataFrame, issues
 
 def references(sources: DataFrame, key: str, order: list[str], most: int = 8) -> DataFrame:
     """Of sources (key, file_version_id, source_document) the first of each version and document, ``most`` for each key."""
-    first = F.row_number().over(Window.partitionBy(key, "file_version_id", "source_document").orderBy(*order))
-    x = sources.withColumn("_first", first).where("_first = 1")
-    return x.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).where(F.col("n") < most).drop("_first")
+    x = first_of(sources, [key, "file_version_id", "source_document"], order)
+    return top_of(x, [key], order, most, "n").withColumn("n", F.col("n") - 1)
 
 
 def current_sources(items: DataFrame, sources: DataFrame, versions: DataFrame) -> DataFrame:
@@ -124,8 +124,7 @@ def reinforcement(entries: DataFrame, sources_col: str = "source_documents") ->
     mass = F.regexp_extract("shown", MASS, 1)
     x = x.where(fields.any_of(F.col("field"), MASS_FIELDS) & fields.any_of(said, STEEL) & (mass != ""))
     x = x.withColumns({"source_value": F.regexp_extract("shown", MASS, 0), "amount": F.replace(mass, F.lit(","), F.lit(".")).cast("double"), "number": mass})
-    first = F.row_number().over(Window.partitionBy(t.plain_value(F.col("source_value")), F.array_join(sources_col, "|")).orderBy("evidence_id"))
-    x = x.withColumn("_first", first).where("_first = 1").drop("_first")
+    x = first_of(x, [t.plain_value(F.col("source_value")), F.array_join(sources_col, "|")], ["evidence_id"])
     return x.orderBy(F.desc("amount"), "evidence_id")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import fields, labels
 from foliate.functions import text as t
+from foliate.operators.windows import first_of, top_of
 
 # Keywords and confidence of each category of K3.
 KEYWORDS = {
@@ -124,9 +125,7 @@ def keyword_facts(lines: DataFrame, keywords: dict[str, tuple[list[str], float]]
 def capped_facts(facts: DataFrame, order: list[str], most: int = 8) -> DataFrame:
     """The first ``most`` facts of each category in ``order``, of those with equal values (S7) the first."""
     by = [F.col(c) for c in order]
-    first = F.row_number().over(Window.partitionBy("category", t.plain_value(F.col("value"))).orderBy(*by))
-    kept = facts.withColumn("_first", first).where("_first = 1").drop("_first")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(*by))).where(F.col("rank") <= most)
+    return top_of(first_of(facts, ["category", t.plain_value(F.col("value"))], by), ["category"], by, most, "rank")
 
 
 def labelled_array(line: Column) -> Column:
@@ -282,17 +281,16 @@ def admitted(facts: DataFrame, by: list[str], order: list[str], kind: Column | N
     rows = facts.withColumn("value", F.trim(t.squeeze(F.col("value")), F.lit(" ;,."))).where(F.length("value").between(2, 280) & ~F.col("value").rlike(fields.PLACEHOLDER))
     if kind is not None:
         rows = rows.where(fields.admissible(F.col("field"), None, F.col("value"), F.col("evidence"), kind))
-    first = F.row_number().over(Window.partitionBy(*by, "field", fields.fact_value(F.col("field"), F.col("value"))).orderBy(*order))
-    return rows.withColumn("_first", first).where("_first = 1").drop("_first")
+    return first_of(rows, [*by, "field", fields.fact_value(F.col("field"), F.col("value"))], order)
 
 
 def scoped_facts(facts: DataFrame, canonical: list[str], by: list[str], order: list[str], most: int = 60, most_supporting: int = 80) -> DataFrame:
     """Facts (field, value) that are not canonical, by scope, the first of equal ones in a document (``by``), up to the scope's limit."""
     rows = facts.where(~F.col("field").isin(*canonical)).withColumn("scope", fields.fact_scope(F.col("field")))
-    first = F.row_number().over(Window.partitionBy("scope", "field", fields.fact_value(F.col("field"), F.col("value")), *by).orderBy(*order))
-    rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
-    rank = F.row_number().over(Window.partitionBy("scope").orderBy("field", *order))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("scope") == "supporting_facts", most_supporting).otherwise(most))
+    rows = first_of(rows, ["scope", "field", fields.fact_value(F.col("field"), F.col("value")), *by], order)
+    # The larger limit is one number, so that tasks cut each scope before the shuffle.
+    ranked = top_of(rows, ["scope"], ["field", *order], max(most, most_supporting), "rank")
+    return ranked.where(F.col("rank") <= F.when(F.col("scope") == "supporting_facts", most_supporting).otherwise(most))
 
 
 # Phases of K15 by document type, and words of the lines that date them.

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, made longer until no column has it (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def first_of(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each group."""
     return top_of(df, keys, order, 1)
 
 
-def top_of(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None = None) -> DataFrame:
+def top_of(df: DataFrame, keys: list, order: list, n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group, with their rank if it is named; Spark cuts groups before the shuffle."""
-    out = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rank") <= n)
-    return out.withColumnRenamed("__rank", rank) if rank else out.drop("__rank")
+    own = rank or fresh(df.columns, "rank")
+    out = df.withColumn(own, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(own) <= n)
+    return out if rank else out.drop(own)
 
 
 def representative(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
