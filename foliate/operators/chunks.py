@@ -129,8 +129,8 @@ def clean_lines(df: DataFrame, key: str, text: str, shortest: int = 3, longest:
     the name of a file's part. Null texts have no lines.
     """
     x = df.select(key, F.posexplode(F.split(text, "\\R")).alias("line_no", "raw")).select(key, "line_no", tidy(F.col("raw")).alias("line"))
-    letters, digits = F.length(F.regexp_replace("line", r"\P{L}", "")), F.length(F.regexp_replace("line", r"\P{Nd}", ""))
-    useful = F.length("line").between(shortest, longest) & ((letters >= 2) | (digits >= 4)) & ~F.lower("line").isin(*LOW_VALUE)
+    told = F.col("line").rlike(r"\p{L}\P{L}*\p{L}|(?:\p{Nd}\P{Nd}*){3}\p{Nd}")
+    useful = F.length("line").between(shortest, longest) & told & ~F.lower("line").isin(*LOW_VALUE)
     return x.where(useful).groupBy(key, F.lower("line").alias("low")).agg(F.min(F.struct("line_no", "line")).alias("f")).select(key, "f.*")
 
 
@@ -155,18 +155,10 @@ def placed_chunks(blocks: DataFrame, keys: list[str], place: str, text: str, lim
     part = F.transform(split_long(F.trim(F.col(text)), limit), lambda p: F.struct(F.col(place).alias("at"), p.alias("part")))
     rows = blocks.where(F.trim(F.coalesce(text, F.lit(""))) != "").select(*keys, F.posexplode(part).alias("n", "p")).select(*keys, "n", "p.*")
     held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "n", "part"))).alias("ps"))
-    sizes = F.transform("ps", lambda p: F.length(p["part"]))
-    begin = F.struct(F.lit(0).cast("long").alias("size"), F.lit(-1).alias("chunk"), F.array().cast("array<int>").alias("of"))
-
-    def step(s: Column, n: Column) -> Column:
-        opens = (s["chunk"] < 0) | (s["size"] + len(sep) + n > limit)
-        chunk = F.when(opens, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(F.when(opens, n.cast("long")).otherwise(s["size"] + len(sep) + n).alias("size"), chunk.alias("chunk"), F.concat(s["of"], F.array(chunk)).alias("of"))
-
-    placed = held.select(*keys, F.explode(F.arrays_zip("ps", F.aggregate(sizes, begin, step, lambda s: s["of"]).alias("chunk_index"))).alias("x"))
-    placed = placed.select(*keys, "x.chunk_index", "x.ps.*")
-    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "part"))), lambda p: p["part"]), sep)
-    return placed.groupBy(*keys, "chunk_index").agg(F.min("at").alias("start"), F.max("at").alias("end"), text_of.alias("chunk"))
+    groups = pack(F.col("ps"), limit, sep, size=lambda p: F.length(p["part"]), joined=False)
+    x = held.select(*keys, F.posexplode(groups).alias("chunk_index", "g"))
+    at = F.transform("g", lambda p: p["at"])
+    return x.select(*keys, "chunk_index", F.array_min(at).alias("start"), F.array_max(at).alias("end"), F.array_join(F.transform("g", lambda p: p["part"]), sep).alias("chunk"))
 
 
 def page_text(pages: DataFrame, keys: list[str], page: str, text: str, header: str = "--- Faqe {} ---") -> DataFrame:
