@@ -81,6 +81,14 @@ def fact(field: str | Column, value: Column, evidence: Column, confidence: float
     return t.let(value, of)
 
 
+FACTS = "array<struct<field:string,value:string,evidence:string,extraction:double>>"
+
+
+def only(when: Column, facts: Column) -> Column:
+    """The facts of lines that may state some; the rest isn't searched."""
+    return F.when(F.coalesce(when, F.lit(False)), facts).otherwise(F.array().cast(FACTS))
+
+
 def group(x: Column, pattern: str, n: int = 1) -> Column:
     """What a pattern's group matches first; null where it does not."""
     return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, n))
@@ -129,7 +137,7 @@ def capped_facts(facts: DataFrame, order: list[str], most: int = 8) -> DataFrame
 
 
 def labelled_array(line: Column) -> Column:
-    return F.array(*[fact(f, fields.clean_value(F.lit(f), group(line, p)), line, conf) for f, (p, conf) in LABELS.items()])
+    return only(line.rlike(r"[:\-]"), F.array(*[fact(f, fields.clean_value(F.lit(f), group(line, p)), line, conf) for f, (p, conf) in LABELS.items()]))
 
 
 def labelled_facts(lines: DataFrame) -> DataFrame:
@@ -140,7 +148,7 @@ def labelled_facts(lines: DataFrame) -> DataFrame:
 def places(docs: DataFrame, text_col: str) -> DataFrame:
     """K5: every village or quarter with its municipality in a text."""
     each = [F.transform(F.regexp_extract_all(text_col, F.lit(p), F.lit(1)), lambda x: fact("location", fields.clean_value(F.lit("location"), x), x, 0.88)) for p in PLACES]
-    return found(docs, F.concat(*each))
+    return found(docs, only(F.col(text_col).rlike("(?i)bashkia"), F.concat(*each)))
 
 
 def role_facts(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -161,11 +169,11 @@ def permit_array(line: Column, said: Column) -> Column:
     of = F.when(said.contains("zhvill"), "development_permit_").otherwise("construction_permit_")
     number, protocol = F.coalesce(group(line, DECISION), group(line, PERMIT)), group(line, PROTOCOL)
     name = lambda part: F.concat(of, F.lit(part))
-    return F.array(
-        fact(name("number"), F.concat(F.lit("Nr. "), number), line, 0.97, named),
-        fact(name("protocol"), F.concat(F.lit("Nr. Prot. "), protocol), line, 0.97, named),
-        fact(name("date"), F.try_element_at(t.days(line), F.lit(-1)), line, 0.95, named),
-    )
+    return only(named, F.array(
+        fact(name("number"), F.concat(F.lit("Nr. "), number), line, 0.97),
+        fact(name("protocol"), F.concat(F.lit("Nr. Prot. "), protocol), line, 0.97),
+        fact(name("date"), F.try_element_at(t.days(line), F.lit(-1)), line, 0.95),
+    ))
 
 
 def permit_facts(lines: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ def permit_facts(lines: DataFrame) -> DataFrame:
 def amount_array(line: Column, said: Column) -> Column:
     field = F.when(fields.any_of(said, ["preventiv", "kontrakt"]), "planned_value").when(fields.any_of(said, ["situacion", "perfundimtar"]), "final_value").when(said.contains("vlera e objektit"), "planned_value")
     value = F.concat(labels.money_text(group(line, MONEY)), F.lit(" lekë"))
-    return F.array(fact(field, value, line, 0.9, said.contains("vler") & field.isNotNull()))
+    return only(said.contains("vler") & field.isNotNull(), F.array(fact(field, value, line, 0.9)))
 
 
 def amount_facts(lines: DataFrame) -> DataFrame:
@@ -192,8 +200,8 @@ BASEMENT = r"(?i)(\d+(?:[.,]\d+)?)\s*m(?:2|²)?\s*podrum"
 def table_array(line: Column, said: Column) -> Column:
     field = reduce(lambda c, x: c.when(fields.any_of(said, x[1]), F.lit(x[0])), TABLE_AREAS, F.when(F.lit(False), F.lit("")))
     metres = lambda n: F.concat(F.replace(n, F.lit(","), F.lit(".")), F.lit(" m²"))
-    area = fact(field, metres(group(line, r"\b(\d+(?:[.,]\d+)?)\b")), line, 0.93, field.isNotNull())
-    return F.array(area, fact("basement_area", metres(group(line, BASEMENT)), line, 0.92, field == "total_construction_area"))
+    area = fact(field, metres(group(line, r"\b(\d+(?:[.,]\d+)?)\b")), line, 0.93)
+    return only(field.isNotNull(), F.array(area, fact("basement_area", metres(group(line, BASEMENT)), line, 0.92, field == "total_construction_area")))
 
 
 def table_facts(lines: DataFrame) -> DataFrame:
@@ -208,12 +216,12 @@ def metric_facts(docs: DataFrame, text_col: str) -> DataFrame:
     number = lambda f, s: lambda x: fact(f, F.concat(F.lit(s), x), x, 0.92)
     metrics = [F.transform(all_of(p), metric(f, u)) for f, (p, u) in METRICS.items()]
     numbers = [F.transform(all_of(p), number(f, s)) for f, p, s in PROPERTY]
-    return found(docs, F.concat(*metrics, *numbers))
+    return found(docs, only(F.col(text_col).rlike("[0-9]"), F.concat(*metrics, *numbers)))
 
 
 def timeline_array(line: Column, said: Column) -> Column:
     field = F.when(fields.any_of(said, ["fillim", "fillu"]) & said.contains("punim"), "start_date").when(said.contains("perfund") & said.contains("punim"), "completion_date")
-    return F.array(fact(field, F.get(t.days(line), F.lit(0)), line, 0.92, field.isNotNull()))
+    return only(field.isNotNull(), F.array(fact(field, F.get(t.days(line), F.lit(0)), line, 0.92)))
 
 
 def timeline_facts(lines: DataFrame) -> DataFrame:
