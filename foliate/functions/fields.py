@@ -15,44 +15,44 @@ from foliate.functions import text as t
 
 # Other names of each canonical field.
 ALIASES = {
-    "object_name": "project_name project_title object objekt objekti emri_objektit emri_i_objektit emertimi_objektit emertimi_i_objektit",
-    "location": "object_location project_location vendndodhja vendndodhja_e_objektit",
-    "investor": "developer client porositesi zhvilluesi investitori investor_name investor_name_text investor_text emri_investitorit",
-    "contractor": "builder construction_company implementing_company sipermarresi sipermarresi_i_punimeve subjekti_ndertues zbatuesi contractor_name contractor_name_text contractor_text emri_sipermarresit emri_sipermarresit_text",
-    "supervisor": "supervision_engineer supervising_engineer mbikeqyresi mbikqyresi supervizori supervisor_name supervisor_name_text supervisor_text emri_mbikqyresit emri_mbikeqyresit emri_mbikqyresit_text emri_mbikeqyresit_text",
-    "designer": "design_company projektuesi designer_name designer_name_text designer_text emri_projektuesit emri_projektuesit_text",
-    "kolaudator": "auditor technical_auditor kolaudatori kolaudator_name kolaudator_name_text kolaudator_text emri_kolaudatorit emri_kolaudatorit_text",
-    "construction_permit_number": "construction_permit permit_number building_permit building_permit_number leje_ndertimi leja_ndertimit leje_ndertimit",
-    "construction_permit_protocol": "permit_protocol building_permit_protocol",
-    "construction_permit_date": "permit_date building_permit_date leje_ndertimi_date date_leje_ndertimi data_lejes_ndertimit data_e_lejes_se_ndertimit",
-    "start_date": "construction_start_date works_start_date",
-    "completion_date": "construction_completion_date works_completion_date",
-    "planned_value": "contract_value approved_value",
-    "final_value": "executed_value final_contract_value",
-    "document_date": "date_of_document document_date data_dokumentit data_e_dokumentit",
-    "document_number": "document_number nr_dokumentit numri_dokumentit",
-    "work_element": "element_name element elementi emri_elementit emertimi_elementit",
-    "contractor_contract_reference": "kontrata_sipemarrjes kontrata_sipermarrjes kontrata_e_sipermarrjes kontrate_sipermarrje kontrate_sipermarrjes",
-    "supervisor_contract_reference": "kontrata_mbikqyresit kontrata_mbikqyresin kontrata_mbikeqyresit",
-    "kolaudator_contract_reference": "kontrata_kolaudatorit kontrata_kolaudatorin kontrate_kolaudatorit kontrate_kolaudatorin",
+    "object_name": ["project_name", "project_title", "object", "objekt", "objekti", "emri_objektit", "emri_i_objektit", "emertimi_objektit", "emertimi_i_objektit"],
+    "location": ["object_location", "project_location", "vendndodhja", "vendndodhja_e_objektit"],
+    "investor": ["developer", "client", "porositesi", "zhvilluesi", "investitori", "investor_name", "investor_name_text", "investor_text", "emri_investitorit"],
+    "contractor": ["builder", "construction_company", "implementing_company", "sipermarresi", "sipermarresi_i_punimeve", "subjekti_ndertues", "zbatuesi", "contractor_name", "contractor_name_text", "contractor_text", "emri_sipermarresit", "emri_sipermarresit_text"],
+    "supervisor": ["supervision_engineer", "supervising_engineer", "mbikeqyresi", "mbikqyresi", "supervizori", "supervisor_name", "supervisor_name_text", "supervisor_text", "emri_mbikqyresit", "emri_mbikeqyresit", "emri_mbikqyresit_text", "emri_mbikeqyresit_text"],
+    "designer": ["design_company", "projektuesi", "designer_name", "designer_name_text", "designer_text", "emri_projektuesit", "emri_projektuesit_text"],
+    "kolaudator": ["auditor", "technical_auditor", "kolaudatori", "kolaudator_name", "kolaudator_name_text", "kolaudator_text", "emri_kolaudatorit", "emri_kolaudatorit_text"],
+    "construction_permit_number": ["construction_permit", "permit_number", "building_permit", "building_permit_number", "leje_ndertimi", "leja_ndertimit", "leje_ndertimit"],
+    "construction_permit_protocol": ["permit_protocol", "building_permit_protocol"],
+    "construction_permit_date": ["permit_date", "building_permit_date", "leje_ndertimi_date", "date_leje_ndertimi", "data_lejes_ndertimit", "data_e_lejes_se_ndertimit"],
+    "start_date": ["construction_start_date", "works_start_date"],
+    "completion_date": ["construction_completion_date", "works_completion_date"],
+    "planned_value": ["contract_value", "approved_value"],
+    "final_value": ["executed_value", "final_contract_value"],
+    "document_date": ["date_of_document", "document_date", "data_dokumentit", "data_e_dokumentit"],
+    "document_number": ["document_number", "nr_dokumentit", "numri_dokumentit"],
+    "work_element": ["element_name", "element", "elementi", "emri_elementit", "emertimi_elementit"],
+    "contractor_contract_reference": ["kontrata_sipemarrjes", "kontrata_sipermarrjes", "kontrata_e_sipermarrjes", "kontrate_sipermarrje", "kontrate_sipermarrjes"],
+    "supervisor_contract_reference": ["kontrata_mbikqyresit", "kontrata_mbikqyresin", "kontrata_mbikeqyresit"],
+    "kolaudator_contract_reference": ["kontrata_kolaudatorit", "kontrata_kolaudatorin", "kontrate_kolaudatorit", "kontrate_kolaudatorin"],
 }
 # The registers, in their order, and what sends a claim to them.
 REGISTERS = ["stakeholders", "permits_property_licenses", "project_parameters", "construction_chronology", "technical_works", "materials_and_tests", "contracts_and_economics", "declarations_and_conclusions", "supporting_evidence"]
-STAKEHOLDERS = "investor owner contractor supervisor designer architect structural_engineer geotechnical_engineer electrical_engineer mechanical_engineer surveyor kolaudator".split()
-PERMIT_TERMS = "permit property cadastral protocol license ownership parcel".split()
-PARAMETER_TERMS = "area height floor volume capacity intensity coefficient dimension structure_type foundation_type seismic geological".split()
-CHRONOLOGY_TERMS = "date deadline duration start completion interruption extension handover".split()
-ECONOMIC_TERMS = "value amount cost price contract situation quantity invoice".split()
-MATERIAL_TERMS = "armatur material concrete iron mass rebar reinforcement steel weight certificate laboratory test quality sample".split()
+STAKEHOLDERS = ["investor", "owner", "contractor", "supervisor", "designer", "architect", "structural_engineer", "geotechnical_engineer", "electrical_engineer", "mechanical_engineer", "surveyor", "kolaudator"]
+PERMIT_TERMS = ["permit", "property", "cadastral", "protocol", "license", "ownership", "parcel"]
+PARAMETER_TERMS = ["area", "height", "floor", "volume", "capacity", "intensity", "coefficient", "dimension", "structure_type", "foundation_type", "seismic", "geological"]
+CHRONOLOGY_TERMS = ["date", "deadline", "duration", "start", "completion", "interruption", "extension", "handover"]
+ECONOMIC_TERMS = ["value", "amount", "cost", "price", "contract", "situation", "quantity", "invoice"]
+MATERIAL_TERMS = ["armatur", "material", "concrete", "iron", "mass", "rebar", "reinforcement", "steel", "weight", "certificate", "laboratory", "test", "quality", "sample"]
 # Which documents and words can prove a permit.
 CONTRACTS = ["contract_and_related_acts", "supervisor_contract", "contractor_contract", "kolaudator_contract"]
 PERMIT_FIELDS = [f"{kind}_permit_{part}" for kind in ("construction", "development") for part in ("number", "protocol", "date")]
 PERMIT_WORDS = ["leje ndertimi", "leja e ndertimit", "lejes se ndertimit", "leje zhvillimi", "leja e zhvillimit", "lejes se zhvillimit", "building permit", "construction permit", "development permit"]
 RICH_WORDS = ["prot", "protokoll", "date", "dat", "vendim"]
 # Scopes of facts that are not canonical.
-METADATA_FIELDS = "document_date document_number protocol_number notary_repertory_number notary_collection_number".split()
-STAGE_FIELDS = "work_element phase_name stage_name construction_phase hidden_work_element".split()
-REFERENCE_FIELDS = "contract_reference contractor_contract_reference supervisor_contract_reference kolaudator_contract_reference".split()
+METADATA_FIELDS = ["document_date", "document_number", "protocol_number", "notary_repertory_number", "notary_collection_number"]
+STAGE_FIELDS = ["work_element", "phase_name", "stage_name", "construction_phase", "hidden_work_element"]
+REFERENCE_FIELDS = ["contract_reference", "contractor_contract_reference", "supervisor_contract_reference", "kolaudator_contract_reference"]
 # How far a document's type is to be believed.
 AUTHORITY = {
     "construction_permit": 1.0, "development_permit": 1.0, "construction_permit_conformity_declaration": 0.94, "contract_and_related_acts": 0.92, "supervisor_contract": 0.92,
@@ -78,7 +78,7 @@ def lookup(table: dict, x: Column) -> Column:
 def canonical_field(x: Column) -> Column:
     """The field's canonical name; names without one stay as they are (S4). Null becomes empty."""
     key = F.coalesce(t.field_key(x), F.lit(""))
-    return F.coalesce(lookup({a: c for c, names in ALIASES.items() for a in names.split()}, key), key)
+    return F.coalesce(lookup({a: c for c, names in ALIASES.items() for a in names}, key), key)
 
 
 def contextual_field(x: Column, evidence: Column, kind: Column) -> Column:

@@ -53,8 +53,8 @@ def classify_document(name: Column, text: Column, by_name: list[Signature] | Non
         law = any_of(n, signatures.LAW_NAMES) & any_of(F.left(body, F.lit(4_000)), signatures.LAW_WORDS)
         heading = lambda head: F.when(head.contains("leje ndertimi") & any_of(head, signatures.CONSTRUCTION_HEADS), value("construction_permit", 0.99)).when(head.contains("leje zhvillimi") & any_of(head, signatures.DEVELOPMENT_HEADS), value("development_permit", 0.99))
         permit = t.let(F.left(body, F.lit(3_000)), heading)
-        named = best_signature(n, signatures.listed(signatures.NAME) if by_name is None else by_name)
-        of_text = [s for s in signatures.listed(signatures.TEXT) if s[0] not in signatures.NOT_IN_TEXT] if by_text is None else by_text
+        named = best_signature(n, signatures.NAME if by_name is None else by_name)
+        of_text = [s for s in signatures.TEXT if s[0] not in signatures.NOT_IN_TEXT] if by_text is None else by_text
         told = t.let(F.left(body, F.lit(window)), lambda x: best_signature(x, of_text))
         return F.when(law, value("unknown", 0.0)).otherwise(F.coalesce(named, permit, told, value("unknown", 0.0)))
 
