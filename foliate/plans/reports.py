@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import labels
-from foliate.operators import audit, chunks, dossier, drafts, packets, reports, sections, tree
+from foliate.functions import text as t
+from foliate.operators import access, audit, chunks, dossier, drafts, evidence, extraction, packets, reports, sections, summaries, tree
 from foliate.plans.registry import query, table
 
 c = F.col
@@ -253,3 +254,58 @@ def register_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as entries of registers, one of which has none."""
     e = table(spark, sf_dir, "orders").select(c("o_orderpriority").alias("register"), c("o_orderstatus").alias("field"), c("o_custkey").alias("document"), (c("o_custkey") % 50).alias("chunk"))
     return audit.register_coverage(e, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "none"])
+
+
+@query("""SELECT o_orderkey, c_nationkey AS project_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0) AND o_orderstatus IN ('F', 'O') AND (o_orderpriority = '1-URGENT' OR o_orderdate::DATE > DATE '1996-01-01')""")
+def member_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as versions of customers' files, of projects that have members, of some states, that have not run out."""
+    files = table(spark, sf_dir, "customer").select(c("c_custkey").alias("file_id"), c("c_nationkey").alias("project_id"))
+    until = F.when(c("o_orderpriority") != "1-URGENT", c("o_orderdate").cast("date"))
+    versions = table(spark, sf_dir, "orders").select("o_orderkey", c("o_custkey").alias("file_id"), "o_orderstatus", until.alias("until"))
+    members = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(c("s_nationkey").alias("project_id"), "s_suppkey")
+    x = access.of_members(access.project_of(access.among(versions, "o_orderstatus", ["F", "O"]), files), members, "project_id")
+    return access.not_expired(x, "until", F.lit("1996-01-01").cast("date")).select("o_orderkey", "project_id")
+
+
+@query("""SELECT c_custkey, coalesce(string_agg(o_orderpriority || ':' || o_orderkey, ',' ORDER BY o_orderpriority, o_orderkey), '') AS parts FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def owners_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their orders as an array in order, empty without any."""
+    parts = table(spark, sf_dir, "orders").select(c("o_custkey").alias("c_custkey"), "o_orderpriority", "o_orderkey")
+    x = access.with_parts(table(spark, sf_dir, "customer").select("c_custkey"), parts, "c_custkey", ["o_orderpriority", "o_orderkey"])
+    return x.select("c_custkey", F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["o_orderpriority"], p["o_orderkey"])), ",").alias("parts"))
+
+
+@query("""WITH d AS (SELECT source, doc_id, ['parsed', 'failed', 'needs_ocr'][doc_id % 3 + 1] AS status, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE lang END AS kind FROM documents)
+SELECT source, count(*) AS documents, count(*) FILTER (status = 'parsed') AS parsed, count(*) FILTER (status = 'parsed' AND kind = 'unknown') AS unknown, count(DISTINCT kind) AS kinds, coalesce(min(doc_id) FILTER (status = 'failed'), -1) AS first_failed, greatest(0, 7 - count(*)) AS missing FROM d WHERE source IS NOT NULL GROUP BY source""")
+def parse_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of sources by status, seven expected of each."""
+    status = F.get(F.array(*map(F.lit, ("parsed", "failed", "needs_ocr"))), (c("doc_id") % 3).cast("int"))
+    d = table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id", status.alias("status"), F.when(c("doc_id") % 4 == 0, "unknown").otherwise(c("lang")).alias("kind"))
+    expected = d.select("source").distinct().withColumn("n", F.lit(7))
+    found = summaries.parse_summary(d, expected, "source", "status", "doc_id").select("source", F.coalesce(F.get(c("names")["failed"], F.lit(0)), F.lit(-1)).alias("first_failed"), "missing")
+    return summaries.inventory(d, ["source"], c("status") == "parsed", "kind").join(found, "source")
+
+
+@query("""WITH f AS (SELECT p_brand, p_partkey, ['zz', 'element_x', 'contract_reference_y', 'owner'][p_partkey % 4 + 1] AS field, 'v' || (p_partkey % 900) AS value FROM part), s AS (SELECT *, CASE field WHEN 'zz' THEN 'supporting_facts' WHEN 'element_x' THEN 'work_stages' ELSE 'contract_references' END AS scope, row_number() OVER (PARTITION BY p_brand, field, value ORDER BY p_partkey) AS first FROM f WHERE field <> 'owner'),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY field, p_partkey) AS rank FROM s WHERE first = 1) SELECT scope, p_partkey, rank FROM r WHERE rank <= CASE scope WHEN 'supporting_facts' THEN 80 ELSE 60 END""")
+def scoped_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as facts of four fields, one of which is canonical."""
+    key = c("p_partkey")
+    field = F.get(F.array(*map(F.lit, ("zz", "element_x", "contract_reference_y", "owner"))), (key % 4).cast("int"))
+    facts = table(spark, sf_dir, "part").select("p_brand", key, field.alias("field"), F.concat(F.lit("v"), (key % 900).cast("string")).alias("value"))
+    return extraction.scoped_facts(facts, ["owner"], ["p_brand"], ["p_partkey"]).select("scope", "p_partkey", "rank")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey AND p_partkey % 5 = l_linenumber % 5 AND p_size % 2 = l_suppkey % 2""")
+def claim_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as sources of claims, parts as chunks of the same project and version."""
+    sources = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", c("l_partkey").alias("chunk_id"), (c("l_linenumber") % 5).cast("long").alias("project_id"), (c("l_suppkey") % 2).cast("long").alias("version_id"))
+    held = table(spark, sf_dir, "part").select(c("p_partkey").alias("chunk_id"), (c("p_partkey") % 5).cast("long").alias("project_id"), (c("p_size") % 2).cast("long").alias("version_id"), "p_name")
+    return evidence.claim_chunks(sources, held).select("l_orderkey", "l_linenumber", "l_partkey", "p_name")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter(string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9/]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN ('the', 'und', 'les', 'ntion')), ' ') AS words FROM conversations WHERE text IS NOT NULL""")
+def question_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of turns as questions, without stop words."""
+    words = t.query_tokens(c("text"), ["the", "und", "les", "ntion"])
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(words, " ").alias("words"))
