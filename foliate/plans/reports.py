@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import labels
 from foliate.functions import text as t
-from foliate.operators import access, audit, chunks, dossier, drafts, evidence, extraction, packets, reports, sections, summaries, tree
+from foliate.operators import access, audit, chunks, dossier, drafts, evidence, extraction, packets, reports, sections, summaries, tree, verification
 from foliate.plans.registry import query, table
 
 c = F.col
@@ -309,3 +309,49 @@ def question_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of turns as questions, without stop words."""
     words = t.query_tokens(c("text"), ["the", "und", "les", "ntion"])
     return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(words, " ").alias("words"))
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, contains(lower(line), 'licen') OR contains(lower(line), 'mail') OR regexp_matches(line, '\\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}\\b') AS hit FROM l), r AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id) AS any_hit, row_number() OVER (PARTITION BY doc_id, hit ORDER BY line_no) AS rank, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM h)
+SELECT doc_id, line_no::INT AS line_no FROM r WHERE CASE WHEN any_hit THEN hit AND rank <= 4 ELSE place <= 2 END""")
+def schedule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a word or a date, up to four of a document; the first two of documents without any."""
+    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return chunks.schedule_lines(lines, "doc_id", ["licen", "mail"], most=4, fallback=2).select("doc_id", "line_no")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 ELSE 1 END AS n_lines FROM documents WHERE doc_id % 3 <> 2 AND text IS NOT NULL AND NOT regexp_matches(text, '(\\?{2,}|_{3,}|\\.{5,})') AND NOT regexp_matches(text, '(?i)\\b(xxx|todo)\\b')""")
+def placeholder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with placeholders behind them, in one line or in more than the two that are told; texts that hold some themselves are left to the tests."""
+    own = c("text").rlike(r"(\?{2,}|_{3,}|\.{5,})") | c("text").rlike(r"(?i)\b(xxx|todo)\b")
+    more = F.when(c("doc_id") % 3 == 0, "\nDate: ____\nTODO: x\nNr. ..... \n").when(c("doc_id") % 3 == 1, "\nNr. ??\nfund").otherwise("\nfund")
+    docs = table(spark, sf_dir, "documents").where(~own).select("doc_id", F.concat("text", more).alias("text"))
+    return verification.placeholder_lines(docs, "text", most=2).select("doc_id", F.size("lines").alias("n_lines"))
+
+
+@query("""SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
+def verified_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as findings, those of one state without evidence."""
+    none = F.create_map().cast("map<string,string>")
+    found = table(spark, sf_dir, "orders").select("o_custkey", F.when(c("o_orderstatus") == "F", F.create_map(F.lit("chunk"), c("o_orderpriority"))).when(c("o_orderstatus") == "O", F.create_map(F.lit("chunk"), F.lit("x"))).when(c("o_orderkey") % 2 == 0, none).alias("evidence"))
+    return verification.verified_findings(found).where("evidence_verified").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT count(*) AS issues, count(*) FILTER (o_orderpriority = '1-URGENT') AS major, count(DISTINCT o_custkey) FILTER (o_orderpriority = '1-URGENT') AS claims, count(*) FILTER (o_orderpriority = '1-URGENT') = 0 AS publishable FROM orders""")
+def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as issues of claims."""
+    return verification.summary(table(spark, sf_dir, "orders").select(c("o_custkey").alias("claim_id"), F.when(c("o_orderpriority") == "1-URGENT", "major").otherwise("minor").alias("severity")))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([o_orderkey % 5, o_orderkey % 3, o_orderkey % 7], lambda i: i <= o_custkey % 4), ',') AS chunk_indexes, lower(o_orderstatus) || '_kind' AS category, CASE WHEN o_orderkey % 2 = 0 THEN 'other' ELSE 'x' END AS field_name, least(1.0, o_orderkey % 3)::DOUBLE AS confidence FROM orders WHERE len(list_filter([o_orderkey % 5, o_orderkey % 3, o_orderkey % 7], lambda i: i <= o_custkey % 4)) > 0""")
+def batch_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims of batches, which keep the chunk indexes that their batch has."""
+    orders = table(spark, sf_dir, "orders")
+    key = c("o_orderkey")
+    claims = orders.select(
+        "o_custkey", key.alias("claim_id"), F.array(key % 5, key % 3, key % 7).alias("chunk_indexes"), F.concat(c("o_orderstatus"), F.lit("-Kind")).alias("category"), F.when(key % 2 == 0, " Other ").otherwise("x").alias("field_name"),
+        F.lit("v").alias("original_value"), (key % 3).cast("double").alias("confidence"), F.lit(None).cast("string").alias("supporting_excerpt"),
+    )
+    allowed = orders.select("o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), c("o_custkey") % 4)).alias("chunk_index")).distinct()
+    x = evidence.batch_claims(claims, allowed, ["o_custkey"])
+    return x.select(c("claim_id").alias("o_orderkey"), F.array_join(F.transform("chunk_indexes", lambda i: i.cast("string")), ",").alias("chunk_indexes"), "category", "field_name", "confidence")
