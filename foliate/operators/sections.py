@@ -23,12 +23,15 @@ SECTIONS = {
 
 
 def plan_rows() -> Column:
-    """The plan as an array of (n, code, kind, place, name): a row for each thing that a section looks up, and one for the section itself."""
-    rows = []
-    for n, (code, (_, *lists)) in enumerate(SECTIONS.items()):
-        rows.append((n, code, "section", 0, ""))
-        rows += [(n, code, kind, i, name) for kind, names in zip(("fact", "evidence", "register", "domain"), lists, strict=True) for i, name in enumerate(names)]
-    return F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(r, ("n", "code", "kind", "place", "name"), strict=True)]) for r in rows])
+    """The plan as an array of (n, code, title, facts, evidence, registers, domains), one for each section."""
+    names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    rows = [(F.lit(n), F.lit(code), F.lit(title), *map(names, lists)) for n, (code, (title, *lists)) in enumerate(SECTIONS.items())]
+    return F.array(*[F.struct(*[v.alias(c) for v, c in zip(r, ("n", "code", "title", "facts", "evidence", "registers", "domains"), strict=True)]) for r in rows])
+
+
+def planned(at: int) -> list[str]:
+    """All names of the plan's ``at``-th list."""
+    return sorted({x for _, *lists in SECTIONS.values() for x in lists[at]})
 
 
 def section_plan(projects: DataFrame, facts: DataFrame, files: DataFrame, entries: DataFrame, memoranda: DataFrame, by: list[str]) -> DataFrame:
@@ -37,28 +40,29 @@ def section_plan(projects: DataFrame, facts: DataFrame, files: DataFrame, entrie
     ``facts``: by, field, value (blank ones are missing). ``files``: by, section, filename (A18). ``entries``: by, register.
     ``memoranda``: by, domain, status, statements. ``available`` and ``missing`` are fields in the plan's order, ``files`` sorted
     names, ``entries`` (register, n) with 0 for none, ``reviews`` (domain, status, statements) of those that there are. Each table is
-    brought to one row for each name before the four lookups meet the plan, so a large register is one number.
+    brought to one row for each project, which holds no more than the plan's names and the project's files; the sections are written
+    out only when these rows have met, so that what is shuffled or broadcast doesn't hold the plan for each project.
     """
-    plan = projects.select(*by).distinct().select(*by, F.explode(plan_rows()).alias("p")).select(*by, "p.*")
-    known = facts.where(F.trim(F.coalesce("value", F.lit(""))) != "").select(*by, F.lit("fact").alias("kind"), F.col("field").alias("name")).distinct().withColumn("n_found", F.lit(1).cast("long"))
-    counts = entries.groupBy(*by, F.col("register").alias("name")).agg(F.count(F.lit(1)).alias("n_found")).withColumn("kind", F.lit("register"))
-    memo = memoranda.groupBy(*by, F.col("domain").alias("name")).agg(F.max_by(F.struct("status", "statements"), "status").alias("review")).withColumn("kind", F.lit("domain"))
-    found = known.unionByName(counts).unionByName(memo, allowMissingColumns=True)
-    own = [*by, "kind", "name"]
-    x = plan.join(found, own, "left")
-    names = files.select(*by, F.lit("evidence").alias("kind"), F.col("section").alias("name"), "filename").where("filename is not null").distinct()
-    shown = plan.join(names, own).groupBy(*by, "n").agg(F.array_sort(F.collect_set("filename")).alias("files"))  # a project's files
-    of = lambda kind, when, v: F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & when, F.struct("place", v.alias("v")))))
-    there = F.col("n_found").isNotNull()
-    each = x.groupBy(*by, "n", "code").agg(
-        of("fact", there, F.col("name")).alias("available"), of("fact", ~there, F.col("name")).alias("missing"),
-        of("register", F.lit(True), F.struct(F.col("name").alias("register"), F.coalesce("n_found", F.lit(0)).alias("n"))).alias("entries"),
-        of("domain", F.col("review").isNotNull(), F.struct(F.col("name").alias("domain"), "review.status", "review.statements")).alias("reviews"),
+    own = projects.select(*by).distinct()
+    known = facts.where(F.col("field").isin(*planned(0)) & (F.trim(F.coalesce("value", F.lit(""))) != "")).groupBy(*by).agg(F.collect_set("field").alias("known"))
+    named = files.where(F.col("section").isin(*planned(1)) & F.col("filename").isNotNull()).groupBy(*by).agg(F.collect_set(F.struct("section", "filename")).alias("named"))
+    is_of = lambda c, v: F.col(c) == v
+    counts = entries.groupBy(*by).agg(F.create_map(*[x for r in planned(2) for x in (F.lit(r), F.count_if(is_of("register", r)))]).alias("counts"))
+    review = lambda d: F.max_by(F.when(is_of("domain", d), F.struct("status", "statements")), F.when(is_of("domain", d), F.col("status")))
+    memo = memoranda.groupBy(*by).agg(F.create_map(*[x for d in planned(3) for x in (F.lit(d), review(d))]).alias("memo"))
+    for part in (known, named, counts, memo):
+        own = own.join(part, by, "left")
+    x = own.select("*", F.explode(plan_rows()).alias("p")).select("*", "p.*")
+    there = lambda f: F.coalesce(F.array_contains("known", f), F.lit(False))
+    shown = F.transform(F.filter("named", lambda f: F.array_contains(F.col("evidence"), f["section"])), lambda f: f["filename"])
+    of = lambda c, name: F.try_element_at(F.col(c), name)
+    told = F.filter("domains", lambda d: of("memo", d).isNotNull())
+    return x.select(
+        *by, "n", "code", "title", F.filter("facts", there).alias("available"), F.filter("facts", lambda f: ~there(f)).alias("missing"),
+        F.coalesce(F.array_sort(F.array_distinct(shown)), F.array().cast("array<string>")).alias("files"),
+        F.transform("registers", lambda r: F.struct(r.alias("register"), F.coalesce(of("counts", r), F.lit(0)).alias("n"))).alias("entries"),
+        F.transform(told, lambda d: F.struct(d.alias("domain"), of("memo", d)["status"].alias("status"), of("memo", d)["statements"].alias("statements"))).alias("reviews"),
     )
-    bare = {c: F.transform(c, lambda s: s["v"]) for c in ("available", "missing", "entries", "reviews")}
-    title = F.create_map(*[F.lit(v) for code, (t, *_) in SECTIONS.items() for v in (code, t)])[F.col("code")]
-    out = each.withColumns(bare).join(shown, [*by, "n"], "left")
-    return out.select(*by, "n", "code", title.alias("title"), "available", "missing", F.coalesce("files", F.array().cast("array<string>")).alias("files"), "entries", "reviews")
 
 
 def readiness(projects: DataFrame, missing: DataFrame, conflicts: DataFrame, by: list[str]) -> DataFrame:
