@@ -30,7 +30,9 @@ KEYWORDS = {
     "economic_values": (["vlera", "preventiv", "situacion", "lek", "kontrates", "kontratës"], 0.66),
 }
 FORMAL = ["leje", "vendim", "fillim", "perfundim", "afati"]
-ANY_DATE, ANY_NUMBER = r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"(?i)\b(?:nr\.?|num[eë]r)\s*[:.\-]?\s*[A-Za-z0-9/_-]+"
+ANY_DATE, ANY_NUMBER = r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"(?iu)\b(?:nr\.?|num[eë]r)\s*[:.\-]?\s*[A-Za-z0-9/_-]+"
+#: A word's edge where only ASCII letters, digits and _ are of words, as in SQL: there a number may begin after an accented letter.
+ASCII_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 # Labels of K4, what stands after them, and the confidence.
 LABELS = {
     "object_name": (r"(?i)(?:em[eë]rtimi\s+i\s+objektit|emri\s+i\s+objektit|p[eë]r\s+objektin|objektin?|objekti)\s*[:\-]\s*(.+)", 0.94),
@@ -113,10 +115,11 @@ def after_separator(line: Column, size: int = 220) -> Column:
     return F.left(F.coalesce(part(":"), part("-"), part("–"), line), F.lit(size))
 
 
-def keyword_facts(lines: DataFrame, keywords: dict[str, tuple[list[str], float]] | None = None, formal: list[str] | None = None) -> DataFrame:
+def keyword_facts(lines: DataFrame, keywords: dict[str, tuple[list[str], float]] | None = None, formal: list[str] | None = None, edge: str = r"\b") -> DataFrame:
     """K3: a row (category, value, extraction, snippet) for each line (line) and category whose keywords it holds.
 
-    A line with a date or a number and a formal word is a formal reference too.
+    A line with a date or a number and a formal word is a formal reference too. ``edge`` is the pattern of a word's edge at dates and
+    numbers; by default accented letters are of words.
     """
     said = t.plain_value(F.col("line"))
     words = lambda ws: [F.translate(F.lit(w), "".join(t.FOLDED), "".join(t.FOLDED.values())) for w in ws]
@@ -124,7 +127,7 @@ def keyword_facts(lines: DataFrame, keywords: dict[str, tuple[list[str], float]]
     one = lambda name, conf, when: F.when(when, F.struct(F.lit(name).alias("category"), F.lit(conf).alias("extraction")))
     each = [one(name, conf, holds(ws)) for name, (ws, conf) in (keywords or KEYWORDS).items()]
     line = F.col("line")
-    each.append(one("formal_references", 0.68, (line.rlike(ANY_DATE) | line.rlike(ANY_NUMBER)) & holds(formal or FORMAL)))
+    each.append(one("formal_references", 0.68, holds(formal or FORMAL) & (line.rlike(ANY_DATE.replace(r"\b", edge)) | line.rlike(ANY_NUMBER.replace(r"\b", edge)))))
     hits = F.filter(F.array(*each), lambda x: x.isNotNull())
     out = lines.select("*", F.explode(hits).alias("hit"))
     return out.select("*", "hit.category", after_separator(line).alias("value"), "hit.extraction", F.left("line", F.lit(220)).alias("snippet")).drop("hit")

@@ -1,5 +1,6 @@
 """What plans must not do at size: rows written out before they meet, keys of few values shuffled; and inputs beyond the small tables."""
 
+import duckdb
 from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
@@ -19,3 +20,11 @@ def executed(df: DataFrame) -> str:
 def test_section_plan_writes_sections_out_last(spark):
     plan = executed(entry.queries()["section_plan"](spark, SF))
     assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Exchange") and "Join" not in plan[: plan.index("Generate")]
+
+
+def test_keyword_facts_has_the_word_edges_of_its_sql(spark, tmp_path):
+    texts = ["und ciónrrco la", "und NUMËR 7", "und é1.2.2020", "und xnr 7", "und nr. 5/A", "und 1.2.20201", "und _nr 7", "und cinrrco"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(entry.oracle_sql()["keyword_facts"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in entry.queries()["keyword_facts"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {i for i, *_ in got} == {0, 1, 2, 4}
