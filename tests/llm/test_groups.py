@@ -212,3 +212,17 @@ def test_stages_take_columns_of_any_name_nulls_and_nothing(spark):
     for stage in (good_documents, first_lines, one_of_each_group):
         assert stage(df).columns == df.columns
         assert stage(df.limit(0)).count() == 0
+
+
+def test_near_dedup_follows_fingerprints_and_shingles(spark):
+    import corpus_pipeline
+    from foliate.llm.near_copies import jaccard_groups
+
+    turn = "uno dos tres quattro cinque " * 150
+    words = [f"w{i}" for i in range(300)]
+    near = [x if i != 150 else "other" for i, x in enumerate(words)]  # shingles alike, 4 bits or fewer not asked for
+    rows = [(7, turn + "alpha beta gamma delta"), (3, turn + "eins zwei drei vier"), (8, " ".join(words)), (9, " ".join(near)), (None, turn + "x y z"), (11, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = {r.doc_id: r.component_id for r in jaccard_groups(df).collect()}
+    assert alone[7] == 7 and alone[3] == 3 and alone[9] == 8
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [3, 8, 11]
