@@ -186,7 +186,9 @@ def within_budget(items: DataFrame, by: str, size: str, priority: list, budget:
 
 def domain_conflicts(conflicts: DataFrame, registers: DataFrame, domains: DataFrame) -> DataFrame:
     """Conflicts (conflict_id, field) for each domain (domain, register) that a register of their field (field, register) belongs to; those of none for all domains."""
-    own = conflicts.join(registers, "field").join(domains, "register").select("conflict_id", "field", "domain").distinct()
+    # Fields are as many as a vocabulary has and conflicts are often of few, so that a shuffle by field would put most into one task.
+    of = registers.join(domains, "register").select("field", "domain").distinct()
+    own = conflicts.join(F.broadcast(of), "field").select("conflict_id", "field", "domain").distinct()
     rest = conflicts.join(own.select("conflict_id").distinct(), "conflict_id", "left_anti")
     # All names of domains as one array, which each conflict of none gets: a review has a handful.
     names = domains.agg(F.array_sort(F.collect_set("domain")).alias("domain")).withColumn("every", F.lit(True))

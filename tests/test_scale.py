@@ -1,6 +1,9 @@
 """What plans must not do at size: rows written out before they meet, keys of few values shuffled; and inputs beyond the small tables."""
 
+import re
+
 import duckdb
+import pytest
 from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
@@ -8,11 +11,6 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 
 
-def plan_of(df: DataFrame) -> str:
-    """The physical plan before adaptive execution, the last step first."""
-    return df._jdf.queryExecution().sparkPlan().toString()
-
-
 def executed(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -28,3 +26,8 @@ def test_keyword_facts_has_the_word_edges_of_its_sql(spark, tmp_path):
     want = duckdb.sql(entry.oracle_sql()["keyword_facts"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     got = [tuple(r) for r in entry.queries()["keyword_facts"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {i for i, *_ in got} == {0, 1, 2, 4}
+
+
+@pytest.mark.parametrize("name", ["domain_conflicts", "project_relation"])
+def test_rows_are_not_shuffled_by_a_field_of_few_values(spark, name):
+    assert not re.search(r"hashpartitioning\(field#\d+, \d+\)", executed(entry.queries()[name](spark, SF)))
