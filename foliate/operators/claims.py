@@ -114,7 +114,8 @@ def override_conflicts(facts: DataFrame) -> DataFrame:
 
 def relations(claims: DataFrame, anchors: DataFrame, document: str) -> DataFrame:
     """Of each document whether its anchor fields agree with the selected ones (field, selected)."""
-    x = claims.join(anchors, "field")
+    # A project has a handful of anchors; a shuffle by field would put all claims on one of them into one task.
+    x = claims.join(F.broadcast(anchors), "field")
     same = F.col("value").eqNullSafe(F.col("selected"))
     n = x.groupBy(document).agg(F.count_if(same).alias("matches"), F.count_if(~same).alias("conflicts"))
     label = F.when((F.col("matches") >= 2) | ((F.col("matches") >= 1) & (F.col("conflicts") == 0)), "target").when(F.col("conflicts") >= 2, "foreign").otherwise("unlinked")
