@@ -69,27 +69,18 @@ def public_text(draft: Column | None = None) -> Column:
 def present(values: DataFrame, shown: DataFrame, key: list[str]) -> DataFrame:
     """S39 for many values: those (draft_id, key, value) that their draft's text (draft_id, text) holds, as (draft_id, key).
 
-    The texts are indexed: each number, and each word under each three letters in it. A value's telling words look up the words with
-    their first three letters and its numbers the numbers, by joins on small keys; a value holds if ``least`` words (three, or as many
-    as it has) are inside words, or two different numbers or more and all are there. A value that the text holds as a whole has all
-    its words there, so texts themselves are read only for values without telling words.
+    A value holds if ``least`` of its telling words (three, or as many as it has) are inside words of the text, or two different
+    numbers or more and all are numbers of it; one without telling words if the text holds it as a whole. Each text travels once, to
+    its draft's values; a telling word has no space, so it is inside a word if it is in the text.
     """
     said = shown.select("draft_id", t.alnum_text(F.coalesce("text", F.lit(""))).alias("said"))
-    words = said.select("draft_id", F.explode(F.array_distinct(F.split("said", " "))).alias("word")).where("word <> ''")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 2)), lambda i: F.substring(F.col("word"), i, F.lit(3)))
-    index = words.where(F.length("word") >= 3).select("draft_id", "word", F.explode(F.array_distinct(grams)).alias("gram"))
-    numbers = words.select("draft_id", F.explode(F.regexp_extract_all("word", F.lit("[0-9]+"), F.lit(0))).alias("number")).distinct()
-
     x = values.select("draft_id", F.struct(*key).alias("asked"), t.alnum_text(F.coalesce("value", F.lit(""))).alias("v")).where("v <> ''")
     x = x.withColumns({"numbers": t.number_set(F.col("v")), "words": t.telling(F.col("v"))})
-    own = ["draft_id", "asked"]
-    token = x.select(*own, F.size("words").alias("of"), F.posexplode("words").alias("at", "token")).withColumn("gram", F.left("token", F.lit(3)))
-    told = token.join(index, ["draft_id", "gram"]).where(F.col("word").contains(F.col("token"))).groupBy(*own, "of").agg(F.count_distinct("at").alias("told"))
-    by_words = told.where(F.col("told") >= F.least(F.lit(3), F.col("of"))).select(*own)
-    number = x.where(F.size("numbers") >= 2).select(*own, F.size("numbers").alias("of"), F.explode("numbers").alias("number"))
-    by_numbers = number.join(numbers, ["draft_id", "number"], "left_semi").groupBy(*own, "of").agg(F.count(F.lit(1)).alias("told")).where("told = of").select(*own)
-    bare = x.where(F.size("words") == 0).join(said, "draft_id").where(F.col("said").contains(F.col("v"))).select(*own)
-    return by_words.unionByName(by_numbers).unionByName(bare).distinct().select("draft_id", "asked.*")
+    told = F.size(F.filter("words", lambda w: F.col("said").contains(w)))
+    by_words = (F.size("words") > 0) & (told >= F.least(F.lit(3), F.size("words")))
+    by_numbers = (F.size("numbers") >= 2) & (F.size(F.array_except("numbers", F.regexp_extract_all("said", F.lit("[0-9]+"), F.lit(0)))) == 0)
+    bare = (F.size("words") == 0) & F.col("said").contains(F.col("v"))
+    return x.join(said, "draft_id").where(by_words | by_numbers | bare).select("draft_id", "asked").distinct().select("draft_id", "asked.*")
 
 
 def issue(rows: DataFrame, code: str, place: int, severity: str | Column = "major", **known: Column | str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
+from foliate.operators import drafts
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,11 @@ def test_rows_are_not_shuffled_by_a_field_of_few_values(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not re.search(r"hashpartitioning\(field#\d+, \d+\)", plan)
+
+
+def test_texts_of_drafts_are_not_written_out_by_word(spark):
+    values = spark.createDataFrame([(1, 0, "Nr. 12/2020"), (1, 1, "ndertes kulla blu"), (1, 2, "kulla gjelbe"), (1, 3, "ab"), (1, 4, "zz"), (2, 0, "kulla")], "draft_id long, n int, value string")
+    shown = spark.createDataFrame([(1, "Ndërtesa: Kulla, blu. AB 2020, 12"), (2, None)], "draft_id long, text string")
+    got = drafts.present(values, shown, ["n"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0), (1, 1), (1, 3)]
+    assert "Generate" not in executed(got)
