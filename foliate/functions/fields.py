@@ -116,10 +116,14 @@ def bare_reference(value: Column) -> Column:
 def permit_context(field: Column, value: Column, evidence: Column, kind: Column) -> Column:
     """Whether a permit's field is said in words about that permit; true for other fields."""
     said = t.plain_value(F.concat(value, F.lit(" "), F.coalesce(evidence, F.lit(""))))
-    own = ((kind == "construction_permit") & said.contains("leje ndertimi")) | ((kind == "development_permit") & said.contains("leje zhvillimi"))
-    rich = any_of(said, PERMIT_WORDS) & any_of(said, RICH_WORDS) & (F.size(F.regexp_extract_all(said, F.lit("[0-9]+"), F.lit(0))) >= 2)
-    plain = kind.isin("construction_permit", "development_permit") | any_of(said, PERMIT_WORDS)
-    return ~field.isin(*PERMIT_FIELDS) | own | F.when(bare_reference(value), rich).otherwise(plain)
+
+    def proved(said: Column) -> Column:
+        own = ((kind == "construction_permit") & said.contains("leje ndertimi")) | ((kind == "development_permit") & said.contains("leje zhvillimi"))
+        rich = any_of(said, PERMIT_WORDS) & any_of(said, RICH_WORDS) & (F.size(F.regexp_extract_all(said, F.lit("[0-9]+"), F.lit(0))) >= 2)
+        plain = kind.isin("construction_permit", "development_permit") | any_of(said, PERMIT_WORDS)
+        return own | F.when(bare_reference(value), rich).otherwise(plain)
+
+    return ~field.isin(*PERMIT_FIELDS) | t.let(said, proved)
 
 
 def admissible(field: Column, category: Column | None, value: Column, evidence: Column, kind: Column) -> Column:

@@ -24,8 +24,8 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Without accents."""
-    return F.translate(x, "".join(FOLDED), "".join(FOLDED.values()))
+    """Without accents; a text of ASCII alone, as its length in bytes tells, is left as it is."""
+    return F.when(F.octet_length(x) > F.length(x), F.translate(x, "".join(FOLDED), "".join(FOLDED.values()))).otherwise(x)
 
 
 def ascii_only(x: Column) -> Column:
@@ -33,8 +33,8 @@ def ascii_only(x: Column) -> Column:
 
 
 def squeeze(x: Column) -> Column:
-    """Runs of white space become one space, none at the ends."""
-    return F.trim(F.regexp_replace(x, "(?U)\\s+", " "))
+    """Runs of white space become one space, none at the ends; single spaces need no replacement."""
+    return F.trim(F.regexp_replace(x, "(?U)\\s{2,}|[^\\S ]", " "))
 
 
 def class_text(x: Column) -> Column:

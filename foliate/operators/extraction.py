@@ -43,6 +43,11 @@ LABELS = {
     "kolaudator": (r"(?i)kolaudatori(?:\s+i\s+punimeve)?\s*[:\-]\s*(.+)", 0.95),
     "designer": (r"(?i)(?:projektuesi|studio\s+projektuese)\s*[:\-]\s*(.+)", 0.88),
 }
+#: Words one of which each label's pattern needs, in a normalised line: what lacks them is not searched.
+LABEL_WORDS = {
+    "object_name": ["objekt"], "location": ["dodhja", "adresa"], "investor": ["investitor", "zhvillues", "porosit"], "contractor": ["zbatuesi", "rmarr", "subjekti"],
+    "supervisor": ["mbik", "supervizori"], "kolaudator": ["kolaudatori"], "designer": ["projektuesi", "studio"],
+}
 # Metrics of K6 and their units.
 METRICS = {
     "site_area": (r"(?i)sip[eë]rfaq(?:ja|e)\s+(?:e\s+)?(?:truallit|tok[eë]s)\s+q[eë]\s+zhvillohet[^\d]{0,50}(\d+(?:[.,]\d+)?)\s*m(?:2|²)", "m²"),
@@ -54,14 +59,20 @@ METRICS = {
     "soil_bearing_capacity": (r"(?i)ngarkesa\s+e\s+lejuar[^\d]{0,40}(\d+(?:[.,]\d+)?)\s*kg/cm2", "kg/cm²"),
     "seismic_intensity": (r"(?i)sizmicitet[^\d]{0,30}(\d+(?:[.,]\d+)?)\s*ball", "ballë"),
 }
-# Property numbers of K6 and how they are written.
+#: The word that each metric's pattern needs, in lower case.
+METRIC_WORDS = {
+    "site_area": "zhvillohet", "footprint_area": "struktura", "total_construction_area": "rgjithshme", "maximum_height": "maksimale", "floors_above_ground": "nivelin", "floors_below_ground": "nivelin",
+    "soil_bearing_capacity": "ngarkesa", "seismic_intensity": "sizmicitet",
+}
+# Property numbers of K6, how they are written and, at the end, the word that the pattern needs.
 PROPERTY = [
-    ("property_number", r"(?i)pasuria\s+(?:me\s+)?nr\.?\s*[:.]?\s*([A-Za-z0-9/-]+)", "Pasuria nr. "),
-    ("property_number", r"(?i)nr\.?\s*pasuris[eë]\s*:\s*([A-Za-z0-9/-]+)", "Pasuria nr. "),
-    ("cadastral_zone", r"(?i)zon(?:a|en)\s+kadastrale\s+(?:me\s+)?nr\.?\s*[:.]?\s*(\d+)", "Zona kadastrale nr. "),
-    ("cadastral_zone", r"(?i)nr\.?\s*z\.?\s*k\.?\s*:\s*(\d+)", "Zona kadastrale nr. "),
+    ("property_number", r"(?i)pasuria\s+(?:me\s+)?nr\.?\s*[:.]?\s*([A-Za-z0-9/-]+)", "Pasuria nr. ", "pasuria"),
+    ("property_number", r"(?i)nr\.?\s*pasuris[eë]\s*:\s*([A-Za-z0-9/-]+)", "Pasuria nr. ", "pasuris"),
+    ("cadastral_zone", r"(?i)zon(?:a|en)\s+kadastrale\s+(?:me\s+)?nr\.?\s*[:.]?\s*(\d+)", "Zona kadastrale nr. ", "kadastrale"),
+    ("cadastral_zone", r"(?i)nr\.?\s*z\.?\s*k\.?\s*:\s*(\d+)", "Zona kadastrale nr. ", "nr"),
 ]
 PLACES = [rf"(?i)\b({first}\s+[^,.;\n]{{2,60}},\s*Bashkia\s+[^,.;\n]{{2,60}})" for first in ("Fshati", "Lagj(?:ja|ia)")]
+PLACE_WORDS = ["fshati", "lagj"]
 MONEY = r"(?i)\b(\d{1,3}(?:[.,\s]\d{3})+|\d{4,})\s*(?:lek(?:e|ë)?|all)\b"
 DECISION = r"(?i)vendim\s*(?:nr\.?\s*)?[:.]?\s*([0-9]+(?:[/.-][A-Za-z0-9]+)*)"
 PERMIT = r"(?i)leje(?:s|n|\s+e)?\s+(?:s[eë]\s+)?(?:nd[eë]rtimi(?:t)?|zhvillimi(?:t)?)\s*(?:nr\.?\s*)?[:.]?\s*([0-9]+(?:[/.-][A-Za-z0-9]+)*)"
@@ -102,6 +113,11 @@ def found(rows: DataFrame, facts: Column) -> DataFrame:
     return rows.select("*", F.posexplode(kept).alias("n", "fact")).select("*", "fact.*").drop("fact")
 
 
+def numbered(step: int, facts: Column) -> Column:
+    """An array's facts with their step and their place among those that are there."""
+    return F.transform(F.filter(facts, lambda f: f.isNotNull()), lambda f, i: F.struct(F.lit(step).alias("step"), i.alias("n"), *[f[c].alias(c) for c in ("field", "value", "evidence", "extraction")]))
+
+
 def text_lines(docs: DataFrame, text_col: str, least: int, most: int, clip: int | None = None) -> DataFrame:
     """A row for each line of ``least`` characters or more, white space squeezed, with its place: the first ``most`` of a text, cut at ``clip``."""
     lines = F.filter(F.transform(F.split(text_col, r"\R"), t.squeeze), lambda x: F.length(x) >= least)
@@ -139,38 +155,61 @@ def capped_facts(facts: DataFrame, order: list[str], most: int = 8) -> DataFrame
     return top_of(first_of(facts, ["category", t.plain_value(F.col("value"))], by), ["category"], by, most, "rank")
 
 
-def labelled_array(line: Column) -> Column:
-    return only(line.rlike(r"[:\-]"), F.array(*[fact(f, fields.clean_value(F.lit(f), group(line, p)), line, conf) for f, (p, conf) in LABELS.items()]))
+def labelled_array(line: Column, said: Column) -> Column:
+    value = lambda f, p: F.when(fields.any_of(said, LABEL_WORDS[f]), fields.clean_value(F.lit(f), group(line, p)))
+    return only(line.contains(":") | line.contains("-"), F.array(*[fact(f, value(f, p), line, conf) for f, (p, conf) in LABELS.items()]))
 
 
 def labelled_facts(lines: DataFrame) -> DataFrame:
     """K4: a fact for each label in a line (line), its value cleaned."""
-    return found(lines, labelled_array(F.col("line")))
+    return found(lines, t.let(t.plain_value(F.col("line")), lambda s: labelled_array(F.col("line"), s)))
+
+
+def all_that(text: Column, lower: Column, word: str, pattern: str) -> Column:
+    """All that a pattern's first group matches, in texts that hold a word which the pattern needs."""
+    return F.when(lower.contains(word), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
+def places_array(text: Column, lower: Column) -> Column:
+    each = [F.transform(all_that(text, lower, w, p), lambda x: fact("location", fields.clean_value(F.lit("location"), x), x, 0.88)) for w, p in zip(PLACE_WORDS, PLACES, strict=True)]
+    return only(lower.contains("bashkia"), F.concat(*each))
 
 
 def places(docs: DataFrame, text_col: str) -> DataFrame:
     """K5: every village or quarter with its municipality in a text."""
-    each = [F.transform(F.regexp_extract_all(text_col, F.lit(p), F.lit(1)), lambda x: fact("location", fields.clean_value(F.lit("location"), x), x, 0.88)) for p in PLACES]
-    return found(docs, only(F.col(text_col).rlike("(?i)bashkia"), F.concat(*each)))
+    return found(docs, t.let(F.lower(text_col), lambda s: places_array(F.col(text_col), s)))
+
+
+def role_array(said: Column, near: Column) -> Column:
+    """Facts of a line's first role (K5) from the lines ``near`` it."""
+
+    def of(role: Column, near: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(near, F.lit(labels.LICENCE), F.lit(1)), labels.licence_number)
+        fits = lambda n: reduce(lambda a, kv: a | ((role == kv[0]) & reduce(lambda x, y: x | y, [n.startswith(b) for b in kv[1][1]])), ROLES.items(), F.lit(False))
+        licence = fact(F.concat(role, F.lit("_license")), F.get(F.filter(numbers, fits), F.lit(0)), near, 0.94)
+        nipt = fact("contractor_nipt", F.when(role == "contractor", F.upper(group(near, NIPT))), near, 0.96)
+        return F.array(licence, nipt)
+
+    role = reduce(lambda c, kv: c.when(fields.any_of(said, kv[1][0]), F.lit(kv[0])), ROLES.items(), F.when(F.lit(False), F.lit("")))
+    return t.let(role, lambda r: only(r.isNotNull(), t.let(near, lambda v: of(r, v))))
 
 
 def role_facts(lines: DataFrame, by: list[str]) -> DataFrame:
     """K5: licences, and the contractor's tax number, in a line (line, line_no) that names a role, the one before it and the two after; the first role counts."""
+    near = F.concat_ws(" ", "_before", "line", "_after", "_second")
+    return found(with_neighbours(lines, by), t.let(t.plain_value(F.col("line")), lambda s: role_array(s, near))).drop("_before", "_after", "_second")
+
+
+def with_neighbours(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Lines (line, line_no) with the one before and the two after."""
     w = Window.partitionBy(*by).orderBy("line_no")
-    near = F.concat_ws(" ", F.lag("line", 1).over(w), "line", F.lead("line", 1).over(w), F.lead("line", 2).over(w))
-    said = t.plain_value(F.col("line"))
-    rows = lines.withColumn("near", near).withColumn("role", reduce(lambda c, kv: c.when(fields.any_of(said, kv[1][0]), F.lit(kv[0])), ROLES.items(), F.when(F.lit(False), F.lit(""))))
-    numbers = F.transform(F.regexp_extract_all("near", F.lit(labels.LICENCE), F.lit(1)), labels.licence_number)
-    fits = lambda n: reduce(lambda a, kv: a | ((F.col("role") == kv[0]) & reduce(lambda x, y: x | y, [n.startswith(b) for b in kv[1][1]])), ROLES.items(), F.lit(False))
-    licence = fact(F.concat("role", F.lit("_license")), F.get(F.filter(numbers, fits), F.lit(0)), F.col("near"), 0.94)
-    nipt = fact("contractor_nipt", F.upper(group(F.col("near"), NIPT)), F.col("near"), 0.96, F.col("role") == "contractor")
-    return found(rows.where("role is not null"), F.array(licence, nipt)).drop("near", "role")
+    return lines.withColumns({"_before": F.lag("line", 1).over(w), "_after": F.lead("line", 1).over(w), "_second": F.lead("line", 2).over(w)})
 
 
 def permit_array(line: Column, said: Column) -> Column:
     named = fields.any_of(said, ["leje ndertimi", "leja e ndertimit", "leje zhvill", "leja e zhvill"])
     of = F.when(said.contains("zhvill"), "development_permit_").otherwise("construction_permit_")
-    number, protocol = F.coalesce(group(line, DECISION), group(line, PERMIT)), group(line, PROTOCOL)
+    number, protocol = F.coalesce(F.when(said.contains("vendim"), group(line, DECISION)), group(line, PERMIT)), F.when(said.contains("prot"), group(line, PROTOCOL))
     name = lambda part: F.concat(of, F.lit(part))
     return only(named, F.array(
         fact(name("number"), F.concat(F.lit("Nr. "), number), line, 0.97),
@@ -212,14 +251,18 @@ def table_facts(lines: DataFrame) -> DataFrame:
     return found(lines, table_array(F.col("line"), t.plain_value(F.col("line"))))
 
 
-def metric_facts(docs: DataFrame, text_col: str) -> DataFrame:
-    """K6: areas, heights, floors and ground values in a text, and its property numbers."""
-    all_of = lambda p: F.regexp_extract_all(text_col, F.lit(p), F.lit(1))
+def metric_array(text: Column, lower: Column) -> Column:
     metric = lambda f, u: lambda x: fact(f, F.concat(F.replace(x, F.lit(","), F.lit(".")), F.lit(f" {u}")), x, 0.9)
     number = lambda f, s: lambda x: fact(f, F.concat(F.lit(s), x), x, 0.92)
-    metrics = [F.transform(all_of(p), metric(f, u)) for f, (p, u) in METRICS.items()]
-    numbers = [F.transform(all_of(p), number(f, s)) for f, p, s in PROPERTY]
-    return found(docs, only(F.col(text_col).rlike("[0-9]"), F.concat(*metrics, *numbers)))
+    metrics = [F.transform(all_that(text, lower, METRIC_WORDS[f], p), metric(f, u)) for f, (p, u) in METRICS.items()]
+    numbers = [F.transform(all_that(text, lower, w, p), number(f, s)) for f, p, s, w in PROPERTY]
+    told = reduce(lambda a, w: a | lower.contains(w), sorted({*METRIC_WORDS.values(), *[x[3] for x in PROPERTY]}), F.lit(False))
+    return only(told, F.concat(*metrics, *numbers))
+
+
+def metric_facts(docs: DataFrame, text_col: str) -> DataFrame:
+    """K6: areas, heights, floors and ground values in a text, and its property numbers."""
+    return found(docs, t.let(F.lower(text_col), lambda s: metric_array(F.col(text_col), s)))
 
 
 def timeline_array(line: Column, said: Column) -> Column:
@@ -232,11 +275,38 @@ def timeline_facts(lines: DataFrame) -> DataFrame:
     return found(lines, timeline_array(F.col("line"), t.plain_value(F.col("line"))))
 
 
+def line_array(line: Column, said: Column) -> Column:
+    return F.concat(labelled_array(line, said), permit_array(line, said), amount_array(line, said), table_array(line, said), timeline_array(line, said))
+
+
 def line_facts(lines: DataFrame) -> DataFrame:
     """K4 and K6: all facts that a line (line) states by itself, in one pass: each line is normalised once, and its facts exploded once."""
-    said, line = t.plain_value(F.col("line")), F.col("line")
-    each = lambda s: F.concat(labelled_array(line), permit_array(line, s), amount_array(line, s), table_array(line, s), timeline_array(line, s))
-    return found(lines, t.let(said, each))
+    line = F.col("line")
+    return found(lines, t.let(t.plain_value(line), lambda s: line_array(line, s)))
+
+
+def stated(lines: DataFrame, by: list[str], whole: bool = False) -> DataFrame:
+    """K4 to K6 over lines (line, line_no): the columns of ``lines``, step, n, field, value, evidence, extraction.
+
+    Steps: 0 what ``line_facts`` finds, 2 ``role_facts``, and, where lines are ``whole`` texts, 3 ``metric_facts`` and 4 ``places``.
+    All but the roles come from one pass before any shuffle, which only the lines beside a role need.
+    """
+    line = F.col("line")
+    # Needed words have no white space or accents, so that they stand in the normalised line too.
+    each = lambda s: F.concat(numbered(0, line_array(line, s)), *(told_arrays(line, s) if whole else []))
+    own = lines.select("*", F.explode(t.let(t.plain_value(line), each)).alias("fact")).select(*lines.columns, "fact.*")
+    roles = role_facts(lines, by).withColumn("step", F.lit(2))
+    return own.unionByName(roles)
+
+
+def told_arrays(text: Column, lower: Column) -> list[Column]:
+    return [numbered(3, metric_array(text, lower)), numbered(4, places_array(text, lower))]
+
+
+def told(docs: DataFrame, text_col: str) -> DataFrame:
+    """K5 and K6 of whole texts in one pass, as ``stated`` gives them: step 3 what ``metric_facts`` finds, 4 ``places``."""
+    facts = t.let(F.lower(text_col), lambda s: F.concat(*told_arrays(F.col(text_col), s)))
+    return docs.select("*", F.explode(facts).alias("fact")).select("*", "fact.*").drop("fact")
 
 
 # Roles of parties to a contract by words of its name or first page, and how lines name the party.

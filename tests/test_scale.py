@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
-from foliate.operators import drafts
+from foliate.operators import drafts, extraction
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,23 @@ def test_texts_of_drafts_are_not_written_out_by_word(spark):
     got = drafts.present(values, shown, ["n"])
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0), (1, 1), (1, 3)]
     assert "Generate" not in executed(got)
+
+
+def test_facts_of_lines_come_from_one_pass_and_lose_none(spark):
+    plan = executed(entry.queries()["extracted_facts"](spark, SF))
+    assert plan.count("FileScan parquet") <= 2
+    texts = [
+        "EMëRTIMI I OBJEKTIT: Kulla", "Për objektin - Shkolla", "VENDNDODHJA e objektit: Rruga", "ADRESA: Tirana", "Investitor: A b", "ZHVILLUESI: C d", "porositësi: E f", "Sipërmarrësi: G h", "Subjekti  ndërtues: I j",
+        "MBIKëQYRëSI i punimeve: K l", "Supervizori: M n", "KOLAUDATORI: O p", "Studio projektuese: Q r", "Leje ndërtimi nr. 5/A, VENDIM nr. 7, 12/3 Prot., 1.2.2020", "Leja e zhvillimit, vendim 8", "Vlera sipas situacionit 12.500 lekë",
+        "Sipërfaqja e truallit që ZHVILLOHET 100,5 m2", "Siperfaqja e zënë nga STRUKTURA 40 m2", "SIPERFAQJA e përgjithshme e ndërtimit 300", "Lartësia MAKSIMALE 12,5 m", "Numri i kateve mbi NIVELIN e tokës 5", "numri i kateve nën nivelin e tokës 2",
+        "Ngarkesa e lejuar 2,5 kg/cm2", "SIZMICITET 7 ballë", "PASURIA me nr. 5/2", "Nr. pasurisë: 9/1", "ZONA kadastrale nr. 8", "NR.Z.K.: 77", "FSHATI Ar, Bashkia Be", "LAGJJA xy, Bashkia Be", "Zbatues, NIPT K12345678L", "lic. NZ.1234/5", "Fillimi i punimeve 1.2.2020", "\u00a0 \t", "", None,
+    ]
+    lines = spark.createDataFrame([(d, i, x) for d in (1, 2) for i, x in enumerate(texts)], "d int, line_no int, line string")
+    columns = ["d", "line_no", "n", "field", "value", "evidence", "extraction"]
+    parts = [extraction.line_facts(lines), extraction.role_facts(lines, ["d"]), extraction.metric_facts(lines, "line"), extraction.places(lines, "line")]
+    want = [(step, *r) for step, x in zip((0, 2, 3, 4), parts, strict=True) for r in x.select(columns).collect()]
+    got = [tuple(r) for r in extraction.stated(lines, ["d"], whole=True).select("step", *columns).collect()]
+    assert sorted(got) == sorted(want)
+    fields = {(r[2], r[4]) for r in got if r[1] == 1}
+    assert {i for i, _ in fields} == set(range(len(texts))) - {31, 33, 34, 35}
+    assert {(13, "construction_permit_number"), (13, "construction_permit_protocol"), (13, "construction_permit_date"), (30, "contractor_license"), (30, "contractor_nipt")} <= fields
