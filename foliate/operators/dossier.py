@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +31,9 @@ def text_candidates(docs: DataFrame, lines: int = 1500) -> DataFrame:
     rows = extraction.text_lines(docs.select("version_id", "text"), "text", 3, lines).drop("text")
     own = ["version_id"]
     whole = docs.select("version_id", "text")
-    parts = {
-        "lines": extraction.line_facts(rows),
-        "contract": extraction.contract_facts(docs.select("version_id", "filename", "kind", "text"), own, "filename", "kind", "text").withColumn("line_no", F.lit(0)),
-        "roles": extraction.role_facts(rows, own),
-        "metrics": extraction.metric_facts(whole, "text").withColumn("line_no", F.lit(0)),
-        "places": extraction.places(whole, "text").withColumn("line_no", F.lit(0)),
-    }
-    every = None
-    for i, step in enumerate(STEPS):
-        part = parts[step].select("version_id", F.lit(i).alias("step"), "line_no", "n", "field", "value", "evidence", "extraction")
-        every = part if every is None else every.unionAll(part)
+    contract = extraction.contract_facts(docs.select("version_id", "filename", "kind", "text"), own, "filename", "kind", "text").withColumns({"line_no": F.lit(0), "step": F.lit(STEPS.index("contract"))})
+    each = [extraction.stated(rows, own), contract, extraction.told(whole, "text").withColumn("line_no", F.lit(0))]
+    every = reduce(DataFrame.unionAll, [x.select("version_id", "step", "line_no", "n", "field", "value", "evidence", "extraction") for x in each])
     told = every.join(docs.select("version_id", "filename", "kind", "authority", F.coalesce(F.nullif("classification", F.lit(0.0)), F.lit(0.55)).alias("classification")), "version_id")
     return extraction.admitted(told, ["filename"], ["step", "line_no", "n", "version_id"], F.col("kind")).drop("kind")
 
