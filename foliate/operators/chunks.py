@@ -219,6 +219,26 @@ def ocr_lines(words: DataFrame, keys: list[str], least: float) -> DataFrame:
     )
 
 
+def line_of(words: Column, least: float) -> Column:
+    """As ``ocr_lines``, of a line's words that stand in one array of structs; null if none are left. No word is shuffled by itself."""
+    good = F.filter(words, lambda w: (w["conf"] >= least) & (F.trim(w["text"]) != ""))
+
+    def whole(w: Column) -> Column:
+        weight = F.greatest(F.lit(1), F.length(w["text"]))
+        places = [w[c].alias(c) for c in ("left", "top", "word_num", "text")]
+        return F.struct(*places, (w["left"] + w["width"]).alias("right"), (w["top"] + w["height"]).alias("bottom"), weight.alias("weight"), (w["conf"] * weight).cast("double").alias("weighted"))
+
+    def of(g: Column) -> Column:
+        total = lambda c: F.aggregate(g[c], F.lit(0.0), lambda s, x: s + x)
+        return F.when(F.size(g) > 0, F.struct(
+            F.array_min(g["left"]).alias("left"), F.array_min(g["top"]).alias("top"), F.array_max(g["right"]).alias("right"), F.array_max(g["bottom"]).alias("bottom"),
+            F.round(total("weighted") / total("weight"), 2).alias("confidence"), F.size(g).cast("long").alias("n_words"), F.array_join(g["text"], " ").alias("line"),
+        ))
+
+    # Sorted by place first: the other fields only follow.
+    return t.let(F.array_sort(F.transform(good, whole)), of)
+
+
 def recognised_words(rows: DataFrame) -> DataFrame:
     """The words (level 5) of a recognition's rows, with white space squeezed and missing places and sizes as 0."""
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("left", "top", "width", "height", "block_num", "par_num", "line_num", "word_num")}

@@ -5,9 +5,10 @@ import re
 import duckdb
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from foliate.operators import drafts, extraction
+from foliate.operators import chunks, drafts, extraction
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +66,17 @@ def test_facts_of_lines_come_from_one_pass_and_lose_none(spark):
     fields = {(r[2], r[4]) for r in got if r[1] == 1}
     assert {i for i, _ in fields} == set(range(len(texts))) - {31, 33, 34, 35}
     assert {(13, "construction_permit_number"), (13, "construction_permit_protocol"), (13, "construction_permit_date"), (30, "contractor_license"), (30, "contractor_nipt")} <= fields
+
+
+def test_words_are_boxed_without_a_shuffle_of_words(spark, tmp_path):
+    plan = executed(entry.queries()["ocr_line_boxes"](spark, SF))
+    assert plan.count("Generate") == 1  # lines, not words
+    rows = [(1, 20, 5, 10, 12, 40, "b", 1), (1, 0, 6, 10, 12, 90, "aaa", 0), (1, 0, 6, 10, 12, 29, "low", 2), (1, 0, 6, 10, 12, None, "none", 3), (1, 20, 5, 30, 9, 31, "c", 0), (2, 0, 0, 1, 1, 99, "  ", 0), (2, 0, 0, 1, 1, 99, None, 1)]
+    words = spark.createDataFrame(rows, "k int, left int, top int, width int, height int, conf int, text string, word_num int")
+    held = words.groupBy("k").agg(F.collect_list(F.struct(*words.columns[1:])).alias("w")).select("k", chunks.line_of(F.col("w"), 30).alias("b")).where("b is not null").select("k", "b.*")
+    assert [tuple(r) for r in held.collect()] == [tuple(r) for r in chunks.ocr_lines(words, ["k"], 30).collect()] == [(1, 0, 5, 50, 18, 68.2, 3, "aaa c b")]
+    texts = [(1, "one  two\n\n  \nthree"), (1, "uno dos"), (2, None), (3, ""), (4, " x y z" * 20)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(entry.oracle_sql()["ocr_line_boxes"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in entry.queries()["ocr_line_boxes"](spark, str(tmp_path)).collect()]
+    assert sorted(r[:8] for r in got) == sorted(r[:8] for r in want) and {r[8] for r in got if r[0] != 1} == {r[8] for r in want if r[0] != 1}
