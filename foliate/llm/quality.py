@@ -1,17 +1,17 @@
 """Quality rules: counts of each text, and bands of n-gram perplexity for each language.
 
-The model is a modified Kneser-Ney model of order 3 over characters, of which
-every ASCII letter, digit and sign has a class of its own and others share 58
-classes by their code points, so that neighbours in an alphabet differ. 128
-classes and a few models bound its size by proof (2**21 grams for each model),
-so that it may be broadcast however large the corpus is. A model of words has no
-such bound.
+There are two modified Kneser-Ney models. That of the queries is over bytes with
+contexts of ``CONTEXT`` bytes; its grams stay tables (``byte_model``). The other
+is of order 3 over characters, of which every ASCII letter, digit and sign has a
+class of its own and others share 58 classes by their code points; 128 classes
+and a few models bound its size by proof (2**21 grams for each model), so that it
+may be broadcast however large the corpus is.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.shared import by_bytes, cut, map_arrow
+from foliate.llm import byte_model
+from foliate.llm.shared import by_bytes, cut, drop, map_arrow
 
+#: Bytes of context in the model of the queries.
+CONTEXT = 5
 ORDER, WIDTH = 3, 7
 CLASSES = 1 << WIDTH
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -99,16 +102,17 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return part.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def kneser_ney(c: DataFrame) -> DataFrame:
+def kneser_ney(c: DataFrame, order: int = ORDER, width: int = WIDTH, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """(lang, gram, logp): log10 probability of each gram's last class given those before it.
 
     Interpolated modified Kneser-Ney: the highest order uses counts, lower orders
     the number of different classes before a gram; the three discounts of each
     order come from its counts of counts. All classes share the last step.
+    ``keep`` gets each table that later steps read more than once.
     """
     levels = [c]
-    for k in range(ORDER - 1, 0, -1):  # of k classes: the different classes that come before
-        levels.append(levels[-1].groupBy("lang", (F.col("gram") % (1 << WIDTH * k)).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
+    for k in range(order - 1, 0, -1):  # of k classes: the different classes that come before
+        levels.append(keep(levels[-1].groupBy("lang", (F.col("gram") % (1 << width * k)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))))
     p = None
     for k, level in enumerate(reversed(levels), 1):
         n = [F.count(F.when(F.col("c") == r, 1)) for r in (1, 2, 3, 4)]
@@ -117,14 +121,14 @@ def kneser_ney(c: DataFrame) -> DataFrame:
         d = [F.greatest(F.lit(0.0), F.least(F.lit(float(r)), F.coalesce(r - (r + 1) * y * F.col(f"n{r + 1}") / F.nullif(F.col(f"n{r}"), F.lit(0.0)), F.lit(0.5)))) for r in (1, 2, 3)]
         stats = stats.select("lang", *[x.alias(f"d{r}") for r, x in enumerate(d, 1)])
         x = level.join(F.broadcast(stats), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        of = Window.partitionBy("lang", F.shiftright("gram", WIDTH))
+        of = Window.partitionBy("lang", F.shiftright("gram", width))
         total = F.sum("c").over(of)
         x = x.select("lang", "gram", ((F.col("c") - F.col("d")) / total).alias("own"), (F.sum("d").over(of) / total).alias("gamma"))
         if p is None:
-            p = x.select("lang", "gram", (F.col("own") + F.col("gamma") / CLASSES).alias("p"))
+            p = x.select("lang", "gram", (F.col("own") + F.col("gamma") / (1 << width)).alias("p"))
         else:
             lower = p.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"))
-            x = x.withColumn("tail", F.col("gram") % (1 << WIDTH * (k - 1))).join(lower, ["lang", "tail"])
+            x = x.withColumn("tail", F.col("gram") % (1 << width * (k - 1))).join(lower, ["lang", "tail"])
             p = x.select("lang", "gram", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"))
     return p.select("lang", "gram", F.log10("p").alias("logp"))
 
@@ -141,7 +145,41 @@ def hash_arrays(model: DataFrame, known: tuple[str, ...]) -> dict[str, tuple[np.
     return out
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr"), reach: float = 10.0, least_width: float = 0.002, min_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def class_scores(text: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(id, lang, counts of BASE, logp) of each of ``text`` (id, lang, model, text), by the model of classes, written to the shared folder."""
+    model = text.sparkSession.sparkContext.broadcast(hash_arrays(kneser_ney(cut(gram_counts(text.select(F.col("model").alias("lang"), "text")))), languages))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_bytes(whole, "text", 2 << 20):
+                texts, models = b.column("text").to_pylist(), b.column("model").to_pylist()
+                base = np.array([counts(x) for x in texts], dtype=np.int64)
+                logp = np.full(len(texts), np.nan)
+                for i, (name, x) in enumerate(zip(models, texts, strict=True)):
+                    if x:
+                        keys, values = model.value[name]
+                        logp[i] = values[np.searchsorted(keys, grams(x))].mean(dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *[pa.array(base[:, k]) for k in range(len(BASE))], pa.array(logp, from_pandas=True)], ["id", "lang", *BASE, "logp"])
+
+    rows = cut(map_arrow(text, score, f"id {text.schema['id'].dataType.simpleString()}, lang string, {', '.join(f'{x} long' for x in BASE)}, logp double"))
+    model.destroy()
+    return rows
+
+
+def byte_scores(text: DataFrame, context: int, block_bytes: int) -> DataFrame:
+    """As ``class_scores``, by the model of bytes."""
+    kept: list[DataFrame] = []
+
+    def keep(x: DataFrame) -> DataFrame:
+        kept.append(cut(x))
+        return kept[-1]
+
+    rows = byte_model.scored(text, lambda c: kneser_ney(c, context + 1, byte_model.WIDTH, keep), counts, BASE, context + 1, block_bytes)
+    drop(*kept)
+    return rows
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr"), reach: float = 10.0, least_width: float = 0.002, min_words: int = 50, most_repeated: int = 50, context: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
     """A row for each row of ``docs``: id, the counts of BASE, base_failed, logp, lower, upper, kept.
 
     base_failed: under ``min_words`` words, or over ``most_repeated`` percent of
@@ -154,27 +192,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     a model each, all others share one. A null text has no words and fails; rows
     without a language are one language; rows that share an id are judged each.
     Other columns are left out; an empty table gives no rows.
+
+    With ``context`` (6 at most) the model is over bytes, has that many before
+    each, and the mean is over a text's bytes and its end; without, it is over
+    classes of characters. Blocks of ``block_bytes`` bound a task of the former.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     text = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), model_of(lang, languages).alias("model"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(hash_arrays(kneser_ney(cut(gram_counts(text.select(F.col("model").alias("lang"), "text")))), languages))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_bytes(whole, "text", 2 << 20):
-                texts, models = b.column("text").to_pylist(), b.column("model").to_pylist()
-                base = np.array([counts(x) for x in texts], dtype=np.int64)
-                logp = np.full(len(texts), np.nan)
-                for i, (name, x) in enumerate(zip(models, texts, strict=True)):
-                    if x:
-                        keys, values = model.value[name]
-                        logp[i] = values[np.searchsorted(keys, grams(x))].mean(dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), *[pa.array(base[:, k]) for k in range(len(BASE))], pa.array(logp, from_pandas=True)], ["id", "lang", *BASE, "logp"])
-
-    rows = map_arrow(text, score, f"id {text.schema['id'].dataType.simpleString()}, lang string, {', '.join(f'{x} long' for x in BASE)}, logp double")
+    rows = class_scores(text, languages) if context is None else byte_scores(text, context, block_bytes)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    rows = cut(rows.withColumn("base_failed", failed))
-    model.destroy()
+    rows = rows.withColumn("base_failed", failed)
     q = rows.where("not base_failed").groupBy("lang").agg(F.percentile_approx("logp", [0.25, 0.5, 0.75], 1000).alias("q"))
     side = lambda i, j: reach * F.greatest(F.col("q")[i] - F.col("q")[j], F.lit(least_width))
     bands = cut(q.select("lang", (F.col("q")[1] - side(1, 0)).alias("lower"), (F.col("q")[1] + side(2, 1)).alias("upper")))

@@ -51,9 +51,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from foliate.llm.quality import quality
+    from foliate.llm.quality import CONTEXT, quality
 
-    return quality(documents(spark, sf_dir))
+    return quality(documents(spark, sf_dir), context=CONTEXT)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
