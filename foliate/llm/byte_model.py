@@ -78,6 +78,14 @@ def byte_counts(rows: DataFrame, order: int) -> DataFrame:
     return part.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def crossed(c: DataFrame) -> DataFrame:
+    """(lang, gram, c) for each half: all grams of both, with their counts in the other; a half is the last letter of ``lang``."""
+    own = F.substring("lang", -1, 1)
+    other = F.concat(F.expr("left(lang, length(lang) - 1)"), F.when(own == "0", "1").otherwise("0"))
+    rows = c.select(other.alias("lang"), "gram", "c").unionAll(c.select("lang", "gram", F.lit(0).cast("long").alias("c")))
+    return rows.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
 def deliver(parts: pa.Table, model: pa.Table) -> pa.Table:
     """The grams of each block's part of a bucket with their log-probabilities."""
     keys, values = joined(model["grams"])[0].to_numpy(), joined(model["lp"])[0].to_numpy()
@@ -90,11 +98,14 @@ def scored(rows: DataFrame, lp: Callable[[DataFrame], DataFrame], counts: Callab
 
     ``logp`` is the mean log10 probability over a text's bytes and its end, null
     for an empty or null text; ``counts`` gives a text's values of ``names``;
-    ``lp`` makes (lang, gram, logp) from the counts of all rows' grams. Rows are
+    ``lp`` makes (lang, gram, logp) from (lang, gram, c). The texts of each model are
+    dealt by their hash into halves, so that equal ones lie in one, and each half
+    is scored by the counts of the other. Rows are
     dealt by a hash of id and text into blocks of about ``block_bytes``, which
     bound a task's memory. Blocks are scored in ``rounds``, as what a round has
     shuffled is deleted when it ends: all rows are scored, but not all at once on disk.
     """
+    rows = rows.withColumn("model", F.concat("model", F.lit("/"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("string")))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(-(-size // block_bytes), 1)
     buckets = max(12, blocks // 8)
@@ -133,10 +144,11 @@ def scored(rows: DataFrame, lp: Callable[[DataFrame], DataFrame], counts: Callab
     before = conf.get(key)
     conf.set(key, "true")
     try:
-        corpus = cut(byte_counts(rows, order))
+        counted = cut(byte_counts(rows, order))
+        corpus = cut(crossed(counted))
         dealt = lp(corpus).withColumn("bucket", (F.col("gram") % PRIME % buckets).cast("int"))
         shelves = cut(dealt.groupBy("lang", "bucket").applyInArrow(shelf, "model string, bucket int, grams array<long>, lp array<float>"))
-        drop(corpus)
+        drop(counted, corpus)
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
         schema, out = f"id {rows.schema['id'].dataType.simpleString()}, lang string, {', '.join(f'{x} long' for x in names)}, logp double", None
         rounds = min(rounds, blocks)

@@ -1,7 +1,8 @@
 """Quality rules: counts of each text, and bands of n-gram perplexity for each language.
 
 There are two modified Kneser-Ney models. That of the queries is over bytes with
-contexts of ``CONTEXT`` bytes; its grams stay tables (``byte_model``). The other
+contexts of ``CONTEXT`` bytes; its grams stay tables (``byte_model``), and each
+half of the texts is scored by the model of the other. The other
 is of order 3 over characters, of which every ASCII letter, digit and sign has a
 class of its own and others share 58 classes by their code points; 128 classes
 and a few models bound its size by proof (2**21 grams for each model), so that it
@@ -24,6 +25,8 @@ from foliate.llm.shared import by_bytes, cut, drop, map_arrow
 
 #: Bytes of context in the model of the queries.
 CONTEXT = 5
+#: Discounts of that model are no less, as it meets grams that it has not counted.
+LEAST_DISCOUNT = 0.1
 ORDER, WIDTH = 3, 7
 CLASSES = 1 << WIDTH
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -102,28 +105,30 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return part.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def kneser_ney(c: DataFrame, order: int = ORDER, width: int = WIDTH, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+def kneser_ney(c: DataFrame, order: int = ORDER, width: int = WIDTH, least: float = 0.0, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """(lang, gram, logp): log10 probability of each gram's last class given those before it.
 
     Interpolated modified Kneser-Ney: the highest order uses counts, lower orders
     the number of different classes before a gram; the three discounts of each
     order come from its counts of counts. All classes share the last step.
+    A gram with the count 0 is no part of the model, but gets its probability,
+    which is over 0 if no discount is under a ``least`` over 0.
     ``keep`` gets each table that later steps read more than once.
     """
     levels = [c]
     for k in range(order - 1, 0, -1):  # of k classes: the different classes that come before
-        levels.append(keep(levels[-1].groupBy("lang", (F.col("gram") % (1 << width * k)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))))
+        levels.append(keep(levels[-1].groupBy("lang", (F.col("gram") % (1 << width * k)).alias("gram")).agg(F.count(F.when(F.col("c") > 0, 1)).alias("c"))))
     p = None
     for k, level in enumerate(reversed(levels), 1):
         n = [F.count(F.when(F.col("c") == r, 1)) for r in (1, 2, 3, 4)]
         stats = level.groupBy("lang").agg(*[x.cast("double").alias(f"n{r}") for r, x in enumerate(n, 1)])
         y = F.coalesce(F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0)), F.lit(0.5))
-        d = [F.greatest(F.lit(0.0), F.least(F.lit(float(r)), F.coalesce(r - (r + 1) * y * F.col(f"n{r + 1}") / F.nullif(F.col(f"n{r}"), F.lit(0.0)), F.lit(0.5)))) for r in (1, 2, 3)]
+        d = [F.greatest(F.lit(least), F.least(F.lit(float(r)), F.coalesce(r - (r + 1) * y * F.col(f"n{r + 1}") / F.nullif(F.col(f"n{r}"), F.lit(0.0)), F.lit(0.5)))) for r in (1, 2, 3)]
         stats = stats.select("lang", *[x.alias(f"d{r}") for r, x in enumerate(d, 1)])
-        x = level.join(F.broadcast(stats), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        x = level.join(F.broadcast(stats), "lang").withColumn("d", F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         of = Window.partitionBy("lang", F.shiftright("gram", width))
-        total = F.sum("c").over(of)
-        x = x.select("lang", "gram", ((F.col("c") - F.col("d")) / total).alias("own"), (F.sum("d").over(of) / total).alias("gamma"))
+        total = F.nullif(F.sum("c").over(of), F.lit(0))
+        x = x.select("lang", "gram", F.coalesce((F.col("c") - F.col("d")) / total, F.lit(0.0)).alias("own"), F.coalesce(F.sum("d").over(of) / total, F.lit(1.0)).alias("gamma"))
         if p is None:
             p = x.select("lang", "gram", (F.col("own") + F.col("gamma") / (1 << width)).alias("p"))
         else:
@@ -174,12 +179,12 @@ def byte_scores(text: DataFrame, context: int, block_bytes: int) -> DataFrame:
         kept.append(cut(x))
         return kept[-1]
 
-    rows = byte_model.scored(text, lambda c: kneser_ney(c, context + 1, byte_model.WIDTH, keep), counts, BASE, context + 1, block_bytes)
+    rows = byte_model.scored(text, lambda c: kneser_ney(c, context + 1, byte_model.WIDTH, LEAST_DISCOUNT, keep), counts, BASE, context + 1, block_bytes)
     drop(*kept)
     return rows
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr"), reach: float = 10.0, least_width: float = 0.002, min_words: int = 50, most_repeated: int = 50, context: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = ("de", "en", "es", "fr"), reach: float = 10.0, least_width: float = 0.002, min_words: int = 50, most_repeated: int = 50, context: int | None = None, block_bytes: int = 32 << 20) -> DataFrame:
     """A row for each row of ``docs``: id, the counts of BASE, base_failed, logp, lower, upper, kept.
 
     base_failed: under ``min_words`` words, or over ``most_repeated`` percent of
@@ -194,7 +199,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Other columns are left out; an empty table gives no rows.
 
     With ``context`` (6 at most) the model is over bytes, has that many before
-    each, and the mean is over a text's bytes and its end; without, it is over
+    each, and the mean is over a text's bytes and its end; a text is scored by
+    the model of the other half of the texts, dealt by a hash of the text, as with
+    such contexts it would vouch for itself. Without, the model is of all texts, over
     classes of characters. Blocks of ``block_bytes`` bound a task of the former.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliate.llm.queries import op3_quality
 from foliate.llm.quality import CONTEXT, quality
@@ -18,20 +19,25 @@ def grams(text):
     return [s[i : i + ORDER] for i in range(len(b) + 1)]
 
 
-def plain_model(texts):
+def plain_model(texts, scored):
+    """Log-probabilities of the grams of ``scored`` by the model of ``texts``."""
     levels = [Counter(g for t in texts for g in grams(t))]
     for k in range(CONTEXT, 0, -1):
         levels.append(Counter(g[-k:] for g in levels[-1]))
+    asked = {g for t in scored for g in grams(t)}
     p = None
-    for level in reversed(levels):
+    for k, level in enumerate(reversed(levels), 1):
         n = [0, *[sum(c == r for c in level.values()) for r in (1, 2, 3, 4)]]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
-        d = [0, *[min(r, max(0, r - (r + 1) * y * n[r + 1] / n[r] if n[r] else 0.5)) for r in (1, 2, 3)]]
+        d = [0, *[min(r, max(0.1, r - (r + 1) * y * n[r + 1] / n[r] if n[r] else 0.5)) for r in (1, 2, 3)]]
         total, left = Counter(), Counter()
         for g, c in level.items():
             total[g[:-1]] += c
             left[g[:-1]] += d[min(c, 3)]
-        p = {g: (c - d[min(c, 3)]) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * (p[g[1:]] if p else 1 / 256) for g, c in level.items()}
+        last, p = p, {}
+        for g in {g[-k:] for g in asked}:
+            below, t = last[g[1:]] if last else 1 / 256, total[g[:-1]]
+            p[g] = (level[g] - (d[min(level[g], 3)] if level[g] else 0)) / t + left[g[:-1]] / t * below if t else below
     return p
 
 
@@ -59,10 +65,13 @@ def by_threes(text, n, seed):
 def test_bytes_are_kneser_ney_in_blocks(spark, block_bytes):
     langs, words = ["en", "ru", "xx", None], lexicon(1)
     rows = [(i // 2, prose(words, 60 + i, i) + "\n\tÀB 漢字", langs[i % 4]) for i in range(40)] + [(90, None, "en"), (91, "", None), (None, prose(words, 70, 90), "de"), (None, "漢", "en"), (92, " \n", "fr")]
-    got = quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), context=CONTEXT, block_bytes=block_bytes).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality(df, context=CONTEXT, block_bytes=block_bytes).collect()
+    half = dict(df.select("text", F.pmod(F.xxhash64("text"), F.lit(2))).collect())
     of = lambda lang: lang if lang in ("de", "en", "es", "fr") else ""
-    model = {m: plain_model([t for _, t, lang in rows if t and of(lang) == m]) for m in {of(lang) for *_, lang in rows}}
-    want = [(i, len((t or "").encode().split()), sum(math.log10(model[of(lang)][g]) for g in grams(t)) / len(grams(t)) if t else None) for i, t, lang in rows]
+    texts = lambda m, h: [t for _, t, lang in rows if t and of(lang) == m and half[t] == h]
+    model = {(m, h): plain_model(texts(m, 1 - h), texts(m, h)) for m in {of(lang) for *_, lang in rows} for h in (0, 1)}
+    want = [(i, len((t or "").encode().split()), sum(math.log10(model[of(lang), half[t]][g]) for g in grams(t)) / len(grams(t)) if t else None) for i, t, lang in rows]
     key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0)
     got = sorted(((r.doc_id, r.n_words, r.logp) for r in got), key=key)
     assert len(got) == len(rows)
@@ -70,6 +79,16 @@ def test_bytes_are_kneser_ney_in_blocks(spark, block_bytes):
         assert a[:2] == b[:2] and (a[2] is b[2] if b[2] is None else a[2] == pytest.approx(b[2], abs=1e-5))
 
 
+def test_op3_text_does_not_vouch_for_itself(spark, tmp_path):
+    """Random letters are less likely than prose, as often as they are repeated as a whole."""
+    words, r = lexicon(3), random.Random(4)
+    noise = " ".join("".join(r.choices("qwxzjkvbf", k=8)) for _ in range(200))
+    rows = [(i, prose(words, 100 + i, i), "en") for i in range(60)] + [(100, noise, "en"), (101, noise, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op3_quality(spark, str(tmp_path)).collect()}
+    assert all(got[i].logp < min(got[k].logp for k in range(60)) - 0.5 and not got[i].kept for i in (100, 101))
+
+
 def test_bytes_of_nothing(spark):
     assert not quality(spark.createDataFrame([], "doc_id long, text string, lang string"), context=CONTEXT).count()
 
