@@ -77,7 +77,7 @@ def best_cuts(points: np.ndarray, cost: np.ndarray, limit: int, each: float = 1.
     return out[::-1]
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, end_id: int = 0, block_tokens: int = 1 << 18, grid: int = 32, sentence_cost: float = 0.5, grid_cost: float = 4.0, batch_bytes: int = 8 << 20) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, end_id: int = 0, block_tokens: int = 1 << 18, grid: int = 32, sentence_cost: float = 0.5, grid_cost: float = 4.0, batch_bytes: int = 8 << 20, known_bytes: int = 12 << 20) -> DataFrame:
     """A row for each piece of a document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents, each its whole text's ids and ``end_id``, are taken in ascending
@@ -86,11 +86,13 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     ``block_tokens`` ids, of which the last sequence is carried into the next.
     Every id lies in exactly one piece; sequences hold at most ``limit`` ids.
     Sequence ids ascend with document ids but leave gaps between partitions.
-    An empty table gives no rows; other columns are left out.
+    An empty table gives no rows; other columns are left out. A worker encodes
+    about ``batch_bytes`` of text at a time and remembers ``known_bytes`` of pieces,
+    which change its memory and time, not the rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = encoder(vocabulary)
+        lib = encoder(vocabulary, known_bytes)
         sequence = TaskContext.get().partitionId() << 40
         keys: list = []  # of the documents at hand
         parts: list[np.ndarray] = []  # their ids, end to end

@@ -5,19 +5,23 @@ import hashlib
 import hmac
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foliate.llm import packing
 from foliate.llm.decontaminate import matches
 from foliate.llm.licenses import BSD, BSD_NAMES, BSD_WARRANTY, TEMPLATES, license_scan, scan, terms, with_identifiers
 from foliate.llm.line_dedup import dedup_lines, line_classes, line_report
 from foliate.llm.packing import best_cuts, cut_points
 from foliate.llm.pii import pii_report, pseudonymise
 from foliate.llm.quality import quality
-from foliate.llm.shared import cut, drop, fresh, shared_dir
+from foliate.llm.shared import cut, drop, fresh, map_arrow, shared_dir
 from foliate.llm.stages import good_documents, one_of_each_group
 
 
@@ -89,7 +93,27 @@ def test_quality_rejects_noise(spark):
     assert kept == set(range(60))
 
 
-# --- packing: a monotone queue against all pairs
+# --- packing: memory in the pipeline; a monotone queue against all pairs
+
+
+def test_pipeline_packs_in_little_memory(spark, monkeypatch):
+    import corpus_pipeline
+
+    tasks = []
+    monkeypatch.setattr(packing, "map_arrow", lambda rows, f, schema: tasks.append(f) or map_arrow(rows, f, schema))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [prose(1000, seed) for seed in range(600)]
+    corpus_pipeline.packing(spark, spark.createDataFrame([(0, "")], "doc_id long, text string"), "")
+    batch = pa.record_batch({"id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    list(tasks[0](iter([batch.slice(0, 1)])))  # the vocabulary is read
+    before, most = pa.total_allocated_bytes(), 0
+    tracemalloc.start()
+    for part in tasks[0](iter([batch])):
+        most = max(most, pa.total_allocated_bytes() - before)
+    most += tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20, (batch.nbytes, most)
+
 
 
 def test_best_cuts_is_a_least_cost_packing():
