@@ -38,14 +38,14 @@ def substrings(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def substring_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, line, key, indexed) of (h, line, size): each line's own segments, and the substrings that it probes besides.
+def substring_keys(lines: DataFrame, edits: int, odd: int) -> DataFrame:
+    """(h, line, key, indexed) of (h, line, size): each line's own segments, and the substrings that it probes besides, of odd or of even segments.
 
     The list of substrings is exploded before it is applied, so that the
     generated code is one small loop.
     """
     parts = edits + 1
-    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("shorter", "i", "s"), x, strict=True)]) for x in substrings(edits)])
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("shorter", "i", "s"), x, strict=True)]) for x in substrings(edits) if x[1] % 2 == odd])
     x = lines.select("h", "line", "size", F.explode(each).alias("k")).select("h", "line", (F.col("size") - F.col("k.shorter")).alias("length"), "k.*")
     x = x.withColumn("base", F.expr(f"cast(length div {parts} as int)")).withColumn("odd", F.lit(parts) - F.col("length") % parts)
     start = F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - F.col("odd")) + F.col("s") + 1
@@ -119,14 +119,33 @@ def letter_counts(line: Column) -> Column:
     return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
 
 
-def line_links(lines: DataFrame, edits: int) -> DataFrame:
-    """Links (a, b) of hashes, a < b, of different lines of (h, line, size) within ``edits`` edits."""
-    rows = substring_keys(lines, edits)
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, which are read from a table, broadcast while they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def meetings(lines: DataFrame, edits: int, odd: int) -> DataFrame:
+    """(key, h, indexed) of each substring that different lines of (h, line, size) share, one of them as its segment."""
+    rows = substring_keys(lines, edits, odd).select("key", "h", "indexed")
     shared = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("indexed").alias("i"))
     keys = cut(shared.where("lo <> hi and i").select("key"))
-    few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    met = rows.join(few, "key", "left_semi").groupBy("key", "h").agg(F.max("indexed").alias("indexed"), F.first("line").alias("line"))
-    met = cut(met.withColumn("n", letter_counts(F.lower("line"))))
+    out = cut(rows.join(few(keys), "key", "left_semi").groupBy("key", "h").agg(F.max("indexed").alias("indexed")))
+    drop(keys)
+    return out
+
+
+def line_links(lines: DataFrame, edits: int) -> DataFrame:
+    """Links (a, b) of hashes, a < b, of different lines of (h, line, size) within ``edits`` edits.
+
+    Substrings meet in two rounds, half of them each, as they are the most that
+    line dedup shuffles, and without their lines, whose texts come to those left.
+    """
+    halves = [meetings(lines, edits, odd) for odd in (0, 1)]
+    held = reduce(DataFrame.unionAll, halves)
+    hashes = cut(held.select("h").distinct())
+    texts = lines.join(few(hashes), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    met = cut(held.join(texts.withColumn("n", letter_counts(F.lower("line"))), "h"))
+    drop(hashes, *halves)
     a = met.where("indexed").select("key", F.col("h").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx"))
     b = met.select("key", F.col("h").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny"), "indexed")
     # An edit changes the counts of letters by two at most, and one piece; this spares most verifications.
@@ -136,7 +155,7 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     once = (F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("indexed"))
     pairs = a.join(b, (a.key == b.key) & once & near)
     out = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    drop(keys, met)
+    drop(met)
     return out
 
 
@@ -156,6 +175,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if two 64-bit hashes of them are. Null and empty texts have no lines here; rows
     that share an id share their line numbers; an empty table gives no rows.
     """
+    return classified(docs, id_col, text_col, edits, min_chars)[0]
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``line_classes``, and the tables to drop when these have been read."""
     lines = lines_of(docs, id_col, text_col).where("line <> ''").withColumn("size", F.length("line"))
     lines = cut(lines.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit("second"), "line")}))  # split once; it is read three times
     first = first_lines(lines)
@@ -171,7 +195,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     degree = cut(links.select(F.col("a").alias("h")).unionAll(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("links")))
     named = cut(rooted.join(head, "root").select("h", "head").join(degree, "h", "left").select("h", "head", F.coalesce("links", F.lit(0)).alias("links")))
     drop(first, links, roots, rooted, head, degree)
-    return lines.select("id", "line_no", "h").join(named, "h").select("id", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), "links")
+    out = lines.select("id", "line_no", "h").join(named, "h")
+    return out.select("id", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), "links"), [lines, named]
 
 
 def is_repeat(x: Column, doc: Column) -> Column:
@@ -180,14 +205,16 @@ def is_repeat(x: Column, doc: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
-    """A row for each id with lines to remove: id, removed (array of line_no).
+    """A row for each id with lines to remove, written to the shared folder: id, removed (array of line_no).
 
     All lines of a class but its first are removed. Rows that share an id share
     their lines' numbers: a line that is first in one of them stays in all.
     """
-    c = line_classes(docs, id_col, text_col, edits, min_chars)
+    c, read = classified(docs, id_col, text_col, edits, min_chars)
     out = c.where(is_repeat(F.struct("line_no", "class_id", "class_line_no"), F.col("id")))
-    return out.groupBy("id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    out = cut(out.groupBy("id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")))
+    drop(*read)
+    return out
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, min_chars: int = 20) -> DataFrame:
@@ -201,7 +228,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that share an id share their lines. Other columns are left out.
     """
     line = F.struct("line_no", "class_id", "class_line_no", "links")
-    own = cut(line_classes(docs, id_col, text_col, edits, min_chars).groupBy(F.col("id").alias("own_id")).agg(F.array_sort(F.collect_set(line)).alias("lines")))
+    c, read = classified(docs, id_col, text_col, edits, min_chars)
+    own = cut(c.groupBy(F.col("id").alias("own_id")).agg(F.array_sort(F.collect_set(line)).alias("lines")))
+    drop(*read)
     rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)), F.lit(0)).alias("n"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.join(own, F.col("id").eqNullSafe(F.col("own_id")), "left")
@@ -219,7 +248,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated rows and ids as in ``line_classes``; an empty table gives no rows.
     """
     gone_id, gone, left = (fresh(docs.columns, n) for n in ("gone_id", "gone", "left_lines"))
-    found = cut(repeated_lines(docs, id_col, text_col, edits, min_chars).toDF(gone_id, gone))
+    found = repeated_lines(docs, id_col, text_col, edits, min_chars).toDF(gone_id, gone)
     # What is removed grows with the documents, so the join is a shuffle at every size.
     x = docs.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
     x = x.withColumn(left, F.when(F.col(gone).isNotNull(), F.filter(F.split(text_col, "\n"), lambda v, i: ~F.array_contains(F.col(gone), i))))

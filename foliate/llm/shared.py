@@ -40,10 +40,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes ``df`` to ``path``; what it has shuffled is deleted then, and not when the driver happens to collect its garbage, which may be late."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends here."""
     path = new_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    write(df, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
